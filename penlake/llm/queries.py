@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from penlake.llm import chat_format, pii, quality_rules, warc
+from penlake.llm import chat_format, packing, pii, quality_rules, warc
 from penlake.llm.common import materialise, table
 
 
@@ -21,6 +21,17 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine."""
+    from public_tokenizers import path
+
+    return path(name)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -32,6 +43,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_quality_rules": op3_quality_rules,
+    "op6_packing": op6_packing,
     "op8_pii": op8_pii,
     "op10_warc": op10_warc,
 }
