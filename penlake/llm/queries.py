@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from penlake.llm import chat_format, packing, pii, quality_rules, warc
+from penlake.llm import chat_format, language_id, packing, pii, quality_rules, warc
 from penlake.llm.common import materialise, table
 
 
@@ -28,6 +28,10 @@ def vocabulary(name: str) -> str:
     return path(name)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
 
@@ -43,6 +47,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_quality_rules": op3_quality_rules,
+    "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
     "op8_pii": op8_pii,
     "op10_warc": op10_warc,
