@@ -48,13 +48,16 @@ def thaw(blob: bytes, *dtypes: type) -> list[np.ndarray]:
     return out
 
 
-def parcels(kind: int, bucket: np.ndarray, *arrays: np.ndarray) -> list[tuple]:
-    """One row per bucket for facts of one kind."""
+def parcels(kind: int, bucket: np.ndarray, *arrays: np.ndarray, wide: np.ndarray | None = None) -> list[tuple]:
+    """One row per bucket for facts of one kind. wide: a matrix with a row for each fact, given out as it is."""
+    if not len(bucket):
+        return []
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
     cuts = np.flatnonzero(np.diff(b, prepend=-1))
     sorted_arrays = [a[order] for a in arrays]
-    return [(int(b[i]), kind, None, freeze(*(a[i:j] for a in sorted_arrays)), None) for i, j in zip(cuts, [*cuts[1:], len(b)])]
+    data = wide[order] if wide is not None else None
+    return [(int(b[i]), kind, None, freeze(*(a[i:j] for a in sorted_arrays)), data[i:j].tobytes() if data is not None else None) for i, j in zip(cuts, [*cuts[1:], len(b)])]
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:

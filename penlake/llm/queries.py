@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from penlake.llm import chat_format, language_id, packing, pii, quality_rules, substring_dedup, warc
+from penlake.llm import chat_format, jaccard_join, language_id, packing, pii, quality_rules, substring_dedup, warc
 from penlake.llm.common import materialise, table
 
 
@@ -28,6 +28,10 @@ def vocabulary(name: str) -> str:
     return path(name)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -51,6 +55,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_quality_rules": op3_quality_rules,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
     "op7_substring_dedup": op7_substring_dedup,
