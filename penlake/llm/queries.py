@@ -72,3 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
 }
+
+#: SQL over the same tables, where there is a form that is fast enough on whole tables.
+ORACLES: dict[str, str] = {}
