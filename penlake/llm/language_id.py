@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 START, LONGEST, UNKNOWN = "▁", 32, 1e-7
 LETTER = re.compile(r"[^\W\d_]")
@@ -188,14 +189,17 @@ def fit(labelled: DataFrame, vocabulary: str, sample_docs: int = 1000, rounds: i
     return langs, p, np.log(n / n.sum())
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], vocabulary: str) -> DataFrame:
-    """doc_id, lang_pred and score of each row of docs (doc_id, text)."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], vocabulary: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of docs with lang_pred and score, in one pass over docs."""
     langs, p, prior = model
+    names = [*keep, "lang_pred", "score"]
+    slim = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    schema = T.StructType([*slim.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Pieces(vocabulary), p) if langs else None
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = b.column(len(keep)).to_pylist()
             pred, score = ["und"] * len(texts), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if has_letter(t)] if scorer else []
             for at in range(0, len(known), 512):
@@ -206,10 +210,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], vo
                 post /= post.sum(axis=1, keepdims=True)
                 for i, best, s in zip(some, post.argmax(axis=1), post.max(axis=1)):
                     pred[i], score[i] = langs[best], s
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score)], names)
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return slim.mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -217,7 +220,7 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def identify(docs: DataFrame, vocabulary: str, **fitting) -> DataFrame:
-    """Fit on the documents that aren't held out, predict all."""
+def identify(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",), **fitting) -> DataFrame:
+    """Fit on the documents that aren't held out, predict all: the columns ``keep``, lang_pred, score and held_out."""
     model = fit(docs.where(~held_out()).select("text", "lang"), vocabulary, **fitting)
-    return predict(docs, model, vocabulary).withColumn("held_out", held_out())
+    return predict(docs, model, vocabulary, keep).withColumn("held_out", held_out())
