@@ -69,45 +69,36 @@ def prefix_length(trees: int, depth: int, threshold: float, recall: float) -> in
     raise ValueError("more trees are needed for this recall")
 
 
-def near_pairs(signs: np.ndarray, least: float, close: float, reach: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs to link among nodes with a common prefix; signs: a byte of each label."""
-    m, width = signs.shape
-    if m <= 64:
-        a, b = np.triu_indices(m, 1)
-        ok = (signs[a] == signs[b]).mean(axis=1) >= least
-        return [(a[ok], b[ok])]
-    out, leaders = [], np.zeros(0, I64)
+def near_pairs(signs: np.ndarray, close: float, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs to link among nodes with a common prefix, a stretch at a time; signs: a byte of each label."""
+    m = len(signs)
+    alike = lambda a, b: (signs[a][:, None, :] == signs[b][None, :, :]).mean(axis=2, dtype=np.float32)
+    is_leader = np.zeros(m, bool)
     for i in range(0, m, 128):
         rows = np.arange(i, min(m, i + 128))
         behind = np.zeros(len(rows), bool)
+        leaders = np.flatnonzero(is_leader)
         for j in range(0, len(leaders), 1024):
-            some = leaders[j : j + 1024]
-            alike = (signs[rows][:, None, :] == signs[some][None, :, :]).mean(axis=2, dtype=np.float32)
-            x, y = np.nonzero(alike >= reach)
-            out.append((rows[x], some[y]))
-            behind |= (alike >= close).any(axis=1)
-        own = (signs[rows][:, None, :] == signs[rows][None, :, :]).mean(axis=2, dtype=np.float32)
+            like = alike(rows, leaders[j : j + 1024])
+            x, y = np.nonzero(like >= reach)
+            yield rows[x], leaders[j : j + 1024][y]
+            behind |= (like >= close).any(axis=1)
+        own = alike(rows, rows)
+        x, y = np.nonzero(np.triu(own >= reach, 1))
+        yield rows[x], rows[y]
         new: list[int] = []
         for r in range(len(rows)):
-            if new:
-                links = [x for x in new if own[r, x] >= reach]
-                out.append((np.full(len(links), rows[r]), rows[links]))
-                behind[r] |= any(own[r, x] >= close for x in links)
-            if not behind[r]:
-                # those of this stretch that came before and stand behind others still get their link to it
-                earlier = [x for x in range(r) if x not in new and own[r, x] >= reach]
-                out.append((rows[earlier], np.full(len(earlier), rows[r])))
+            if not behind[r] and not (own[r, new] >= close).any():
                 new.append(r)
+        # Those of earlier stretches that stand behind others still get their links to the new leaders.
         fresh = rows[new]
-        # and so do those of earlier stretches
         for j in range(0, i if len(fresh) else 0, 1024):
-            some = np.setdiff1d(np.arange(j, min(i, j + 1024)), leaders)
+            some = np.arange(j, min(i, j + 1024))
+            some = some[~is_leader[some]]
             if len(some):
-                alike = (signs[some][:, None, :] == signs[fresh][None, :, :]).mean(axis=2, dtype=np.float32)
-                x, y = np.nonzero(alike >= reach)
-                out.append((some[x], fresh[y]))
-        leaders = np.concatenate([leaders, fresh])
-    return out
+                x, y = np.nonzero(alike(some, fresh) >= reach)
+                yield some[x], fresh[y]
+        is_leader[fresh] = True
 
 
 def linked(sets: list[np.ndarray], split: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -137,9 +128,10 @@ def linked(sets: list[np.ndarray], split: int, threshold: float) -> tuple[np.nda
     return i[keep], j[keep]
 
 
-def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest index of each one's component."""
-    root = np.arange(n)
+def roots(n: int, i: np.ndarray, j: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """Smallest index of each one's component, given links and maybe the components that others made."""
+    root = np.arange(n) if root is None else root
+    i, j = root[i], root[j]
     while True:
         low = root.copy()
         np.minimum.at(low, i, root[j])
@@ -237,9 +229,12 @@ def jaccard_join(
                     pairs.append(np.stack([node[start[ok] + a], node[start[ok] + b]], axis=1))
         for start, m in zip(cuts[sizes > 8], sizes[sizes > 8]):
             own = node[start : start + m]
-            for a, b in near_pairs(wide[order[start : start + m]], least, close, reach):
-                if len(a):
-                    pairs.append(np.stack([own[a.astype(I64)], own[b.astype(I64)]], axis=1))
+            # Only who belongs together goes on, a link for each node, so a group of m nodes gives fewer than m rows.
+            root = np.arange(m)
+            for a, b in near_pairs(wide[order[start : start + m]], close, reach):
+                root = roots(m, a, b, root)
+            some = np.flatnonzero(root != np.arange(m))
+            pairs.append(np.stack([own[root[some]], own[some]], axis=1))
         if pairs and len(links := np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)):
             yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
 
