@@ -127,6 +127,8 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity:
                     while start < n:
                         rows.append((doc_id, k, start, end - start, zlib.crc32(ids[4 * start : 4 * end])))
                         start, end, k = end, end + capacity, k + 1
+            if not rows:
+                continue
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], [x.split()[0] for x in PIECES.split(", ")])
 

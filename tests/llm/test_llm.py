@@ -1,0 +1,498 @@
+"""The corpus operators against brute force, round trips and odd inputs."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+from html.parser import HTMLParser
+
+import numpy as np
+import pytest
+from public_tokenizers import path as vocabulary
+
+from compare import connect, of_spark, of_sql
+from penlake.llm import chat_format, decontamination, html_extract, jaccard_join, language_id, packing, pii, quality_rules, queries, substring_dedup, warc
+from penlake.llm.common import materialise
+from penlake.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+JSON, RANKS, SP = vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), vocabulary("piece_bpe_32k.model")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket string, node string, kind string, key string, score string, host string, rank string, pii string"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(*r, *["x"] * (13 - len(r))) for r in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def duck():
+    return connect(SF)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows, clashing names."""
+    rng = random.Random(5)
+    word = ["ab", "cde", "fghi", "jklmn", "é", "ß", "the", "of", "und"]
+    long = " ".join(rng.choice(word) + str(rng.randrange(900)) for _ in range(30_000))
+    part = " ".join(long.split()[100:180])
+    rows = [
+        (1, None, None, None, 0), (2, "", "en", "a", 0), (3, " \n\t ", "en", "a", 4), (4, "one", "en", None, 3), (5, long, "de", "a", len(long)), (6, long, "de", "b", len(long)),
+        (6, long, "de", "b", len(long)), (7, part + " x y z", None, "b", 1), (8, "!!! 123", "fr", "b", 7), (None, part, "en", "c", 1), (9, "a b c d", "en", "c", 7), (10, "a b c d", "en", "c", 7),
+        (11, "w " * 400, "en", "d", 800), (12, long.replace("ab1", "zz1"), "de", "a", len(long)),
+    ]
+    return table(spark, rows), rows
+
+
+@pytest.fixture(scope="module")
+def docs(duck):
+    return duck.execute("SELECT doc_id, text, lang, source FROM documents ORDER BY 1").fetchall()
+
+
+def rows_of(df, *names):
+    return sorted((tuple(r) for r in (df.select(*names) if names else df).collect()), key=repr)
+
+
+# -- quality rules ---------------------------------------------------------------------------------------------------
+
+
+def brute_measures(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = Counter(zip(words, words[1:], words[2:]))
+    hit = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(hit)
+
+
+def test_quality_measures(spark, docs, odd):
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert rows_of(queries.op3_quality_rules(spark, SF), *names) == sorted([(d[0], *brute_measures(d[1])) for d in docs], key=repr)
+    got = rows_of(quality_rules.quality_rules(odd[0]), *names)
+    assert got == sorted([(r[0], *brute_measures(r[1])) for r in odd[1]], key=repr)
+    assert quality_rules.quality_rules(odd[0].limit(0)).count() == 0
+
+
+def test_bad_host_goes_and_small_host_is_shrunk(spark):
+    good = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, good, "en", f"good{i % 9}", 1) for i in range(180)] + [(1000 + i, "too short", "en", "bad", 1) for i in range(40)] + [(2000, good, "en", "bad", 1), (2001, good, "en", None, 1)]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(table(spark, rows)).collect()}
+    assert all(kept[i] for i in range(180)) and not kept[2000] and kept[2001]
+
+
+# -- personal data -----------------------------------------------------------------------------------------------------
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def brute_pii(text):
+    ok = {
+        "email": lambda m: True,
+        "ip": lambda m: all(int(x) <= 255 for x in m.split(".")),
+        "card": lambda m: 14 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and luhn(d),
+        "phone": lambda m: 10 <= len(re.sub("[^0-9]", "", m)) <= 15,
+    }
+    return sorted((m.start(), i, k, m.end()) for i, (k, p) in enumerate(pii.KINDS.items()) for m in re.finditer(p, text or "") if ok[k](m.group()))
+
+
+def base_text(text):
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in brute_pii(text))
+
+
+def test_pii_base_spans(spark, docs, odd):
+    texts = [t for _, t, *_ in docs] + [r[1] for r in odd[1]]
+    texts += ["a@b.cc_x@y.org@z.com", "é x@y.z 😀 q@r.st", "1.2.3.4.5.6.7.8 999.1.1.1 0300.1.1.1 001.2.3.4", "+1 (456) 555-2186. +44-20-7946-0958 +1", "4041 8949 7460 8795 4041894974608795-", "a" * 5000 + "@", "1" * 3000]
+    rng = random.Random(3)
+    texts += ["".join(rng.choice("ab@.+- ()0123456789_\n") for _ in range(200)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.digest(pii.find_pii(df)).collect()}
+    for i, t in enumerate(texts):
+        want = base_text(t)
+        assert got[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest(), (t[:200], want, got[i]["spans"])
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(s[2] == k for s in brute_pii(t)) for k in pii.KINDS]
+
+
+def test_pii_own_spans_and_redaction(spark):
+    df = spark.createDataFrame([(1, "my iban GB82 WEST 1234 5698 7654 32 ok"), (2, "iban GB82 WEST 1234 5698 7654 33"), (3, "call phone 555-123-4567 now"), (4, "number 555-123-4567"), (5, "mail a@b.cc and 1.2.3.4"), (6, None)], "doc_id long, text string")
+    found = pii.find_pii(df)
+    spans = {r["doc_id"]: [s["kind"] for s in r["pii"]] for r in found.collect()}
+    assert spans == {1: ["iban"], 2: [], 3: ["local_phone"], 4: [], 5: ["email", "ip"], 6: []}
+    assert {r["doc_id"]: r["text"] for r in pii.redact(found).collect()}[5] == "mail [EMAIL] and [IP]"
+    assert pii.digest(pii.find_pii(df.limit(0))).count() == 0
+
+
+# -- chats ----------------------------------------------------------------------------------------------------------------
+
+
+def test_chats_round_trip(spark, duck):
+    got = {r["conv_id"]: r for r in queries.op2_chat_format(spark, SF).collect()}
+    odd_text = "<|im_end|><|im_start|>assistant ok"
+    turns = duck.execute("SELECT conv_id, role, coalesce(text, '') FROM conversations ORDER BY conv_id, turn").fetchall() + [(-1, "user", odd_text), (-1, "assistant", odd_text)]
+    by = {}
+    for c, role, text in turns:
+        by.setdefault(c, []).append((role, text))
+    assert set(by) == set(got)
+    for c, t in by.items():
+        loss = "".join(x for r, x in t if r == "assistant")
+        assert got[c]["n_turns"] == len(t) and got[c]["loss_chars"] == len(loss)
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in t).encode()).hexdigest()
+        assert got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+        assert got[c]["formatted_chars"] == sum(len(chat_format.render(r, x)[0]) for r, x in t)
+
+
+def test_chats_share_beginnings(spark):
+    rows = [(c, 0, "user", "hello <|im_end|> \\ <\\|", "x") for c in range(50)] + [(c, 1, "assistant", f"answer {c % 5}", "x") for c in range(50)] + [(90, 0, None, None, "x"), (91, 0, "a\nb", "\\n", "x"), (91, 0, "a\nb", "\\n", "x"), (None, 1, "user", "y", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, path string")
+    packs = materialise(chat_format.format_chats(df.coalesce(1)), "t")
+    texts = [n for p in packs.collect() for n in p["nodes"]]
+    assert len(texts) < 20  # 1 shared turn and 5 answers, once for each partition at most
+    back = {r["conv_id"]: r["n_turns"] for r in chat_format.read_back(packs).collect()}
+    assert back == {**{c: 2 for c in range(50)}, 90: 1, 91: 2, None: 1}
+    for p in packs.collect():
+        for n in p["nodes"]:
+            assert n["position"] == sum(i["end"] - i["start"] for i in n["attend"])
+    assert chat_format.read_back(chat_format.format_chats(df.limit(0))).count() == 0
+
+
+# -- archives --------------------------------------------------------------------------------------------------------------
+
+
+def test_archives(spark):
+    html = {0: "<p>a</p>", 1: "<p>b</p>", 2: "<p>a</p>", 3: None, 4: "", 5: "é\r\n\r\nx" * 3000, 6: "<p>a</p>"}
+    rows = [(i, None if i == 4 else f"http://WWW.Example{i % 3}.com:80/p/{i}?q=1#f", h, "x") for i, h in html.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, sha string")
+    base, directory = warc.write_archive(df)
+    got = {r["page_id"]: r for r in warc.read_archive(base, directory).collect()}
+    first = {}
+    for i, h in html.items():
+        payload = (h or "").encode()
+        first.setdefault(payload, i)
+        want = (len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), "response" if first[payload] == i else "revisit", None if first[payload] == i else first[payload])
+        assert tuple(got[i][k] for k in ("payload_bytes", "payload_digest", "record_type", "refers_to")) == want
+    found = warc.lookup(base, directory, ["https://www.example2.com/p/5?q=1"])
+    assert [(f["page_id"], f["payload"].decode()) for f in found] == [(5, html[5])]
+    assert warc.lookup(base, directory, ["http://nowhere.org/"]) == []
+    assert warc.read_archive(*warc.write_archive(df.limit(0))).count() == 0
+
+
+# -- main text --------------------------------------------------------------------------------------------------------------
+
+
+class Article(HTMLParser):
+    def __init__(self):
+        super().__init__()
+        self.inside, self.blocks, self.now = False, [], []
+
+    def cut(self):
+        if b := " ".join("".join(self.now).split()):
+            self.blocks.append(b)
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.inside = True
+        if tag in ("p", "h1", "article"):
+            self.cut()
+        if tag == "br":
+            self.now.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "article"):
+            self.cut()
+        if tag == "article":
+            self.inside = False
+
+    def handle_data(self, data):
+        if self.inside:
+            self.now.append(data)
+
+
+def test_articles(spark, duck):
+    got = {r["page_id"]: r for r in queries.op1_html_extract(spark, SF).collect()}
+    for page_id, url, html in duck.execute("SELECT page_id, url, html FROM pages").fetchall():
+        a = Article()
+        a.feed(html)
+        a.close()
+        assert got[page_id]["text"] == "\n".join(a.blocks) and got[page_id]["n_chars"] == len("\n".join(a.blocks)) and got[page_id]["url"] == url
+
+
+def test_structure():
+    read = lambda h: html_extract.read_page(h)[0]
+    assert read('<article><header><h1>T &amp; U</h1></header><p>a <b>b</b>&nbsp;c<br>d<aside>no</aside><p>e<div class="comments"><p>no</p></div><form>no</form></article><p>no</p>') == "T & U\na b c d\ne"
+    assert read('<body class="has-sidebar"><div id="cookie-notice">no</div><main><h2>x</h2><ul><li>1<li>2</ul><table><tr><td>a<td>b</table></main></body>') == "x\n1\n2\na b"
+    assert read('<article>a<script>if (a < b) { "</p>" }</script>b<!-- <p>no</p> --></article>') == "a b"
+    assert read('<article><p>ok<span class="ad">no</span> yes</p><nav>no</nav></article>') == "ok\nyes"
+    assert read("") == "" and read("<nav>x</nav>") == "" and read("a < b <3") is None
+
+
+def test_hosts_without_articles(spark):
+    rng = random.Random(1)
+    word = lambda n: " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))
+    common, own = word(15), {i: word(40) for i in range(12)}
+    rows = [(i, f"http://h/{i}", f"<body><div>{common}</div><div>{own[i]}</div></body>", "x") for i in own] + [(50, None, None, "x"), (51, "http://other/", f"<div>{common}</div>", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, main string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    assert got == {**own, 50: "", 51: common}
+    assert html_extract.extract(df.limit(0)).count() == 0
+
+
+# -- languages ---------------------------------------------------------------------------------------------------------------
+
+
+def test_forward_sums_all_segmentations():
+    pieces = language_id.Pieces(SP)
+    p = language_id.smoothed(np.random.default_rng(0).random((pieces.n, 2)))
+    number = {x: i for i, x in enumerate(pieces.names)}
+
+    def brute(w, lang):
+        total = [1.0]
+        for i in range(1, len(w) + 1):
+            total.append(sum(total[k] * (p[number[w[k:i]], lang] if w[k:i] in number else language_id.UNKNOWN if i - k == 1 else 0) for k in range(i)))
+        return total[-1]
+
+    words = ["▁the", "▁ßxq", "▁abc"]
+    alpha = language_id.forward(pieces.lattice(words), 4, p, 3)[4]
+    assert np.allclose(alpha, [[brute(w, k) for k in range(2)] for w in words], rtol=1e-9)
+
+
+def test_held_out_accuracy(spark, docs, odd):
+    got = {r["doc_id"]: r for r in queries.op5_language_id(spark, SF).collect()}
+    held = [d for d in docs if zlib.crc32(str(d[0]).encode()) % 3 == 1]
+    assert all(got[d[0]]["held_out"] for d in held) and sum(r["held_out"] for r in got.values()) == len(held)
+    assert np.mean([got[d[0]]["lang_pred"] == d[2] for d in held]) > 0.95
+    out = language_id.identify(odd[0], SP, sample_docs=5, rounds=1).collect()
+    assert len(out) == len(odd[1]) and all(0 <= r["score"] <= 1 for r in out)
+    assert {r["doc_id"]: r["lang_pred"] for r in out if r["doc_id"] in (1, 2, 3, 8)} == {1: "und", 2: "und", 3: "und", 8: "und"}
+    assert language_id.identify(odd[0].limit(0), SP).count() == 0
+
+
+# -- packing ------------------------------------------------------------------------------------------------------------------
+
+
+def brute_pieces(tokenizer, rows):
+    out = []
+    for doc_id, text in rows:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], np.uint32)
+        start, end, k = 0, len(ids) % 1024 or 1024, 0
+        while start < len(ids):
+            out.append((doc_id, k, start, end - start, zlib.crc32(ids[start:end].tobytes())))
+            start, end, k = end, end + 1024, k + 1
+    return sorted(out, key=repr)
+
+
+def test_packing(spark, docs, odd):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(JSON)
+    names = ("doc_id", "piece", "start", "length", "ids_crc32")
+    for df, rows in ((queries.op6_packing(spark, SF), [d[:2] for d in docs]), (packing.pack(odd[0], JSON, RANKS), [r[:2] for r in odd[1]])):
+        out = df.collect()
+        assert sorted((tuple(r[n] for n in names) for r in out), key=repr) == brute_pieces(tokenizer, rows)
+        by = {}
+        for r in out:
+            by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for parts in by.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= 1024
+        total = sum(r["length"] for r in out)
+        assert len(by) <= 1.05 * total / 1024 + 2
+    assert packing.pack(odd[0].limit(0), JSON, RANKS).count() == 0
+
+
+def test_token_parts():
+    from tokenizers import Tokenizer
+
+    tokens, plain = packing.Tokens(JSON, RANKS), Tokenizer.from_file(JSON)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["a", "bc", " ", "  ", "\n", "\t", "é", "'s", "12", "!", "<|endoftext|>", " ", " ", "\x1c"]) for _ in range(30)) for _ in range(500)]
+    for t in texts:
+        assert np.frombuffer(tokens([t])[0], np.uint32).tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+@pytest.mark.parametrize("rule", ["dot", "norm"])
+def test_plan_keeps_every_constraint(rule):
+    rng = random.Random(4)
+    counts = dict(Counter(rng.randrange(1, 65) for _ in range(3000)))
+    placed = packing.plan(counts, 64, 5, 2500, rule) if max(counts) <= 50 else packing.plan({k: v for k, v in counts.items() if k <= 50}, 64, 5, 2500, rule)
+    bins = {}
+    for length, _, n, first, offset in placed:
+        for i in range(n):
+            bins.setdefault(first + i, []).append((offset, length))
+    for parts in bins.values():
+        assert len(parts) <= 5 and sum(x for _, x in parts) <= 64 and sum(x * x for _, x in parts) <= 2500
+        assert [o for o, _ in sorted(parts)] == [sum(x for o2, x in parts if o2 < o) for o, _ in sorted(parts)]
+    assert sum(n for _, _, n, _, _ in placed) == sum(v for k, v in counts.items() if k <= 50)
+
+
+# -- repeated passages ---------------------------------------------------------------------------------------------------------
+
+
+def brute_repeats(rows):
+    first, out = {}, []
+    cut = [(i, (t or "").encode().split()) for i, t in rows]
+    for i, w in cut:
+        for s in range(len(w) - 19):
+            k = tuple(w[s : s + 20])
+            first[k] = min(first.get(k, (i, s)), (i, s))
+    for i, w in cut:
+        gone = {s + j for s in range(len(w) - 19) if first[tuple(w[s : s + 20])] < (i, s) for j in range(20)}
+        kept = [x for j, x in enumerate(w) if j not in gone]
+        out.append((i, len(w), len(gone), hashlib.sha256(b" ".join(kept)).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_repeated_passages(spark, docs, odd):
+    assert rows_of(queries.op7_substring_dedup(spark, SF)) == brute_repeats([d[:2] for d in docs])
+    last = 1 << 62
+    want = brute_repeats([(last if r[0] is None else r[0], r[1]) for r in odd[1]])
+    assert rows_of(substring_dedup.remove_repeats(odd[0])) == sorted([(None if r[0] == last else r[0], *r[1:]) for r in want], key=repr)
+    assert substring_dedup.remove_repeats(odd[0].limit(0)).count() == 0
+
+
+# -- similarity join -----------------------------------------------------------------------------------------------------------
+
+
+def brute_join(rows):
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().split()
+        k = min(5, len(w))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
+    root = list(range(len(rows)))
+    links = [0] * len(rows)
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                links[i] += 1
+                links[j] += 1
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    return sorted([(r[0], rows[top(i)][0], links[i]) for i, r in enumerate(rows)], key=repr)
+
+
+def test_join(spark, docs, odd):
+    names = ("doc_id", "class_id", "n_links")
+    assert rows_of(queries.op4_jaccard_join(spark, SF), *names) == brute_join([d[:2] for d in docs])
+    known = [r for r in odd[1] if r[0] is not None]
+    assert rows_of(jaccard_join.jaccard_join(odd[0].where("doc_id is not null")), *names) == brute_join([r[:2] for r in known])
+    assert jaccard_join.jaccard_join(odd[0]).count() == len(odd[1])
+    assert jaccard_join.jaccard_join(odd[0].limit(0)).count() == 0
+
+
+def test_join_of_a_large_group(spark):
+    """Hundreds of near copies at all distances, more than a block and than a stretch of leaders."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(700):
+        w = list(base)
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10_000)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = rows_of(jaccard_join.jaccard_join(df, block=100), "doc_id", "class_id", "n_links")
+    assert got == brute_join(rows)
+
+
+def test_components(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
+    root = {}
+    for a, b in edges:
+        root.setdefault(a, a), root.setdefault(b, b)
+    for _ in range(400):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: r for n, r in root.items() if n in got} and set(got) == {x for e in edges if e[0] != e[1] for x in e}
+
+
+def test_recall():
+    assert 1 - (1 - 0.8 ** jaccard_join.prefix_length(20, 4, 0.8, 0.999999)) ** 20 >= 0.999999
+
+
+# -- decontamination -----------------------------------------------------------------------------------------------------------
+
+
+def brute_leaks(docs, items):
+    def words(t):
+        return [decontamination.plain(w) for w in (t or "").encode().split()]
+
+    def bag(w, k):
+        return Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+
+    out = set()
+    for item_id, t in items:
+        b = words(t)
+        if not b:
+            continue
+        k = min(5, len(b))
+        want = bag(b, k)
+        for doc_id, text in docs:
+            w = words(text)
+            for s in range(len(w) - len(b) + 1):
+                if w[s : s + len(b)] and any(tuple(w[s + i : s + i + k]) in want for i in (0, len(b) // 2, len(b) - k)):
+                    have = bag(w[s : s + len(b)], k)
+                    if sum((have & want).values()) >= 0.8 * sum((have | want).values()) - 1e-9:
+                        out.add((doc_id, item_id))
+    return sorted(out, key=repr)
+
+
+def test_leaks(spark, docs, duck, odd):
+    items = duck.execute("SELECT item_id, text FROM benchmark").fetchall()
+    assert sorted(set(rows_of(queries.op9_decontamination(spark, SF), "doc_id", "item_id")), key=repr) == brute_leaks([d[:2] for d in docs], items)
+    bench = spark.createDataFrame([(1, " ".join(odd[1][4][1].split()[50:90]), "x"), (2, None, "x"), (3, "", "x"), (4, "a b c d", "x"), (5, "A, b! c.", "x")], "item_id long, text string, doc_id string")
+    found = set(rows_of(decontamination.find_leaks(odd[0], bench), "doc_id", "item_id"))
+    assert found == {(5, 1), (6, 1), (12, 1), (9, 4), (10, 4), (9, 5), (10, 5)}
+    split = decontamination.find_leaks(odd[0], bench, block_items=2)
+    assert set(rows_of(split, "doc_id", "item_id")) == found
+    kept = [r["doc_id"] for r in decontamination.without_leaks(odd[0], split).collect()]
+    assert 5 not in kept and 11 in kept and None in kept
+    assert decontamination.find_leaks(odd[0].limit(0), bench).count() == 0 and decontamination.find_leaks(odd[0], bench.limit(0)).count() == 0
+
+
+def test_hamming_index_misses_nothing():
+    rng = np.random.default_rng(1)
+    prints = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    asked = prints[:50] ^ rng.integers(0, 1 << 12, 50, dtype=np.uint64)
+    index = decontamination.HammingIndex(prints, 9)
+    want = {(i, j) for i in range(50) for j in range(200) if int(asked[i] ^ prints[j]).bit_count() <= 9}
+    assert set(index.near(asked)) == want
+
+
+# -- pipeline and SQL ---------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline(spark, docs, duck):
+    import corpus_pipeline as p
+
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = materialise(p.keep_known_languages(spark, df, SF), "k")
+    assert kept.columns == list(p.COLUMNS) and kept.count() == len(docs)
+    single = materialise(p.drop_near_duplicates(spark, kept, SF), "k")
+    assert rows_of(single, "doc_id") == sorted({(c,) for _, c, _ in brute_join([d[:2] for d in docs])}, key=repr)
+    clean = materialise(p.drop_leaks(spark, single, SF), "k")
+    leaked = {d for d, _ in brute_leaks([tuple(r) for r in single.select("doc_id", "text").collect()], duck.execute("SELECT item_id, text FROM benchmark").fetchall())}
+    assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in single.collect()} - leaked
+    safe = materialise(p.redact_pii(spark, clean, SF), "k")
+    assert safe.columns == list(p.COLUMNS) and safe.count() == clean.count() and not any(brute_pii(r["text"]) for r in safe.collect())
+    assert {r["doc_id"] for r in p.pack(spark, safe, SF).collect()} == {r["doc_id"] for r in safe.collect()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_same_as_sql(spark, duck, name):
+    assert of_spark(queries.QUERIES[name](spark, SF)) == of_sql(duck, queries.ORACLES[name])
