@@ -94,7 +94,10 @@ def spans_of(kind: str, text: Column, window: int) -> Column:
     """Valid spans of one kind with their scores, by start."""
     found = F.regexp_extract_all(text, F.lit(FAST[kind]), F.lit(0))
     between = F.split(text, FAST[kind], -1)
-    gaps = F.transform(found, lambda m, i: F.struct(m.alias("m"), between[i].alias("before"), between[i + 1].alias("after")))
+    n = F.size(found)
+    # Zipped rather than indexed: what a lambda refers to is worked out anew for each element.
+    pairs = F.zip_with(found, F.slice(between, F.lit(1), n), lambda m, before: F.struct(m.alias("m"), before.alias("before")))
+    gaps = F.zip_with(pairs, F.slice(between, F.lit(2), n), lambda p, after: F.struct(p["m"].alias("m"), p["before"].alias("before"), after.alias("after")))
     state = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
