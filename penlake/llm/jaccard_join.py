@@ -13,7 +13,7 @@
 
 Defined results: words are runs of non-blanks, as they are; a text of one to four words is one shingle; a null or
 empty text has no shingle, no link and is a class of its own; repeated rows are copies; a class is a connected
-component and is named by its smallest doc_id; an empty table gives no rows; other columns are ignored.
+component and is named by its smallest doc_id, a null doc_id coming last; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from penlake.llm.common import WordHashes, materialise, mixed
 from penlake.llm.components import components
 from penlake.llm.packed import ROW, batch_of, by_bucket, freeze, joined_up, parcels, squeeze, thaw, unsqueeze
-from penlake.llm.substring_dedup import Powers, bucket_of
+from penlake.llm.substring_dedup import LAST, Powers, bucket_of
 
 U64, I64, I32 = np.uint64, np.int64, np.int32
 SHINGLED = "doc_id long, node long, check long, n_shingles int, signature binary"
@@ -148,7 +148,7 @@ def jaccard_join(
     """Per row of docs (doc_id, text): doc_id, class_id, n_links (other rows within the threshold), n_copies (rows with the same shingles)."""
     spark = docs.sparkSession
     length = prefix_length(trees, depth, threshold, recall)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     spread = (threshold * (1 - threshold) / (trees * depth)) ** 0.5
     least, close, reach = threshold - 5 * spread, min(0.98, threshold + 2.5 * spread), 2 * threshold - 1 - 5 * spread
 
@@ -302,7 +302,7 @@ def jaccard_join(
         if out and len(x := np.concatenate(out)):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in x.T], ["node", "near", "links"])
 
-    met_sets = by_bucket(wanted.mapInArrow(wants, ROW).unionByName(slim.where("doc_id is not null").mapInArrow(bodies, ROW)), sets, ROW)
+    met_sets = by_bucket(wanted.mapInArrow(wants, ROW).unionByName(slim.mapInArrow(bodies, ROW)), sets, ROW)
     sure = materialise(by_bucket(met_sets, verified, "node long, near long, links long"), "links")
     root = components(sure.select(F.col("node").alias("a"), F.col("near").alias("b")))
     linked_to = sure.groupBy("node").agg(F.sum("links").alias("links"))
@@ -310,9 +310,10 @@ def jaccard_join(
     named = known.groupBy("root").agg(F.min("first").alias("class_id"))
     classes = known.join(named, "root").select("node", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
     out = signed.select("doc_id", "node").join(classes, "node", "left")
+    known_id = lambda c: F.when(c != LAST, c)
     return out.select(
-        "doc_id",
-        F.coalesce("class_id", "doc_id").alias("class_id"),
+        known_id(F.col("doc_id")).alias("doc_id"),
+        known_id(F.coalesce("class_id", "doc_id")).alias("class_id"),
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
     )

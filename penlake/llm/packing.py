@@ -95,7 +95,7 @@ class Tokens:
             self.of.clear()
         of, cut = self.of, [self.parts(t) if t else [] for t in texts]
         new = set().union(*cut).difference(of)
-        plain = [x for x in new if x[1:].isprintable() and "<|" not in x and x.count(" ", 1) == 0 and x.strip()]
+        plain = [x for x in new if x.removeprefix(" ").isprintable() and " " not in x[1:] and "<|" not in x and x.strip()]
         # One text of many parts is much faster than many texts; a line feed before a part stands alone as a token.
         for i in range(0, len(plain), 4_000):
             some = plain[i : i + 4_000]
