@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from penlake.llm import chat_format, decontamination, html_extract, jaccard_join, language_id, packing, pii, quality_rules, substring_dedup, warc
+from penlake.llm import chat_format, decontamination, html_extract, jaccard_join, language_id, packing, pii, quality_rules, sql, substring_dedup, warc
 from penlake.llm.common import materialise, table
 
 
@@ -74,4 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: SQL over the same tables, where there is a form that is fast enough on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_chat_format": sql.CHAT_FORMAT,
+    "op3_quality_rules": sql.QUALITY_RULES,
+    "op7_substring_dedup": sql.SUBSTRING_DEDUP,
+    "op10_warc": sql.WARC,
+}
