@@ -90,3 +90,18 @@ def softmax(logits: Column, temperature: float = 1.0) -> Column:
 def argmax(logits: Column) -> Column:
     """Index of the largest logit, the first where equal."""
     return F.array_position(logits, F.array_max(logits)) - 1
+
+
+def cross_entropy(logits: Column, target: Column) -> Column:
+    """Negative log-likelihood of the logit at index target."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda a, v: a + F.exp(v - top))
+    return F.log(total) + top - F.element_at(logits, target.cast("int") + 1)
+
+
+def cross_attention(targets: DataFrame, context: DataFrame, key: str) -> DataFrame:
+    """Weights of each target row (key, pos, x, y) over all context rows (key, source, kx, ky) of its key, of which there are few."""
+    pairs = targets.join(context, key).withColumn("score", F.col("x") * F.col("kx") + F.col("y") * F.col("ky"))
+    w = Window.partitionBy(key, "pos")
+    e = pairs.withColumn("e", F.exp(F.col("score") - F.max("score").over(w)))
+    return e.select(key, "pos", "source", (F.col("e") / F.sum("e").over(w)).alias("weight"))

@@ -83,11 +83,33 @@ def downsample(points: DataFrame, fraction: float) -> DataFrame:
     inside = Window.partitionBy("item_id", "island", "pen").orderBy("pos")
     p = p.withColumns({"i": F.row_number().over(inside) - 1, "n": F.count("*").over(Window.partitionBy("item_id", "island", "pen"))})
     m = F.least(F.greatest(F.floor(F.col("n") * F.lit(1 - fraction)), F.lit(2)), F.col("n"))
-    step = (F.col("n") - 1) / (m - 1).cast("double")
-    # i is kept if some k has floor(k * step) = i: the smallest k with k * step >= i is tried
-    k = F.ceil(F.col("i") / step)
-    hit = (F.col("i") == F.col("n") - 1) | (F.floor(k * step) == F.col("i"))
-    return p.where((F.col("pen") != 1) | (F.col("n") <= 2) | hit).select("item_id", "pos", "x", "y", "pen")
+    return p.where((F.col("pen") != 1) | (F.col("n") <= 2) | evenly(F.col("i"), F.col("n"), m)).select("item_id", "pos", "x", "y", "pen")
+
+
+def evenly(i: Column, n: Column, m: Column) -> Column:
+    """True if i is among m evenly spaced indices from 0 to n - 1, each rounded down, the last being n - 1."""
+    step = (n - 1) / F.nullif(m - 1, F.lit(0)).cast("double")
+    # i is one of them if floor(k * step) = i for some k; only the k around i / step can be
+    k = F.ceil(i / F.nullif(step, F.lit(0.0)))
+    near = [(j <= m - 2) & (F.floor(j * step) == i) for j in (k - 1, k)]
+    return F.when(m < 1, False).when(m == 1, i == 0).otherwise((i == n - 1) | F.coalesce(near[0] | near[1], i == 0))
+
+
+def downsample_whole(points: DataFrame, fraction: float) -> DataFrame:
+    """floor(n (1 - fraction)) evenly spaced points of each item, whatever the pen does; all of them at a fraction of 1."""
+    if not 0 <= fraction <= 1:
+        raise ValueError("fraction must lie between 0 and 1")
+    if fraction == 1:
+        return points
+    item = Window.partitionBy("item_id")
+    p = points.withColumns({"__i": F.row_number().over(item.orderBy("pos")) - 1, "__n": F.count("*").over(item)})
+    return p.where(evenly(F.col("__i"), F.col("__n"), F.floor(F.col("__n") * F.lit(1 - fraction)))).drop("__i", "__n")
+
+
+def metadata(points: DataFrame) -> DataFrame:
+    """Counts of points and strokes (pen-up points), and width over height, of each item."""
+    ratio = (F.max("x") - F.min("x")) / F.nullif(F.max("y") - F.min("y"), F.lit(0.0))
+    return points.groupBy("item_id").agg(F.count("*").alias("point_count"), F.sum(F.when(F.col("pen") == 0, 1).otherwise(0)).alias("stroke_count"), F.round(ratio, 4).alias("aspect_ratio"))
 
 
 def thin(points: DataFrame, least: float) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from penlake.functions import codec, geometry
-from penlake.operators import corpus, raster, sequence
+from penlake.operators import corpus, raster, sampling, sequence
 from penlake.sources.adapters import points, table, words
 from penlake.streaming import metrics
 
@@ -431,3 +431,71 @@ def q48_smooth(s: SparkSession, d: str) -> DataFrame:
 @query("WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM e) SELECT user_id, count(*) AS n_points, min(ts) AS first_ts FROM g GROUP BY user_id, g")
 def q49_pen_sessions(s: SparkSession, d: str) -> DataFrame:
     return metrics.sessions(table(s, d, "events")).select("user_id", "n_points", "first_ts")
+
+
+@query(
+    f"""WITH {PTS}, c AS (SELECT item_id, pos AS source, x AS kx, y AS ky FROM points WHERE pos <= 8), s AS (SELECT p.item_id, pos, source, x * kx + y * ky AS score FROM points p JOIN c ON c.item_id = p.item_id),
+    e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY item_id, pos)) AS e FROM s) SELECT item_id, pos, source, round(e / sum(e) OVER (PARTITION BY item_id, pos), 6) AS weight FROM e"""
+)
+def q42_cross_attention(s: SparkSession, d: str) -> DataFrame:
+    p = points(s, d).select("item_id", "pos", "x", "y")
+    context = p.where("pos <= 8").select("item_id", F.col("pos").alias("source"), F.col("x").alias("kx"), F.col("y").alias("ky"))
+    return corpus.cross_attention(p, context, "item_id").select("item_id", "pos", "source", r6("weight"))
+
+
+def _words_sql() -> str:
+    u = lambda *part: uniform_sql("'46'", *(f"'{p}'" for p in part), "p_partkey")
+    pick = lambda u, weights: f"len(list_filter([{', '.join(f'{x!r}::double' for x in sampling.steps(weights))}], lambda e: e <= {u}))"
+    char = uniform_sql("'46'", "'char'", "i", "p_partkey")
+    put = lambda at, what: f"left(w, {at}) || {what} || substr(w, {at} + 1)"
+    point, gap = f"floor({u('point')} * (length(w) + 1))::bigint", f"(1 + floor({u('gap')} * (length(w) - 1))::bigint)"
+    ends = " ".join(f"WHEN {u('end', p)} < 0.05::double THEN '{p}'" for p in sampling.PUNCTUATION)
+    return f"""WITH k AS (SELECT p_partkey, {u("kind")} < 0.25::double AS digit, {u("length")} AS u FROM part),
+    n AS (SELECT *, CASE WHEN digit THEN 1 + floor(u * 5)::bigint ELSE 3 + {pick("u", sampling.length_weights())} END AS n FROM k),
+    c AS (SELECT p_partkey, digit, unnest(range(1, n + 1)) AS i FROM n), d AS (SELECT *, {char} AS u FROM c),
+    w AS (SELECT p_partkey, digit, string_agg(CASE WHEN digit THEN floor(u * 10)::bigint::varchar ELSE substr('{sampling.LETTERS}', {pick("u", sampling.LETTER_WEIGHTS)} + 1, 1) END, '' ORDER BY i) AS w FROM d GROUP BY ALL),
+    a AS (SELECT p_partkey, CASE WHEN digit THEN CASE WHEN {u("decimal")} < 0.3::double THEN {put(point, "'.'")} ELSE w END WHEN {u("upper")} < 0.25::double THEN upper(w)
+      WHEN {u("capital")} < 0.25::double THEN upper(left(w, 1)) || substr(w, 2) ELSE w END AS w FROM w),
+    q AS (SELECT *, CASE WHEN {u("mark")} < 0.5::double THEN '"' ELSE chr(39) END AS q FROM a),
+    b AS (SELECT p_partkey, CASE WHEN {u("quoted")} >= 0.1::double THEN w WHEN q <> '"' AND {u("inside")} < 0.5::double AND length(w) > 1 THEN {put(gap, "q")} WHEN {u("side")} < 0.5::double THEN q || w ELSE w || q END AS w FROM q),
+    p AS (SELECT p_partkey, CASE WHEN {u("bracketed")} >= 0.1::double THEN w WHEN {u("opens")} < 0.5::double THEN '(' || w ELSE w || ')' END AS w FROM b)
+    SELECT p_partkey, CASE WHEN {u("flowing")} < 0.8::double THEN w || CASE {ends} ELSE '' END ELSE w END AS word FROM p"""
+
+
+@query(_words_sql())
+def q46_made_up_words(s: SparkSession, d: str) -> DataFrame:
+    return sampling.made_up_words(table(s, d, "part").select("p_partkey"), "p_partkey")
+
+
+@query(f"WITH {PTS} SELECT item_id, count(*) AS point_count, count(*) FILTER (WHERE pen = 0) AS stroke_count, round((max(x) - min(x)) / nullif(max(y) - min(y), 0), 4) AS aspect_ratio FROM points GROUP BY item_id")
+def q50_metadata(s: SparkSession, d: str) -> DataFrame:
+    return sequence.metadata(points(s, d))
+
+
+@query(f"WITH {_LOGITS}, t AS (SELECT vec_id, ln(sum(exp(v))) - max(v) FILTER (WHERE i = vec_id % len) AS nll FROM v JOIN (SELECT vec_id, len(embedding) AS len FROM embeddings) USING (vec_id) GROUP BY vec_id) SELECT label, round(avg(nll), 6) AS loss, count(*) AS n FROM t JOIN embeddings USING (vec_id) GROUP BY label")
+def q51_cross_entropy(s: SparkSession, d: str) -> DataFrame:
+    v = table(s, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    nll = v.select("label", corpus.cross_entropy(F.col("v"), F.col("vec_id") % F.size("v")).alias("nll"))
+    return nll.groupBy("label").agg(F.round(F.avg("nll"), 6).alias("loss"), F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {PTS}, n AS (SELECT item_id, count(*) AS n, floor(count(*) * 0.375::double)::bigint AS m FROM points GROUP BY item_id), k AS (SELECT *, unnest(range(m)) AS k FROM n)
+    SELECT item_id, CASE WHEN k = 0 THEN 0 WHEN k = m - 1 THEN n - 1 ELSE floor(k * ((n - 1) / (m - 1)::double))::bigint END + 1 AS pos FROM k"""
+)
+def q52_downsample_whole(s: SparkSession, d: str) -> DataFrame:
+    return sequence.downsample_whole(points(s, d), 0.625).select("item_id", "pos")
+
+
+@query(
+    f"""WITH {PTS}, n AS (SELECT item_id, pos, pos - 1 AS i, floor({uniform_sql("'9'", "item_id")} * count(*) OVER (PARTITION BY item_id))::bigint AS m FROM points),
+    r AS (SELECT *, i BETWEEN 1 AND m - 2 AS may, row_number() OVER (PARTITION BY item_id, i BETWEEN 1 AND m - 2 ORDER BY {uniform_sql("'9'", "item_id", "pos")}, pos) AS rank FROM n)
+    SELECT item_id, pos FROM r WHERE NOT may OR rank > floor(m * 0.1::double)"""
+)
+def q53_remove_random(s: SparkSession, d: str) -> DataFrame:
+    return sampling.remove_random(points(s, d), 0.1).select("item_id", "pos")
+
+
+@query("SELECT date_trunc('day', ts)::timestamp AS day, event_type, round(avg(value), 6) AS mean_value, count(*) AS n FROM events GROUP BY ALL")
+def q54_window_losses(s: SparkSession, d: str) -> DataFrame:
+    return metrics.window_losses(table(s, d, "events")).select(F.col("window.start").alias("day"), "event_type", r6("mean_value"), "n")
