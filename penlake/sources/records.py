@@ -15,9 +15,9 @@ RECORD = f"metadata {METADATA}, points array<array<double>>"
 BOX = "text string, box_2d array<double>"
 
 
-def read_json(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
-    """A JSON array of records, or one record per line."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_json(spark: SparkSession, path: str, schema: str = RECORD, lines: bool = False) -> DataFrame:
+    """A JSON array of records per file or, with lines, one record per line (as write_json leaves them)."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def read_json_zip(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
