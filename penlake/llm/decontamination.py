@@ -129,19 +129,22 @@ class Benchmark:
             hit = maybe[values[np.minimum(np.searchsorted(values, g[maybe]), len(values) - 1)] == g[maybe]]
             for n, own in lengths.items() if len(hit) else ():
                 at = hit[own[np.minimum(np.searchsorted(own, g[hit]), len(own) - 1)] == g[hit]]
-                if not len(at) or len(words) < n:
+                if not len(at):
+                    continue
+                m = min(n, len(words))  # words of a window: all of a document that is shorter than the item
+                if m - k + 1 < threshold * (n - k + 1) - 1e-9:
                     continue
                 mark = np.zeros(len(words) + 1, I64)
-                np.add.at(mark, np.maximum(at - (n - k), 0), 1)
+                np.add.at(mark, np.maximum(at - (m - k), 0), 1)
                 np.add.at(mark, at + 1, -1)
-                starts = np.flatnonzero(np.cumsum(mark)[: len(words) - n + 1])
+                starts = np.flatnonzero(np.cumsum(mark)[: len(words) - m + 1])
                 if not len(starts):
                     continue
                 _, ids, bags, index = self.lengths[n]
                 found: dict[int, list] = {}
-                for i, j in index.near(fingerprints(h, starts, n)):
+                for i, j in index.near(fingerprints(h, starts, m)):
                     s = int(starts[i])
-                    if (sim := weighted_similarity(g[s : s + n - k + 1], bags[j])) >= threshold - 1e-12:
+                    if (sim := weighted_similarity(g[s : s + m - k + 1], bags[j])) >= threshold - 1e-12:
                         row = found.setdefault(j, [0, s, sim])
                         row[0] += 1
                         if sim > row[2]:

@@ -465,6 +465,36 @@ def test_leaks(spark, docs, duck, odd):
     assert decontamination.find_leaks(odd[0].limit(0), bench).count() == 0 and decontamination.find_leaks(odd[0], bench.limit(0)).count() == 0
 
 
+def test_leaks_of_short_documents(spark):
+    """Documents shorter than an item, cut at either end or inside, as one window."""
+    rng = random.Random(9)
+    items = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(rng.randrange(3, 60)))) for i in range(60)]
+    docs = []
+    for _, t in items:
+        w = t.split()
+        for gone in range(1, 14):
+            docs += [w[:-gone], w[gone:], w[gone // 2 : len(w) - (gone + 1) // 2], w[: len(w) // 2] + w[len(w) // 2 + gone :]]
+    docs = [(i, " ".join(w)) for i, w in enumerate(docs)]
+
+    def bag(w):
+        return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+    bags = [(i, len(t.split()), bag(t.split())) for i, t in items]
+    want = {}
+    for d, text in docs:
+        have = bag(text.split())
+        for i, n, item in bags:
+            if have and len(text.split()) < n and 10 * (have & item).total() >= 8 * (have | item).total():
+                want[d, i] = (have & item).total() / (have | item).total()
+    got = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    rows = {(r["doc_id"], r["item_id"]): r for r in got.collect()}
+    assert len(want) > 500 and set(rows) == set(want)
+    assert all(r["n_windows"] == 1 and r["start"] == 0 and abs(r["similarity"] - want[k]) < 1e-9 for k, r in rows.items())
+    short = {d for d, _ in want}
+    spared = decontamination.without_leaks(spark.createDataFrame(docs, "doc_id long, text string"), got)
+    assert {r["doc_id"] for r in spared.collect()} == {d for d, _ in docs} - short
+
+
 def test_hamming_index_misses_nothing():
     rng = np.random.default_rng(1)
     prints = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
