@@ -11,6 +11,12 @@ run the forward and backward passes and return expected piece counts, which Spar
 one number per piece and language. Words are lower-cased runs of non-blanks; a word over 32 characters is scored in
 stretches of 32; a character that no piece covers has a small fixed probability, the same in each language.
 
+The posterior compares the learned languages only and runs to 1 with a text's length. Whether a text is in any of them
+is told by its fit: the mean log-probability of a character under the best language, over the plain words (letters, with
+punctuation around them) if they are at least half of the words with a letter, else over all of these; so keys, numbers
+and addresses in a short text don't decide.
+identify_known() holds it against a bound for each language, fitted on the labelled rows of the sample.
+
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is every text if no labelled row
 was given; ties go to the language that sorts first; repeated rows are scored each by itself; an empty table gives no
 rows; other columns are ignored.
@@ -30,7 +36,10 @@ from pyspark.sql import types as T
 
 START, LONGEST, UNKNOWN = "▁", 32, 1e-7
 LETTER = re.compile(r"[^\W\d_]")
+PLAIN = re.compile(r"[\W_]*[^\W\d_]+(['’-][^\W\d_]+)*[\W_]*")
 BASE = np.uint64(0x100000001B3)
+#: A language's bound lies so many times the distance from the median fit to the 5 % quantile under the median, and at least so far under it.
+SPREADS, LEAST_DISTANCE = 6.0, 1.5
 
 
 class Pieces:
@@ -102,12 +111,12 @@ def stretches(word: str) -> list[str]:
 
 
 class Scorer:
-    """Log-probabilities of words in all languages, remembered up to a bound."""
+    """Log-probabilities of words in all languages, remembered up to a bound; again for words with a letter and for plain ones, with their lengths and numbers."""
 
     def __init__(self, pieces: Pieces, p: np.ndarray, most: int = 400_000):
         self.pieces, self.p, self.most = pieces, p, most
         self.row: dict[str, int] = {}
-        self.values = np.zeros((0, p.shape[1]))
+        self.values = np.zeros((0, 3 * p.shape[1] + 4))
 
     def learn(self, words: set[str]) -> None:
         by_size: dict[int, list[tuple[str, int]]] = defaultdict(list)
@@ -123,15 +132,21 @@ class Scorer:
                 np.add.at(out, [i for _, i in some], np.log(np.maximum(alpha, 1e-300)))
         start = len(self.values)
         self.row.update(zip(new, range(start, start + len(new))))
-        self.values = np.vstack([self.values, out])
+        size = np.array([[len(w) + 1] for w in new], float).reshape(-1, 1)
+        letters, plain = (np.array([[bool(f(w))] for w in new], float).reshape(-1, 1) for f in (has_letter, PLAIN.fullmatch))
+        self.values = np.vstack([self.values, np.hstack([out, out * letters, out * plain, size * letters, size * plain, letters, plain])])
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Per text and language: the sum of its words' log-probabilities, and the fit."""
         if len(self.row) > self.most:
             self.row, self.values = {}, self.values[:0]
         cut = [t.lower().split() for t in texts]
         self.learn(set().union(*cut).difference(self.row))
         row = self.row
-        return np.array([self.values[np.fromiter(map(row.__getitem__, w), np.int64, len(w))].sum(axis=0) for w in cut])
+        sums = np.array([self.values[np.fromiter(map(row.__getitem__, w), np.int64, len(w))].sum(axis=0) for w in cut])
+        n = self.p.shape[1]
+        of_letters, of_plain = (sums[:, n * i : n * (i + 1)] / np.maximum(sums[:, 3 * n + i - 1, None], 1) for i in (1, 2))
+        return sums[:, :n], np.where(2 * sums[:, -1:] >= sums[:, -2:-1], of_plain, of_letters)
 
 
 def has_letter(text: str | None) -> bool:
@@ -145,15 +160,23 @@ def smoothed(counts: np.ndarray, mix: float = 0.01) -> np.ndarray:
     return np.vstack([p, np.zeros(p.shape[1]), np.full(p.shape[1], UNKNOWN)])
 
 
-def fit(labelled: DataFrame, vocabulary: str, sample_docs: int = 1000, rounds: int = 3) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, their piece probabilities and log shares, from rows (text, lang) with a letter and a label."""
+def sample_of(labelled: DataFrame, sample_docs: int) -> tuple[DataFrame | None, dict[str, int]]:
+    """Up to about so many labelled rows (lang, text) of each language, and how many there are."""
     rows = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
     langs = sorted(totals)
     if not langs:
-        return [], np.zeros((0, 0)), np.zeros(0)
+        return None, {}
     share = F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(min(1.0, sample_docs / totals[k])))))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
+    return rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003), totals
+
+
+def fit(labelled: DataFrame, vocabulary: str, sample_docs: int = 1000, rounds: int = 3) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, their piece probabilities and log shares, from rows (text, lang) with a letter and a label."""
+    sample, totals = sample_of(labelled, sample_docs)
+    langs = sorted(totals)
+    if not langs:
+        return [], np.zeros((0, 0)), np.zeros(0)
     number = F.create_map(*(x for i, k in enumerate(langs) for x in (F.lit(k), F.lit(i))))
     words = sample.select(number[F.col("lang")].alias("lang"), F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''")
     words = words.groupBy("lang", "word").agg(F.count("*").alias("n")).persist()
@@ -189,28 +212,39 @@ def fit(labelled: DataFrame, vocabulary: str, sample_docs: int = 1000, rounds: i
     return langs, p, np.log(n / n.sum())
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], vocabulary: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of docs with lang_pred and score, in one pass over docs."""
+def fit_bounds(labelled: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], vocabulary: str, sample_docs: int = 1000) -> dict[str, float]:
+    """The least fit of each language, from the fit of its labelled rows; nothing that is seen in under a twentieth of them moves it."""
+    sample, _ = sample_of(labelled, sample_docs)
+    if sample is None:
+        return {}
+    fits = predict(sample, model, vocabulary, ("lang",), with_fit=True).where("lang_pred = lang")
+    rows = fits.groupBy("lang").agg(F.percentile("fit", F.array(F.lit(0.5), F.lit(0.05))).alias("q")).collect()  # a row per language
+    return {r["lang"]: r["q"][0] - max(SPREADS * (r["q"][0] - r["q"][1]), LEAST_DISTANCE) for r in rows}
+
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], vocabulary: str, keep: tuple[str, ...] = ("doc_id",), with_fit: bool = False) -> DataFrame:
+    """The columns ``keep`` of docs with lang_pred and score, and on request fit (null for ``und``), in one pass over docs."""
     langs, p, prior = model
-    names = [*keep, "lang_pred", "score"]
+    names = [*keep, "lang_pred", "score", *["fit"] * with_fit]
     slim = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    schema = T.StructType([*slim.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*slim.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *[T.StructField("fit", T.DoubleType())] * with_fit])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Pieces(vocabulary), p) if langs else None
         for b in batches:
             texts = b.column(len(keep)).to_pylist()
-            pred, score = ["und"] * len(texts), np.zeros(len(texts))
+            pred, score, fits = ["und"] * len(texts), np.zeros(len(texts)), [None] * len(texts)
             known = [i for i, t in enumerate(texts) if has_letter(t)] if scorer else []
             for at in range(0, len(known), 512):
                 some = known[at : at + 512]
-                logs = scorer([texts[i] for i in some]) + prior
+                logs, means = scorer([texts[i] for i in some])
+                logs = logs + prior
                 logs -= logs.max(axis=1, keepdims=True)
                 post = np.exp(logs)
                 post /= post.sum(axis=1, keepdims=True)
-                for i, best, s in zip(some, post.argmax(axis=1), post.max(axis=1)):
-                    pred[i], score[i] = langs[best], s
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score)], names)
+                for i, best, s, mean in zip(some, post.argmax(axis=1), post.max(axis=1), means):
+                    pred[i], score[i], fits[i] = langs[best], s, float(mean[best])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score), *[pa.array(fits, pa.float64())] * with_fit], names)
 
     return slim.mapInArrow(run, schema)
 
@@ -224,3 +258,12 @@ def identify(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id"
     """Fit on the documents that aren't held out, predict all: the columns ``keep``, lang_pred, score and held_out."""
     model = fit(docs.where(~held_out()).select("text", "lang"), vocabulary, **fitting)
     return predict(docs, model, vocabulary, keep).withColumn("held_out", held_out())
+
+
+def identify_known(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",), **fitting) -> DataFrame:
+    """As identify(), but with fit and known: whether the text's fit reaches the bound of its language."""
+    labelled = docs.where(~held_out()).select("text", "lang")
+    model = fit(labelled, vocabulary, **fitting)
+    bounds = fit_bounds(labelled, model, vocabulary, **{k: v for k, v in fitting.items() if k == "sample_docs"})
+    least = F.coalesce(*(F.when(F.col("lang_pred") == k, F.lit(v)) for k, v in bounds.items()), F.lit(float("inf")))
+    return predict(docs, model, vocabulary, keep, with_fit=True).withColumn("known", F.coalesce(F.col("fit") >= least, F.lit(False)))
