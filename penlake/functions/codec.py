@@ -17,6 +17,7 @@ R_EDGES = [0.0] + [0.0001 + (0.060 - 0.0001) * i / 29 for i in range(30)] + [0.0
 N_R = len(R_EDGES)
 FIRST_THETA = 2 * N_R
 PAD, END, WORD = 522, 523, 524
+LONGEST = 1500  # tokens of a sequence
 ALPHABET = " enaitoshrdx.vpukbgfcymzw1lqj804I92637OTAS5N)EHR\"'(BCQLMWYU,ZF!DXV?KPGJ"
 
 
@@ -45,10 +46,14 @@ def without_specials(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(PAD, END, WORD))
 
 
+def encode_whole(text: Column) -> Column:
+    """Character ids of the whole text, 0 for unknown ones."""
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c).cast("bigint"))
+
+
 def encode_text(text: Column, length: int = 50) -> Column:
     """Character ids, 0 for unknown ones and padding, cut to length."""
-    ids = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c).cast("bigint"))
-    return F.slice(F.concat(ids, F.array_repeat(F.lit(0).cast("bigint"), length)), 1, length)
+    return F.slice(F.concat(encode_whole(text), F.array_repeat(F.lit(0).cast("bigint"), length)), 1, length)
 
 
 def decode_text(ids: Column) -> Column:

@@ -174,6 +174,19 @@ def q16_decode_text(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").where("text is not null").select("doc_id", codec.decode_text(codec.encode_text(F.col("text"))).alias("text"))
 
 
+@query(f"SELECT doc_id, array_to_string({_IDS}, ' ') AS ids FROM documents WHERE text IS NOT NULL")
+def q15b_encode_whole_text(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").where("text is not null").select("doc_id", F.array_join(codec.encode_whole(F.col("text")).cast("array<string>"), " ").alias("ids"))
+
+
+@query(
+    f"""WITH e AS (SELECT doc_id, {_IDS} AS ids FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, ids, coalesce(list_position(ids, 0), 0) AS z FROM e)
+    SELECT doc_id, array_to_string(list_transform(list_slice(ids, 1, CASE WHEN z > 0 THEN z - 1 ELSE len(ids) END), lambda i: substr('{codec.ALPHABET.replace(chr(39), chr(39) * 2)}', i, 1)), '') AS text FROM k"""
+)
+def q16b_decode_whole_text(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").where("text is not null").select("doc_id", codec.decode_text(codec.encode_whole(F.col("text"))).alias("text"))
+
+
 def token_arrays(s: SparkSession, d: str) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("pos", F.col("t").cast("int").alias("t"), F.col("d").cast("int").alias("d"))))
     return tokens(s, d).groupBy("item_id").agg(F.flatten(F.transform(parts, lambda p: F.array(p["t"], p["d"]))).alias("tokens"))
@@ -191,6 +204,15 @@ def q17_shift_pad(s: SparkSession, d: str) -> DataFrame:
     return token_arrays(s, d).select("item_id", F.array_join(x.cast("array<string>"), " ").alias("x"), F.array_join(y.cast("array<string>"), " ").alias("y"))
 
 
+@query(
+    f"""WITH {_ARR}, n AS (SELECT item_id, a, least(len(a), {codec.LONGEST - 1}) AS n FROM arr), x AS (SELECT item_id, n, list_concat(list_slice(a, 1, n), [{codec.END}], list_transform(range({codec.LONGEST - 1} - n), lambda i: {codec.PAD})) AS x FROM n)
+    SELECT item_id, array_to_string(x, ' ') AS x, array_to_string(list_concat(list_slice(x, 2, n + 1), [{codec.END}], list_transform(range({codec.LONGEST - 1} - n), lambda i: {codec.PAD})), ' ') AS y FROM x"""
+)
+def q17b_shift_pad_long(s: SparkSession, d: str) -> DataFrame:
+    x, y = codec.shifted(F.col("tokens"), codec.LONGEST)
+    return token_arrays(s, d).select("item_id", F.array_join(x.cast("array<string>"), " ").alias("x"), F.array_join(y.cast("array<string>"), " ").alias("y"))
+
+
 def marked(s: SparkSession, d: str) -> DataFrame:
     """Token arrays with WORD in place of pen-up distances and after them."""
     return token_arrays(s, d).withColumn("tokens", F.flatten(F.transform("tokens", lambda t: F.when(t.between(codec.N_R, codec.FIRST_THETA - 1), F.array(F.lit(codec.WORD), F.lit(codec.WORD))).otherwise(F.array(t)))))
@@ -395,6 +417,20 @@ def q41_causal_attention(s: SparkSession, d: str) -> DataFrame:
     return e.select("item_id", F.col("pos").alias("target"), "source", F.round(F.col("e") / F.sum("e").over(w), 6).alias("weight"))
 
 
+@query(
+    f"""WITH {PTS}, s AS (SELECT t.item_id, t.pos AS target, k.pos AS source, t.x * k.x + t.y * k.y AS score FROM points t JOIN points k ON t.item_id = k.item_id AND k.pos BETWEEN t.pos - {codec.LONGEST - 1} AND t.pos),
+    e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY item_id, target)) AS e FROM s) SELECT item_id, target, source, round(e / sum(e) OVER (PARTITION BY item_id, target), 6) AS weight FROM e"""
+)
+def q41b_causal_attention_long(s: SparkSession, d: str) -> DataFrame:
+    """Causal attention over the last LONGEST positions up to the target; blocks of that many keep the join from making all pairs of a longer item."""
+    p = points(s, d).select("item_id", F.floor((F.col("pos") - 1) / codec.LONGEST).alias("block"), "pos", "x", "y")
+    k = p.select("item_id", F.explode(F.array("block", F.col("block") + 1)).alias("block"), F.col("pos").alias("source"), F.col("x").alias("kx"), F.col("y").alias("ky"))
+    pairs = p.join(k, ["item_id", "block"]).where(F.col("source").between(F.col("pos") - (codec.LONGEST - 1), F.col("pos"))).withColumn("score", F.col("x") * F.col("kx") + F.col("y") * F.col("ky"))
+    w = Window.partitionBy("item_id", "pos")
+    e = pairs.withColumn("e", F.exp(F.col("score") - F.max("score").over(w)))
+    return e.select("item_id", F.col("pos").alias("target"), "source", F.round(F.col("e") / F.sum("e").over(w), 6).alias("weight"))
+
+
 @query(f"WITH {PTS} SELECT item_id, pos, round(coalesce(sum(x + 0.17::double) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 6) AS x FROM points")
 def q43_v1_side_by_side(s: SparkSession, d: str) -> DataFrame:
     return sequence.side_by_side(points(s, d).select("item_id", "pos", F.col("x").alias("width")), 0.17).select("item_id", "pos", r6("x"))
@@ -443,6 +479,16 @@ def q42_cross_attention(s: SparkSession, d: str) -> DataFrame:
     return corpus.cross_attention(p, context, "item_id").select("item_id", "pos", "source", r6("weight"))
 
 
+@query(
+    f"""WITH {PTS}, s AS (SELECT p.item_id, p.pos, c.pos AS source, p.x * c.x + p.y * c.y AS score FROM points p JOIN points c ON c.item_id = p.item_id),
+    e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY item_id, pos)) AS e FROM s) SELECT item_id, pos, source, round(e / sum(e) OVER (PARTITION BY item_id, pos), 6) AS weight FROM e"""
+)
+def q42b_cross_attention_whole(s: SparkSession, d: str) -> DataFrame:
+    p = points(s, d).select("item_id", "pos", "x", "y")
+    context = p.select("item_id", F.col("pos").alias("source"), F.col("x").alias("kx"), F.col("y").alias("ky"))
+    return corpus.cross_attention(p, context, "item_id").select("item_id", "pos", "source", r6("weight"))
+
+
 def _words_sql() -> str:
     u = lambda *part: uniform_sql("'46'", *(f"'{p}'" for p in part), "p_partkey")
     pick = lambda u, weights: f"len(list_filter([{', '.join(f'{x!r}::double' for x in sampling.steps(weights))}], lambda e: e <= {u}))"
