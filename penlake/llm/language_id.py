@@ -8,8 +8,11 @@ training rows, and the score given out is the posterior of the best language.
 Training is expectation-maximisation on the words of a bounded sample (``sample_docs`` labelled rows per language,
 chosen by a hash of the text; a sample of more rows changes accuracy, nothing else): tasks take words with counts,
 run the forward and backward passes and return expected piece counts, which Spark sums. What comes to the driver is
-one number per piece and language. Words are lower-cased runs of non-blanks; a word over 32 characters is scored in
-stretches of 32; a character that no piece covers has a small fixed probability, the same in each language.
+one number per piece and language, at most ``most_languages`` of which are learned at once (more labels than that are
+an error, so the table that goes to the tasks has a bound); it's broadcast once a round. Words are lower-cased runs of
+non-blanks of any length: sums are divided by their own size every few characters, so they can't underflow, and a word
+is read in blocks that carry the last sums over. A character that no piece covers has a small fixed probability, the
+same in each language.
 
 The posterior compares the learned languages only and runs to 1 with a text's length. Whether a text is in any of them
 is told by its fit: the mean log-probability of a character under the best language, over the plain words (letters, with
@@ -25,7 +28,7 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-START, LONGEST, UNKNOWN = "▁", 32, 1e-7
+START, UNKNOWN = "▁", 1e-7
+#: Sums are rescaled every so many characters; words are looked up in blocks of so many; batches hold so many characters.
+RESCALE, BLOCK, BATCH = 16, 1 << 14, 1 << 17
 LETTER = re.compile(r"[^\W\d_]")
 PLAIN = re.compile(r"[\W_]*[^\W\d_]+(['’-][^\W\d_]+)*[\W_]*")
 BASE = np.uint64(0x100000001B3)
@@ -63,51 +68,81 @@ class Pieces:
             h = (h * int(BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
-    def lattice(self, words: list[str]) -> dict[tuple[int, int], np.ndarray]:
-        """For words of one length: (start, length) -> piece ids; n where there is none, n + 1 for an unknown character."""
+    def lattice(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For words of one length, by piece length from 1: ids at each start (n where there is none, n + 1 for an unknown character), and the starts where a word has one."""
         size = len(words[0])
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), size).astype(np.uint64) + np.uint64(1)
-        found: dict[tuple[int, int], np.ndarray] = {}
-        h = np.zeros_like(codes)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), size).astype(np.uint64) + np.uint64(1)
+        found, h = [], np.zeros_like(codes)
         for k in range(1, min(self.most, size) + 1):
             h = h[:, : size - k + 1] * BASE + codes[:, k - 1 :]
             at = np.minimum(np.searchsorted(self.hashes, h), self.n - 1)
-            ids = np.where(self.hashes[at] == h, self.order[at], self.n + (k == 1))
-            for s in range(size - k + 1):
-                if k == 1 or (ids[:, s] != self.n).any():
-                    found[s, k] = ids[:, s]
+            ids = np.where(self.hashes[at] == h, self.order[at], self.n + (k == 1)).astype(np.int32)
+            found.append((ids, (ids != self.n).any(axis=0)))
         return found
 
 
-def forward(lattice: dict, size: int, p: np.ndarray, n: int) -> np.ndarray:
-    """alpha[i]: per word and language, the sum over segmentations of the first i characters. p: (pieces + 2, languages)."""
-    alpha = np.zeros((size + 1, n, p.shape[1]))
-    alpha[0] = 1
-    for i in range(1, size + 1):
-        for k in range(1, i + 1):
-            ids = lattice.get((i - k, k))
-            if ids is not None:
-                alpha[i] += alpha[i - k] * p[ids]
-    return alpha
-
-
-def expected(lattice: dict, size: int, p: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def log_forward(pieces: Pieces, words: list[str], p: np.ndarray) -> np.ndarray:
+    """For words of one length, per word and language, the logarithm of the sum over all segmentations. p: (pieces + 2, languages)."""
+    size, n = len(words[0]), len(words)
+    ring = [np.ones((n, p.shape[1]))]  # sums for the last few ends, the newest last
+    logs = np.zeros((n, p.shape[1]))
+    for at in range(0, size, BLOCK):
+        lo = max(0, at - pieces.most + 1)
+        lattice = pieces.lattice([w[lo : at + BLOCK] for w in words])
+        for i in range(at + 1, min(size, at + BLOCK) + 1):
+            total = np.zeros_like(logs)
+            for k in range(1, min(len(lattice), i - lo) + 1):
+                ids, some = lattice[k - 1]
+                if some[i - k - lo]:
+                    total += ring[-k] * p[ids[:, i - k - lo]]
+            ring.append(total)
+            del ring[: -pieces.most]
+            if i % RESCALE == 0:
+                logs += np.log(total)
+                ring = [r / total for r in ring]
+    return logs + np.log(ring[-1])
+
+
+def expected(pieces: Pieces, words: list[str], p: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Expected piece counts of weighted words of one length under one language's p (pieces + 2)."""
-    alpha = forward(lattice, size, p[:, None], len(weights))[:, :, 0]
-    beta = np.zeros_like(alpha)
-    beta[size] = 1
-    for (s, k), ids in sorted(lattice.items(), key=lambda x: -x[0][0]):
-        beta[s] += p[ids] * beta[s + k]
-    share = weights / np.maximum(alpha[size], 1e-300)
+    size, n, lattice = len(words[0]), len(words), pieces.lattice(words)
+
+    def sums(ends: range, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sums from the start (step 1) or from the end (step -1), each divided by its entry's scale, and the logarithms of the scales."""
+        out, logs, scale = np.zeros((size + 1, n)), np.zeros((size + 1, n)), np.zeros(n)
+        out[ends[0] - step] = 1
+        for done, i in enumerate(ends, 1):
+            for k, (ids, some) in enumerate(lattice, 1):
+                j = i - step * k
+                start = min(i, j)
+                if 0 <= j <= size and some[start]:
+                    out[i] += out[j] * p[ids[:, start]] * (np.exp(logs[j] - scale) if done >= RESCALE else 1)
+            logs[i] = scale
+            if done % RESCALE == 0:
+                scale = scale + np.log(out[i])
+                out[i], logs[i] = 1, scale
+        return out, logs
+
+    alpha, alpha_logs = sums(range(1, size + 1), 1)
+    beta, beta_logs = sums(range(size - 1, -1, -1), -1)
+    whole = alpha_logs[size] + np.log(alpha[size])
     out = np.zeros(len(p))
-    for (s, k), ids in lattice.items():
-        out += np.bincount(ids, alpha[s] * p[ids] * beta[s + k] * share, len(p))
+    for k, (ids, some) in enumerate(lattice, 1):
+        for s in np.flatnonzero(some):
+            share = np.exp(alpha_logs[s] + beta_logs[s + k] - whole) * weights
+            out += np.bincount(ids[:, s], alpha[s] * p[ids[:, s]] * beta[s + k] * share, len(p))
     return out
 
 
-def stretches(word: str) -> list[str]:
-    w = START + word
-    return [w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
+def batches_of(words: list[tuple], size_of) -> Iterator[list[tuple]]:
+    """Words of one length together, at most BATCH characters at a time (one word at least)."""
+    by: dict = defaultdict(list)
+    for w in words:
+        by[size_of(w)].append(w)
+    for size, some in by.items():
+        step = max(1, BATCH // (size[-1] if isinstance(size, tuple) else size))
+        for at in range(0, len(some), step):
+            yield some[at : at + step]
 
 
 class Scorer:
@@ -119,17 +154,10 @@ class Scorer:
         self.values = np.zeros((0, 3 * p.shape[1] + 4))
 
     def learn(self, words: set[str]) -> None:
-        by_size: dict[int, list[tuple[str, int]]] = defaultdict(list)
         new = sorted(words)
         out = np.zeros((len(new), self.p.shape[1]))
-        for i, w in enumerate(new):
-            for part in stretches(w):
-                by_size[len(part)].append((part, i))
-        for size, parts in by_size.items():
-            for at in range(0, len(parts), 4096):
-                some = parts[at : at + 4096]
-                alpha = forward(self.pieces.lattice([x for x, _ in some]), size, self.p, len(some))[size]
-                np.add.at(out, [i for _, i in some], np.log(np.maximum(alpha, 1e-300)))
+        for some in batches_of([(START + w, i) for i, w in enumerate(new)], lambda x: len(x[0])):
+            out[[i for _, i in some]] = log_forward(self.pieces, [w for w, _ in some], self.p)
         start = len(self.values)
         self.row.update(zip(new, range(start, start + len(new))))
         size = np.array([[len(w) + 1] for w in new], float).reshape(-1, 1)
@@ -140,7 +168,7 @@ class Scorer:
         """Per text and language: the sum of its words' log-probabilities, and the fit."""
         if len(self.row) > self.most:
             self.row, self.values = {}, self.values[:0]
-        cut = [t.lower().split() for t in texts]
+        cut = [words_of(t) for t in texts]
         self.learn(set().union(*cut).difference(self.row))
         row = self.row
         sums = np.array([self.values[np.fromiter(map(row.__getitem__, w), np.int64, len(w))].sum(axis=0) for w in cut])
@@ -149,6 +177,10 @@ class Scorer:
         return sums[:, :n], np.where(2 * sums[:, -1:] >= sums[:, -2:-1], of_plain, of_letters)
 
 
+def words_of(text: str) -> list[str]:
+    return text.lower().split()
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text and LETTER.search(text))
 
@@ -160,41 +192,50 @@ def smoothed(counts: np.ndarray, mix: float = 0.01) -> np.ndarray:
     return np.vstack([p, np.zeros(p.shape[1]), np.full(p.shape[1], UNKNOWN)])
 
 
-def sample_of(labelled: DataFrame, sample_docs: int) -> tuple[DataFrame | None, dict[str, int]]:
+def sample_of(labelled: DataFrame, sample_docs: int, most_languages: int = 500) -> tuple[DataFrame | None, dict[str, int]]:
     """Up to about so many labelled rows (lang, text) of each language, and how many there are."""
     rows = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}  # a row per language
     langs = sorted(totals)
     if not langs:
         return None, {}
+    if len(langs) > most_languages:
+        raise ValueError(f"more than {most_languages} labels")
     share = F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(min(1.0, sample_docs / totals[k])))))
     return rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003), totals
 
 
-def fit(labelled: DataFrame, vocabulary: str, sample_docs: int = 1000, rounds: int = 3) -> tuple[list[str], np.ndarray, np.ndarray]:
+def fit(labelled: DataFrame, vocabulary: str, sample_docs: int = 1000, rounds: int = 3, most_languages: int = 500) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, their piece probabilities and log shares, from rows (text, lang) with a letter and a label."""
-    sample, totals = sample_of(labelled, sample_docs)
+    sample, totals = sample_of(labelled, sample_docs, most_languages)
     langs = sorted(totals)
     if not langs:
         return [], np.zeros((0, 0)), np.zeros(0)
-    number = F.create_map(*(x for i, k in enumerate(langs) for x in (F.lit(k), F.lit(i))))
-    words = sample.select(number[F.col("lang")].alias("lang"), F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''")
-    words = words.groupBy("lang", "word").agg(F.count("*").alias("n")).persist()
+    context = labelled.sparkSession.sparkContext
+    number = {k: i for i, k in enumerate(langs)}
 
-    def e_step(p: np.ndarray):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: Counter = Counter()
+            for lang, text in zip(*(c.to_pylist() for c in b.columns)):
+                seen.update((number[lang], w) for w in words_of(text))
+            if seen:
+                lang, word = zip(*seen)
+                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(word), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
+
+    words = sample.select("lang", "text").mapInArrow(count, "lang int, word string, n long")
+    words = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
+
+    def e_step(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pieces = Pieces(vocabulary)
+            pieces, p = Pieces(vocabulary), shared.value
             table = p if len(p) else np.vstack([np.full((pieces.n, len(langs)), 1 / pieces.n), np.zeros(len(langs)), np.full(len(langs), UNKNOWN)])
             total = np.zeros((pieces.n + 2, len(langs)))
             for b in batches:
-                by: dict[tuple[int, int], list[tuple[str, int]]] = defaultdict(list)
-                for lang, word, n in zip(*(c.to_pylist() for c in b.columns)):
-                    for part in stretches(word):
-                        by[lang, len(part)].append((part, n))
-                for (lang, size), parts in by.items():
-                    for at in range(0, len(parts), 4096):
-                        some = parts[at : at + 4096]
-                        total[:, lang] += expected(pieces.lattice([x for x, _ in some]), size, table[:, lang], np.array([n for _, n in some], float))
+                rows = [(lang, START + word, n) for lang, word, n in zip(*(c.to_pylist() for c in b.columns))]
+                for some in batches_of(rows, lambda x: (x[0], len(x[1]))):
+                    lang = some[0][0]
+                    total[:, lang] += expected(pieces, [w for _, w, _ in some], table[:, lang], np.array([n for *_, n in some], float))
             piece, lang = np.nonzero(total[: pieces.n])
             yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(total[piece, lang])], ["piece", "lang", "n"])
 
@@ -203,7 +244,7 @@ def fit(labelled: DataFrame, vocabulary: str, sample_docs: int = 1000, rounds: i
     p = np.zeros((0, len(langs)))
     size = Pieces(vocabulary).n
     for _ in range(rounds):
-        got = words.select("lang", "word", "n").mapInArrow(e_step(p), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        got = words.mapInArrow(e_step(context.broadcast(p)), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
         counts = np.zeros((size, len(langs)))
         counts[got["piece"], got["lang"]] = got["n"]
         p = smoothed(counts)
@@ -229,8 +270,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], vo
     slim = docs.select(*keep, F.col("text").cast("string").alias("__text"))
     schema = T.StructType([*slim.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *[T.StructField("fit", T.DoubleType())] * with_fit])
 
+    shared = docs.sparkSession.sparkContext.broadcast(p)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(Pieces(vocabulary), p) if langs else None
+        scorer = Scorer(Pieces(vocabulary), shared.value) if langs else None
         for b in batches:
             texts = b.column(len(keep)).to_pylist()
             pred, score, fits = ["und"] * len(texts), np.zeros(len(texts)), [None] * len(texts)

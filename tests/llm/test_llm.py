@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -244,20 +245,73 @@ def test_hosts_without_articles(spark):
 # -- languages ---------------------------------------------------------------------------------------------------------------
 
 
+def brute_forward(w, p, number):
+    """Logarithm of the sum over all segmentations, by plain logarithms."""
+    logs = [0.0]
+    for i in range(1, len(w) + 1):
+        parts = [logs[k] + math.log(p[number[w[k:i]]] if w[k:i] in number else language_id.UNKNOWN) for k in range(max(0, i - 40), i) if w[k:i] in number or i - k == 1]
+        logs.append(max(parts) + math.log(sum(math.exp(x - max(parts)) for x in parts)))
+    return logs[-1]
+
+
 def test_forward_sums_all_segmentations():
     pieces = language_id.Pieces(SP)
     p = language_id.smoothed(np.random.default_rng(0).random((pieces.n, 2)))
     number = {x: i for i, x in enumerate(pieces.names)}
+    rng = random.Random(7)
+    long = ["".join(rng.choice("theandofßx人权ing1é") for _ in range(n)) for n in (33, 500, 500, 5000)]
+    for words in (["▁the", "▁ßxq", "▁abc"], ["▁"], long[:1], long[1:3], long[3:], ["a" * language_id.BLOCK + long[1]]):
+        got = language_id.log_forward(pieces, words, p)
+        assert np.allclose(got, [[brute_forward(w, p[:, k], number) for k in range(2)] for w in words], rtol=1e-9)
+    assert got.min() < -5000  # far below what a double holds as a product
 
-    def brute(w, lang):
-        total = [1.0]
-        for i in range(1, len(w) + 1):
-            total.append(sum(total[k] * (p[number[w[k:i]], lang] if w[k:i] in number else language_id.UNKNOWN if i - k == 1 else 0) for k in range(i)))
-        return total[-1]
 
-    words = ["▁the", "▁ßxq", "▁abc"]
-    alpha = language_id.forward(pieces.lattice(words), 4, p, 3)[4]
-    assert np.allclose(alpha, [[brute(w, k) for k in range(2)] for w in words], rtol=1e-9)
+def test_expected_counts():
+    """Against all segmentations of short words one by one, and against the derivative of the forward sum for long ones."""
+    pieces = language_id.Pieces(SP)
+    p = language_id.smoothed(np.random.default_rng(1).random((pieces.n, 1)))[:, 0]
+    number = {x: i for i, x in enumerate(pieces.names)}
+
+    def ways(w):
+        if not w:
+            yield ()
+        for k in range(1, len(w) + 1):
+            if w[:k] in number or k == 1:
+                yield from ((w[:k], *rest) for rest in ways(w[k:]))
+
+    for words, weights in ((["▁the", "▁ing"], [2.0, 3.0]), (["▁thing人x"], [1.5])):
+        want = np.zeros(len(p))
+        for w, n in zip(words, weights):
+            every = [(x, math.prod(p[number[q]] if q in number else language_id.UNKNOWN for q in x)) for x in ways(w)]
+            for x, share in every:
+                for q in x:
+                    want[number.get(q, pieces.n + 1)] += n * share / sum(s for _, s in every)
+        assert np.allclose(language_id.expected(pieces, words, p, np.array(weights)), want, rtol=1e-9)
+    rng = random.Random(2)
+    long = "".join(rng.choice("theandofing") for _ in range(700))
+    counts = language_id.expected(pieces, [long], p, np.ones(1))
+    sizes = np.array([*map(len, pieces.names), 0, 1])
+    assert abs((counts * sizes).sum() - len(long)) < 1e-6
+    for k in np.argsort(counts)[-5:]:
+        more = p.copy()
+        more[k] *= 1 + 1e-6
+        slope = (language_id.log_forward(pieces, [long], more[:, None]) - language_id.log_forward(pieces, [long], p[:, None]))[0, 0] / 1e-6
+        assert abs(slope - counts[k]) < 1e-2 * counts[k] + 1e-3
+
+
+def test_languages_without_blanks(spark):
+    """Texts that are one word of thousands of characters, with ties and repeated rows, learn and score as any other."""
+    rng = random.Random(3)
+    text = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    rows = [(i, text("人权自由平等", 3000), "zh") for i in range(20)] + [(100 + i, text("abcdefg", 2000), "aa") for i in range(20)]
+    rows += [(200, rows[0][1], "zh"), (200, rows[0][1], "zh"), (201, "人" * 40_000, None)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), SP, rounds=2).collect()
+    assert len(got) == len(rows)
+    assert all(r["lang_pred"] == ("aa" if 100 <= r["doc_id"] < 200 else "zh") for r in got)
+    same = spark.createDataFrame([(i, "qq", k) for i in range(6) for k in ("b", "a")], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language_id.identify(same, SP).collect()} == {"a"}  # a tie goes to the first
+    with pytest.raises(ValueError):
+        language_id.fit(same, SP, most_languages=1)
 
 
 def test_held_out_accuracy(spark, docs, odd):
