@@ -1,13 +1,19 @@
 """Host-level quality rules: rule failures by host, shrunk with an empirical beta prior, joined back to documents.
 
-Each document is measured once (one pass over whole texts). A rule's failure rate at a host is replaced by the mean
-of its beta posterior, ``(failures + a) / (documents + a + b)``, where a and b are fitted to all hosts by moments, so
-that a host with three documents isn't judged on three documents alone. A host whose shrunk rate exceeds
-``worst_rate`` for any rule loses all its documents; a document that fails a base rule goes whatever its host.
+Each document is measured once (one pass over whole texts). A rule's failure rate at a host is replaced by its beta
+posterior, whose mean is ``(failures + a) / (documents + a + b)``; a and b are fitted to all hosts by moments, so a host
+with three documents isn't judged on three documents alone. What counts is how a host stands to the prior:
+
+* strict, if the posterior mean lies more than ``strict_sd`` posterior standard deviations over the prior mean m: the
+  host's documents that fail this rule go, elsewhere a failure of a rule that isn't a base rule is forgiven;
+* refused, if the lower bound (mean less three deviations) lies over both ``worst_times`` m and ``worst_rate``: all
+  documents of the host go.
+
+A document that fails a base rule goes whatever its host.
 
 Defined results: a null or empty text has no words and fails the base rule; a null host is no host, so its documents
-are judged by themselves; repeated rows are measured and counted as often as they come; an empty table gives no rows;
-other columns of the input are ignored.
+are judged by the base rules alone; repeated rows are measured and counted as often as they come; an empty table gives
+no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -77,8 +83,8 @@ RULES = {
 }
 
 
-def host_verdicts(measured: DataFrame, worst_rate: float = 0.6) -> DataFrame:
-    """One row per host and rule: documents, failures, the shrunk rate, and whether the host is refused for it.
+def host_verdicts(measured: DataFrame, strict_sd: float = 1.0, worst_times: float = 3.0, worst_rate: float = 0.3) -> DataFrame:
+    """One row per host and rule: documents, failures, the posterior's rate and sd, and whether it's strict or refused.
 
     The prior of each rule has the mean m and variance v of the hosts' raw rates (weighted by documents):
     a + b = m (1 - m) / v - 1, kept between 1 and 10,000; a = m (a + b).
@@ -90,21 +96,29 @@ def host_verdicts(measured: DataFrame, worst_rate: float = 0.6) -> DataFrame:
     v = F.greatest(F.col("sq") / F.col("all") - F.col("m") * F.col("m"), F.lit(1e-9))
     prior = prior.select("rule", "m", F.least(F.greatest(F.col("m") * (1 - F.col("m")) / v - 1, F.lit(1.0)), F.lit(10000.0)).alias("strength"))
     rate = (F.col("failed") + F.col("m") * F.col("strength")) / (F.col("n") + F.col("strength"))
-    return long.join(F.broadcast(prior), "rule").select("host", "rule", "n", "failed", rate.alias("rate"), (rate > worst_rate).alias("refused"))
+    judged = long.join(F.broadcast(prior), "rule").withColumn("rate", rate)  # the prior has a row per rule
+    judged = judged.withColumn("sd", F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.col("strength") + 1)))
+    refused = F.col("rate") - 3 * F.col("sd") > F.greatest(worst_times * F.col("m"), F.lit(worst_rate))
+    return judged.select("host", "rule", "n", "failed", "rate", "sd", (F.col("rate") - strict_sd * F.col("sd") > F.col("m")).alias("strict"), refused.alias("refused"))
 
 
-def quality_rules(docs: DataFrame, host: str = "source", worst_rate: float = 0.6) -> DataFrame:
-    """The measures of each document, base_failed, host_refused and kept.
+def quality_rules(docs: DataFrame, host: str = "source", **limits: float) -> DataFrame:
+    """The measures of each document, base_failed, host_refused, host_failed (a strict rule of its host) and kept.
 
-    The measures are written once and read for the host sums and for the join back. Only refused hosts take part in
-    that join; they're broadcast if a count shows that they are few.
+    The measures are written once and read for the host sums and for the join back. Only hosts that are strict or
+    refused take part in that join; they're broadcast if a count shows that they are few.
     """
     measured = materialise(measures(docs, host), "quality")
-    refused = host_verdicts(measured, worst_rate).where("refused").select("host").distinct().withColumn("host_refused", F.lit(True))
-    out = join_checked(measured, materialise(refused, "hosts"), "host", "left")
+    verdicts = host_verdicts(measured, **limits).where("refused or strict")
+    hosts = verdicts.groupBy("host").agg(F.max("refused").alias("host_refused"), F.collect_set(F.when(F.col("strict"), F.col("rule"))).alias("strict"))  # at most a name per rule
+    out = join_checked(measured, materialise(hosts, "hosts"), "host", "left")
     failed = F.expr(RULES["short"]) | F.expr(RULES["repetitive"])
-    refused_too = F.coalesce("host_refused", F.lit(False))
+    refused = F.coalesce("host_refused", F.lit(False))
+    strictly = F.lit(False)
+    for k, rule in RULES.items():
+        strictly = strictly | (F.expr(rule) & F.coalesce(F.array_contains("strict", k), F.lit(False)))
+    out = out.withColumns({"base_failed": failed, "host_refused": refused, "host_failed": strictly})
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), refused_too.alias("host_refused"), (~failed & ~refused_too).alias("kept"),
+        "base_failed", "host_refused", "host_failed", (~F.col("base_failed") & ~F.col("host_refused") & ~F.col("host_failed")).alias("kept"),
     )

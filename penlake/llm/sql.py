@@ -52,12 +52,21 @@ WITH docs AS (
   SELECT rule, sum(failed) / sum(n) AS m, sum(failed * failed / n) / sum(n) AS square FROM failures GROUP BY rule
 ), priors AS (
   SELECT rule, m, least(greatest(m * (1 - m) / greatest(square - m * m, 1e-9) - 1, 1.0), 10000.0) AS strength FROM moments
-), refused AS (
-  SELECT DISTINCT host FROM failures JOIN priors USING (rule) WHERE (failed + m * strength) / (n + strength) > 0.6
+), posteriors AS (
+  SELECT host, rule, m, n + strength AS size, (failed + m * strength) / (n + strength) AS rate FROM failures JOIN priors USING (rule)
+), deviations AS (
+  SELECT *, sqrt(rate * (1 - rate) / (size + 1)) AS sd FROM posteriors
+), verdicts AS (
+  SELECT host, bool_or(rate - 3 * sd > greatest(3.0 * m, 0.3)) AS refused, list(rule) FILTER (rate - 1.0 * sd > m) AS strict FROM deviations GROUP BY host
+), results AS (
+  SELECT j.*, j.short OR j.repetitive AS base_failed, coalesce(v.refused, false) AS host_refused,
+    coalesce(short AND list_contains(strict, 'short') OR repetitive AND list_contains(strict, 'repetitive') OR symbols AND list_contains(strict, 'symbols')
+      OR dup_lines AND list_contains(strict, 'dup_lines') OR word_length AND list_contains(strict, 'word_length'), false) AS host_failed
+  FROM judged j LEFT JOIN verdicts v ON j.host = v.host
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repetitive AS base_failed,
-  f.host IS NOT NULL AS host_refused, NOT (short OR repetitive) AND f.host IS NULL AS kept
-FROM judged j LEFT JOIN refused f ON j.host = f.host
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_refused, host_failed,
+  NOT (base_failed OR host_refused OR host_failed) AS kept
+FROM results
 """
 
 SUBSTRING_DEDUP = r"""

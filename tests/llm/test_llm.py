@@ -79,9 +79,40 @@ def test_quality_measures(spark, docs, odd):
 
 def test_bad_host_goes_and_small_host_is_shrunk(spark):
     good = " ".join(f"word{i}" for i in range(60))
-    rows = [(i, good, "en", f"good{i % 9}", 1) for i in range(180)] + [(1000 + i, "too short", "en", "bad", 1) for i in range(40)] + [(2000, good, "en", "bad", 1), (2001, good, "en", None, 1)]
-    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(table(spark, rows)).collect()}
-    assert all(kept[i] for i in range(180)) and not kept[2000] and kept[2001]
+    symbols = good + " #" * 30
+    rows = [(i, good, "en", f"good{i % 9}", 1) for i in range(900)] + [(1000 + i, "too short", "en", "bad", 1) for i in range(90)] + [(2000, good, "en", "bad", 1), (2001, good, "en", None, 1)]
+    rows += [(3000, "too short", "en", "small", 1), (3001, good, "en", "small", 1)]  # half of its two documents fail
+    rows += [(4000 + i, symbols if i < 12 else good, "en", "loud", 1) for i in range(100)] + [(5000, symbols, "en", "good0", 1), (5001, symbols, "en", None, 1)]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(table(spark, rows)).collect()}
+    kept = {k: r["kept"] for k, r in got.items()}
+    assert all(kept[i] for i in range(900)) and not kept[2000] and kept[2001]
+    assert got[2000]["host_refused"] and not got[3001]["host_refused"] and kept[3001]
+    assert not kept[4000] and kept[4050] and kept[5000] and kept[5001]  # failures of "loud" count, those elsewhere are forgiven
+
+
+def test_host_verdicts_by_hand(spark):
+    """The posterior from its formula, on rates worked out in plain Python."""
+    rng = random.Random(4)
+    rows = [(i, "x " * (10 if rng.random() < (0.5 if i % 11 == 0 else 0.1) else 0) + " ".join(f"w{k}" for k in range(60 if rng.random() < 0.8 else 20)), "en", f"h{i % 11}", 1) for i in range(1500)]
+    measured = materialise(quality_rules.measures(table(spark, rows)), "m")
+    by = {}
+    for r in rows:
+        n = len(r[1].split())
+        by.setdefault(r[3], []).append(n < 50)
+    total, bad = len(rows), sum(map(sum, by.values()))
+    m = bad / total
+    v = max(sum(sum(x) ** 2 / len(x) for x in by.values()) / total - m * m, 1e-9)
+    s = min(max(m * (1 - m) / v - 1, 1), 10_000)
+    for r in quality_rules.host_verdicts(measured).where("rule = 'short'").collect():
+        x = by[r["host"]]
+        rate = (sum(x) + m * s) / (len(x) + s)
+        sd = (rate * (1 - rate) / (len(x) + s + 1)) ** 0.5
+        assert abs(r["rate"] - rate) < 1e-12 and r["strict"] == (rate - sd > m) and r["refused"] == (rate - 3 * sd > max(3 * m, 0.3))
+
+
+def test_hosts_change_rows_of_the_tables(spark):
+    got = quality_rules.quality_rules(spark.read.parquet(f"{SF}/documents.parquet").unionByName(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))).where("host_failed and not base_failed").count()
+    assert got > 0
 
 
 # -- personal data -----------------------------------------------------------------------------------------------------
