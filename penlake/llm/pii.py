@@ -9,7 +9,8 @@ reaches ``least``: iban (a mod-97 checksum confirms it) and national phone numbe
 which have no checksum and so need a word such as "phone" or "ssn" within 40 code points.
 
 Defined results: a null or empty text has no spans; repeated rows are searched each by itself; an empty table
-gives no rows; other columns are left alone.
+gives no rows; other columns are left alone, but one that is named like the output (``pii``) is replaced by it. Spans
+that tie on their start are in the order of ALL_KINDS.
 """
 
 from __future__ import annotations
@@ -24,13 +25,19 @@ KINDS = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Characters of an account number without blanks, by country (fixed values of the public registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FO|GL|NL", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS",
+    23: "AE|GI|IL|IQ|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HU|LB|PL|SV",
+    29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU", 31: "MT|SC", 32: "LC",
+}
 #: The same languages for Java, each run of characters read once.
 FAST = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+\b",
+    "iban": r"\b(?:" + "|".join(rf"(?:{countries})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, countries in IBAN_LENGTHS.items()) + r")(?![A-Z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local_phone": r"(?<![0-9+.-])(?<!\+[0-9]{1,3}\x20)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
 }
@@ -51,6 +58,10 @@ CONTEXT = {
     "local_phone": "phone|tel|call|mobile|fax|telefon|telephone|telefono",
 }
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
+#: Folds gather so many values before they go to the list of lists, so that appending isn't quadratic in the matches of a text.
+GATHER = 256
+#: Redaction lets go of text behind it after so many characters.
+BEHIND = 1 << 16
 
 
 def digits(c: Column) -> Column:
@@ -85,11 +96,16 @@ def valid(kind: str, m: Column) -> Column:
     if kind == "phone":
         return F.length(digits(m)).between(10, 15)
     if kind == "iban":
-        bare = F.regexp_replace(m, " ", "")
-        return F.length(bare).between(15, 34) & mod97(bare)
+        return mod97(F.regexp_replace(m, " ", ""))
     return F.lit(True)
 
 
+def gathered(tail: Column, full: Column, new: Column) -> tuple[Column, Column]:
+    """The two lists of a fold with another value."""
+    whole = F.size(tail) >= GATHER
+    return F.when(whole, F.array(new)).otherwise(F.concat(tail, F.array(new))), F.when(whole, F.concat(full, F.array(tail))).otherwise(full)
+
+
 def spans_of(kind: str, text: Column, window: int) -> Column:
     """Valid spans of one kind with their scores, by start."""
     found = F.regexp_extract_all(text, F.lit(FAST[kind]), F.lit(0))
@@ -98,19 +114,20 @@ def spans_of(kind: str, text: Column, window: int) -> Column:
     # Zipped rather than indexed: what a lambda refers to is worked out anew for each element.
     pairs = F.zip_with(found, F.slice(between, F.lit(1), n), lambda m, before: F.struct(m.alias("m"), before.alias("before")))
     gaps = F.zip_with(pairs, F.slice(between, F.lit(2), n), lambda p, after: F.struct(p["m"].alias("m"), p["before"].alias("before"), after.alias("after")))
-    state = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
+    none = F.expr(f"cast(array() as {SPAN})")
+    state = F.struct(F.lit(0).alias("at"), none.alias("tail"), F.expr(f"cast(array() as array<{SPAN}>)").alias("full"))
 
     def step(s: Column, x: Column) -> Column:
         start = s["at"] + F.length(x["before"])
         end = start + F.length(x["m"])
         near = F.lower(F.concat_ws(" ", F.right(x["before"], F.lit(window)), F.left(x["after"], F.lit(window))))
         score = F.lit(PRIOR[kind]) + F.when(near.rlike(rf"\b(?:{CONTEXT[kind]})\b"), F.lit(0.3)).otherwise(F.lit(0.0))
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))
-        out = F.when(valid(kind, x["m"]), F.concat(s["out"], F.array(span).cast(SPAN))).otherwise(s["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score")).cast(SPAN[len("array<") : -1])
+        tail, full = gathered(s["tail"], s["full"], span)
+        ok = valid(kind, x["m"])
+        return F.struct(end.alias("at"), F.when(ok, tail).otherwise(s["tail"]).alias("tail"), F.when(ok, full).otherwise(s["full"]).alias("full"))
 
-    walked = F.aggregate(gaps, state, step, lambda s: s["out"])
-    none = F.expr(f"cast(array() as {SPAN})")
+    walked = F.aggregate(gaps, state, step, lambda s: F.concat(F.flatten(s["full"]), s["tail"]))
     can = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike("[0-9]")
     return F.when(can, F.when(text.rlike(FAST[kind]), walked).otherwise(none)).otherwise(none)
 
@@ -153,12 +170,25 @@ def digest(found: DataFrame, spans: str = "pii") -> DataFrame:
 
 def redact(found: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:
     """found with each span of its text replaced by ``[KIND]``; where spans overlap, the earlier one stands for both."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
-    t = F.col(text)
+    strings = "array<string>"
+    # base: the position at which rest begins; rest is cut behind now and then, so a place is never far into it.
+    start = F.struct(
+        F.lit(0).alias("at"), F.lit(0).alias("base"), F.col(text).cast("string").alias("rest"),
+        F.expr(f"cast(array() as {strings})").alias("tail"), F.expr(f"cast(array() as array<{strings}>)").alias("full"),
+    )
 
     def step(s: Column, x: Column) -> Column:
-        here = F.concat(s["done"], F.substring(t, s["at"] + 1, x["start"] - s["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], here).otherwise(s["done"]).alias("done"))
-
-    whole = F.aggregate(spans, start, step, lambda s: F.concat(s["done"], F.substring(t, s["at"] + 1, F.length(t))))
-    return found.withColumn(text, F.when(F.size(spans) > 0, whole).otherwise(t))
+        new = x["start"] >= s["at"]
+        piece = F.concat(F.substring(s["rest"], s["at"] - s["base"] + 1, x["start"] - s["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
+        tail, full = gathered(s["tail"], s["full"], piece)
+        end = F.greatest(s["at"], x["end"])
+        far = end - s["base"] > BEHIND
+        return F.struct(
+            end.alias("at"), F.when(far, end).otherwise(s["base"]).alias("base"),
+            F.when(far, F.substring(s["rest"], end - s["base"] + 1, F.lit(2**31 - 1))).otherwise(s["rest"]).alias("rest"),
+            F.when(new, tail).otherwise(s["tail"]).alias("tail"), F.when(new, full).otherwise(s["full"]).alias("full"),
+        )
+
+    last = lambda s: F.substring(s["rest"], s["at"] - s["base"] + 1, F.lit(2**31 - 1))
+    whole = F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(F.flatten(s["full"]), ""), F.array_join(s["tail"], ""), last(s)))
+    return found.withColumn(text, F.when(F.size(spans) > 0, whole).otherwise(F.col(text)))

@@ -150,14 +150,28 @@ def test_pii_base_spans(spark, docs, odd):
 
 
 def test_pii_own_spans_and_redaction(spark):
-    df = spark.createDataFrame([(1, "my iban GB82 WEST 1234 5698 7654 32 ok"), (2, "iban GB82 WEST 1234 5698 7654 33"), (3, "call phone 555-123-4567 now"), (4, "number 555-123-4567"), (5, "mail a@b.cc and 1.2.3.4"), (6, None)], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "my iban GB82 WEST 1234 5698 7654 32 ok"), (2, "iban GB82 WEST 1234 5698 7654 33"), (3, "call phone 555-123-4567 now"), (4, "number 555-123-4567"), (5, "mail a@b.cc and 1.2.3.4"), (6, None),
+        (7, "GB82 WEST 1234 5698 7654 32 OK THANKS"), (8, "DE89370400440532013000 NL91 ABNA 0417 1643 00"), (9, "XX82 WEST 1234 5698 7654 32")], "doc_id long, text string")
     found = pii.find_pii(df)
     spans = {r["doc_id"]: [s["kind"] for s in r["pii"]] for r in found.collect()}
-    assert spans == {1: ["iban"], 2: [], 3: ["local_phone"], 4: [], 5: ["email", "ip"], 6: []}
+    assert spans == {1: ["iban"], 2: [], 3: ["local_phone"], 4: [], 5: ["email", "ip"], 6: [], 7: ["iban"], 8: ["iban", "iban"], 9: []}
     assert {r["doc_id"]: r["text"] for r in pii.redact(found).collect()}[5] == "mail [EMAIL] and [IP]"
     assert pii.digest(pii.find_pii(df.limit(0))).count() == 0
 
 
+def test_pii_of_many_matches(spark, odd):
+    """Thousands of matches in one text, over the sizes at which folds gather; columns whose names clash."""
+    text = " ".join(f"u{i}@x.org é😀 {i}" for i in range(3000)) + " " + "y" * 70_000 + " 1.2.3.4 a@b.cc"
+    found = pii.find_pii(spark.createDataFrame([(1, text), (2, "p" * 300 + " a@b.cc")], "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in pii.digest(found).collect()}
+    assert got[1]["base_sha256"] == hashlib.sha256(base_text(text).encode()).hexdigest() and got[1]["n_email"] == 3001
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(found).collect()}
+    assert clean[1] == re.sub(pii.KINDS["ip"], "[IP]", re.sub(pii.KINDS["email"], "[EMAIL]", text))
+    out = pii.find_pii(odd[0])
+    assert sorted(out.columns) == sorted(odd[0].columns) and all(r["bucket"] == "x" and r["kind"] == "x" and not isinstance(r["pii"], str) for r in out.collect())
+    assert pii.find_pii(odd[0], out="spans").where("pii = 'x'").count() == len(odd[1])
+
+
 # -- chats ----------------------------------------------------------------------------------------------------------------
 
 
