@@ -81,21 +81,23 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-class WordHashes:
+class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound so that memory stays flat."""
 
     def __init__(self, most: int = 400_000):
         import xxhash
 
-        self.most, self.of, self.hash = most, {}, xxhash.xxh3_64_intdigest
+        super().__init__()
+        self.most, self.hash = most, xxhash.xxh3_64_intdigest
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = self.hash(word)
+        return h
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        of, h = self.of, self.hash
-        if len(of) > self.most:
-            of.clear()
-        for w in set(words).difference(of):
-            of[w] = h(w)
-        return np.fromiter(map(of.__getitem__, words), np.uint64, len(words))
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def rolled(h: np.ndarray, n: int) -> np.ndarray:

@@ -8,6 +8,7 @@ other, so its memory is that of one bucket. The number of buckets follows the si
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +20,20 @@ ROW = "bucket int, kind int, id long, meta binary, data binary"
 ROW_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("meta", pa.binary()), ("data", pa.binary())])
 
 
-def squeeze(data: bytes) -> bytes:
+@cache
+def codec():
+    """This process's compressor and decompressor."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(data)
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
-def unsqueeze(data: bytes) -> bytes:
-    import zstandard
+def squeeze(data: bytes) -> bytes:
+    return codec()[0].compress(data)
+
 
-    return zstandard.ZstdDecompressor().decompress(data)
+def unsqueeze(data: bytes) -> bytes:
+    return codec()[1].decompress(data)
 
 
 def freeze(*arrays: np.ndarray) -> bytes:

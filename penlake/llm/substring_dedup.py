@@ -1,16 +1,18 @@
 """Removal of repeated passages: every word in a window of ``size`` words that also starts earlier goes.
 
 1. Anchors. In each run of ``size`` words the ``gram``-word phrase with the smallest hash is its anchor; equal runs
-   have equal anchors, and about one phrase in seven is one. Anchors that come once rule out their windows.
-2. Confirmed passages. Windows whose anchor recurs are compared by 64-bit hashes: each that isn't the earliest of
-   its kind names an earlier place. Windows that follow each other here and there make up a passage.
-3. Automata. Passages are sharded by the document that holds the earlier place. A shard's distinct passages are
-   compiled into one Aho-Corasick automaton over word numbers, and the documents they point to are streamed through
-   it; only a passage that is really located there, word for word, is removed. (Documents without a recurring
-   anchor can't hold a repeated window, so they need not be streamed.)
-
-Facts travel in packed rows (see packed.py). A task gives out just the first of the facts that are alike within a
-batch and settles the others itself, so a passage in a third of all documents makes no large group anywhere.
+   have equal anchors, and about one phrase in seven is one. Anchors that come once rule out their windows, and a
+   document without a recurring anchor can't hold a repeated window.
+2. Confirmed passages. Documents are dealt into buckets by a hash of their id. Each bucket gives out the first place
+   of each of its different windows whose anchor recurs, with 96 bits of hash; where a window's places meet, those of
+   a window that comes again are told the earliest place of all. So a bucket knows all passages that recur in the
+   corpus and in itself, each by one place of its own.
+3. Automata. A bucket compiles those passages, taken word by word from its own documents, into Aho-Corasick automata
+   over word numbers (a shard of at most ``shard`` windows each) and streams all its documents through them, whole.
+   What is removed is what the automata locate: every occurrence but the earliest.
+
+Facts travel in packed rows (see packed.py). A task or bucket gives out one place for the facts that are alike in it,
+so a passage in a third of all documents makes a fact per bucket, and its occurrences are found where they lie.
 
 Defined results: windows are judged on the input; a null or empty text, or one of fewer than ``size`` words, loses
 nothing; two rows with one doc_id are one place in the order, so neither is earlier than the other; a null doc_id
@@ -20,9 +22,9 @@ comes last; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import zlib
-from collections import defaultdict
+import math
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penlake.llm.common import WordHashes, materialise, mixed
-from penlake.llm.packed import ROW, batch_of, by_bucket, freeze, joined_up, parcels, squeeze, thaw, unsqueeze
+from penlake.llm.packed import ROW, batch_of, by_bucket, joined_up, parcels, squeeze, unsqueeze
 
 LAST = (1 << 63) - 1
-POWER = np.uint64(0xD6E8FEB86659FD93)
+POWER, SECOND = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA24BAED4963EE407)
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 U64, I64, I32, U8 = np.uint64, np.int64, np.int32, np.uint8
 
@@ -62,32 +64,67 @@ class Runs:
         self.size, self.gram, self.word, self.powers = size, gram, WordHashes(), Powers()
 
     def anchors(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the phrases, and for each window the position of its anchor. At least ``size`` words."""
+        """Hashes of the phrases, and for each window its anchor's hash. At least ``size`` words."""
         g = self.powers.runs(h, self.gram)
+        return g, sliding(np.minimum, g, self.size - self.gram + 1)
+
+    def anchor_places(self, g: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Positions of phrases that are the anchor of some window."""
         width = self.size - self.gram + 1
-        # Smallest value of each stretch of `width`, by doubling; the first one where equal.
-        at = np.arange(len(g))
-        done = 1
-        while done < width:
-            step = min(done, width - done)
-            a, b = at[: len(at) - step], at[step:]
-            at = np.where(g[b] < g[a], b, a)
-            done += step
-        return g, at
+        edge = np.zeros(width - 1, U64)
+        return np.flatnonzero(g == sliding(np.maximum, np.concatenate([edge, least, edge]), width))
+
+
+def sliding(f: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum or maximum of each stretch of so many values, by doubling."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x = f(x[: len(x) - step], x[step:])
+        done += step
+    return x
 
 
 def bucket_of(x: np.ndarray, n: int) -> np.ndarray:
     return (mixed(x.astype(U64)) % U64(n)).astype(I32)
 
 
-def firsts(hashes: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (hash, document, position), and for each fact in that order the index of the first of its kind."""
-    order = np.lexsort((pos, doc, hashes))
-    new = np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[:1]]))
+def firsts(hashes: np.ndarray, doc: np.ndarray, pos: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (hash, more hash bits, document, position), and for each fact in that order the index of the first of its kind."""
+    order = np.lexsort((pos, doc, hashes) if more is None else (pos, doc, more, hashes))
+    new = np.diff(hashes[order], prepend=~hashes[order[:1]]) != 0
+    if more is not None:
+        new |= np.diff(more[order], prepend=more[order[:1]]) != 0
+    new = np.flatnonzero(new)
     return order, np.repeat(new, np.diff(np.append(new, len(order))))
 
 
-def remove_repeats(docs: DataFrame, size: int = 20, gram: int = 7, bucket_chars: int = 6_000_000) -> DataFrame:
+def occurrences(texts: list[list[bytes]], patterns: list[tuple[int, int]], size: int, shard: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(text, starts, numbers of patterns): the places in texts that have the words of a pattern, a pattern being ``size`` words at a place (text, start).
+
+    A word is two characters, from two alphabets as large as the root of the number of words: an automaton looks through
+    a node's branches one by one, so nodes must have few. Words of no pattern are number 0.
+    """
+    import ahocorasick
+
+    words = {w for t, s in patterns for w in texts[t][s : s + size]}
+    number, base = dict(zip(words, range(1, len(words) + 1))), math.isqrt(len(words)) + 1
+    coded = []
+    for t in texts if patterns else ():
+        n = np.fromiter(map(number.get, t, repeat(0)), np.uint32, len(t))
+        coded.append(np.stack([n // base, n % base + base], axis=1).astype(np.uint32).tobytes().decode("utf-32-le"))
+    for i in range(0, len(patterns), shard):
+        machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, (t, s) in enumerate(patterns[i : i + shard], i):
+            machine.add_word(coded[t][2 * s : 2 * (s + size)], k)
+        machine.make_automaton()
+        for t, text in enumerate(coded):
+            if hits := list(machine.iter(text)):
+                ends, found = zip(*hits)
+                yield t, np.array(ends) // 2 - size + 1, np.array(found)
+
+
+def remove_repeats(docs: DataFrame, size: int = 20, gram: int = 7, bucket_chars: int = 6_000_000, shard: int = 20_000) -> DataFrame:
     """doc_id, n_words, n_removed and the hash of the kept words of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -102,8 +139,8 @@ def remove_repeats(docs: DataFrame, size: int = 20, gram: int = 7, bucket_chars:
                 words = text.encode().split()
                 if len(words) < size:
                     continue
-                g, where = runs.anchors(runs.word(words))
-                where = np.unique(where)
+                g, least = runs.anchors(runs.word(words))
+                where = runs.anchor_places(g, least)
                 hs.append(g[where])
                 at.append(where.astype(I32))
                 ids.append(np.full(len(where), doc_id, I64))
@@ -142,136 +179,84 @@ def remove_repeats(docs: DataFrame, size: int = 20, gram: int = 7, bucket_chars:
             yield batch_of(rows)
 
     def candidates(bucket: int, kinds: dict) -> Iterator[pa.RecordBatch]:
-        """Finished documents (kind 0), and those with windows to compare (kind 1): their words and those windows."""
+        """Finished documents (kind 0), those with windows whose anchor recurs (kind 1), and the first places of these windows (kind 2)."""
         runs, rows = Runs(size, gram), []
         doc, pos = joined_up(kinds.get(0, []), I64, I32)
         order = np.argsort(doc, kind="stable")
         doc, pos = doc[order], pos[order]
+        hs, more, ids, at = [], [], [], []
         for doc_id, _, data in kinds.get(1, []):
             words = unsqueeze(data).split()
             some = pos[np.searchsorted(doc, doc_id) : np.searchsorted(doc, doc_id, "right")]
             starts = np.zeros(0, I32)
             if len(some) and len(words) >= size:
-                mark = np.zeros(len(words), bool)
-                mark[some[some < len(words)]] = True
-                starts = np.flatnonzero(mark[runs.anchors(runs.word(words))[1]]).astype(I32)
+                h = runs.word(words)
+                g, least = runs.anchors(h)
+                starts = np.flatnonzero(np.isin(least, g[some[some < len(g)]])).astype(I32)
             if len(starts):
-                rows.append((bucket, 1, doc_id, freeze(starts, starts), squeeze(b" ".join(words))))
+                rows.append((bucket, 1, doc_id, None, squeeze(b" ".join(words))))
+                hs.append(runs.powers.runs(h, size)[starts])
+                more.append((runs.powers.runs(h ^ SECOND, size)[starts] >> U64(32)).astype(np.uint32))
+                ids.append(np.full(len(starts), doc_id, I64))
+                at.append(starts)
             else:
                 rows.append((bucket, 0, doc_id, len(words).to_bytes(8, "big"), hashlib.sha256(b" ".join(words)).digest()))
-        for i in range(0, len(rows), 2000):
-            yield batch_of(rows[i : i + 2000])
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = Runs(size, gram)
-        for b in batches:
-            hs, ids, at = [], [], []
-            for doc_id, meta, data in zip(*(c.to_pylist() for c in b.columns)):
-                starts = thaw(meta, I32, I32)[0]
-                hs.append(runs.powers.runs(runs.word(unsqueeze(data).split()), size)[starts])
-                at.append(starts)
-                ids.append(np.full(len(starts), doc_id, I64))
-            if not hs:
-                continue
-            h, doc, pos = np.concatenate(hs), np.concatenate(ids), np.concatenate(at)
-            order, first = firsts(h, doc, pos)
-            later = np.flatnonzero(first != np.arange(len(first)))
-            rows = settled(order[later], order[first[later]], doc, pos)
-            keep = np.sort(order[np.unique(first)])
-            yield batch_of(rows + parcels(0, bucket_of(h[keep], n), h[keep], doc[keep], pos[keep]))
-
-    def settled(later: np.ndarray, earlier: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> list[tuple]:
-        """Facts that a window has an earlier place (kind 2, at its document), and that a document is such a place (kind 3)."""
-        real = (doc[later] != doc[earlier]) | (pos[later] != pos[earlier])
-        later, earlier = later[real], earlier[real]
-        if not len(later):
-            return []
-        o = np.lexsort((pos[later], doc[later]))
-        later, earlier = later[o], earlier[o]
-        place = np.unique(doc[earlier])
-        rows = parcels(2, bucket_of(doc[later], n), doc[later], pos[later], doc[earlier], pos[earlier] - pos[later])
-        return rows + parcels(3, bucket_of(place, n), place, place)
-
-    def earliest(bucket: int, kinds: dict) -> Iterator[pa.RecordBatch]:
-        rows = [(bucket, k, None, meta, None) for k in (2, 3) for _, meta, _ in kinds.get(k, [])]
-        h, doc, pos = joined_up(kinds.get(0, []), U64, I64, I32)
-        if len(h):
-            order, first = firsts(h, doc, pos)
-            later = np.flatnonzero(first != np.arange(len(first)))
-            rows += settled(order[later], order[first[later]], doc, pos)
+            if len(rows) >= 2000:
+                yield batch_of(rows)
+                rows = []
+        if hs:
+            h, check, d, p = map(np.concatenate, (hs, more, ids, at))
+            order, first = firsts(h, d, p, check)
+            other = (d[order] != d[order[first]]) | (p[order] != p[order[first]])
+            lead = np.unique(first)
+            again = (np.bincount(first, other, len(first))[lead] > 0).astype(U8)
+            lead = order[lead]
+            rows += parcels(2, bucket_of(h[lead], n), h[lead], check[lead], d[lead], p[lead], again, np.full(len(lead), bucket, I32))
         if rows:
             yield batch_of(rows)
 
-    def passages(bucket: int, kinds: dict) -> Iterator[pa.RecordBatch]:
-        """Passages of later documents (kind 0) and the texts of earlier ones (kind 1), each to the shard of the earlier document."""
-        doc, pos, there, shift = joined_up(kinds.get(2, []), I64, I32, I64, I32)
-        order = np.lexsort((pos, there, doc))
-        doc, pos, there, shift = doc[order], pos[order], there[order], shift[order]
-        places = set(joined_up(kinds.get(3, []), I64, I64)[0].tolist())
-        rows = []
-        for doc_id, _, data in kinds.get(1, []):
-            text = unsqueeze(data)
-            words = text.split(b" ")
-            if doc_id in places:
-                rows.append((int(bucket_of(np.array([doc_id]), n)[0]), 1, doc_id, None, data))
-            lo, hi = np.searchsorted(doc, doc_id), np.searchsorted(doc, doc_id, "right")
-            if lo == hi:
-                continue
-            print_of = zlib.crc32(text)
-            p, t, s = pos[lo:hi], there[lo:hi], shift[lo:hi]
-            cuts = np.flatnonzero((np.diff(p, prepend=-9) != 1) | (np.diff(t, prepend=t[0]) != 0) | (np.diff(s, prepend=s[0]) != 0))
-            to = bucket_of(t[cuts], n)
-            for b, i, j in zip(to.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(p)]):
-                meta = np.array([doc_id, print_of, p[i], j - i, p[i] + s[i]], I64).tobytes()
-                rows.append((b, 0, int(t[i]), meta, squeeze(b" ".join(words[p[i] : p[i] + j - i + size - 1]))))
-        for i in range(0, len(rows), 2000):
-            yield batch_of(rows[i : i + 2000])
-
-    def located(bucket: int, kinds: dict) -> Iterator[pa.RecordBatch]:
-        """The passages of this shard that its automaton finds where they're said to be (kind 2, at their documents)."""
-        import ahocorasick
-
-        number: dict[bytes, int] = defaultdict(lambda: len(number) + 1)
-        machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        asked: dict[tuple[int, int, int], list[bytes]] = defaultdict(list)  # (document, start, pattern)
-        patterns: dict[tuple[int, ...], int] = {}
-        sizes: list[int] = []
-        for place, meta, data in kinds.get(0, []):
-            key = tuple(map(number.__getitem__, unsqueeze(data).split(b" ")))
-            k = patterns.setdefault(key, len(patterns))
-            if k == len(sizes):
-                sizes.append(len(key))
-                machine.add_word(key, k)
-            asked[place, int.from_bytes(meta[32:40], "little"), k].append(meta)
-        if not patterns:
-            return
-        del patterns
-        machine.make_automaton()
-        seen: list[bytes] = []
-        for place, _, data in kinds.get(1, []):
-            stream = tuple(number.get(w, 0) for w in unsqueeze(data).split(b" "))
-            for end, k in machine.iter(stream):
-                seen += asked.pop((place, end - sizes[k] + 1, k), ())
-        if seen:
-            found = np.frombuffer(b"".join(seen), I64).reshape(-1, 5)
-            found = found[np.lexsort((found[:, 2], found[:, 0]))]
-            yield batch_of(parcels(2, bucket_of(found[:, 0], n), found[:, 0].copy(), found[:, 1].copy(), found[:, 2].copy(), found[:, 3].copy()))
+    def confirmed(bucket: int, kinds: dict) -> Iterator[pa.RecordBatch]:
+        """Of windows that come again, to each bucket that has another place than the earliest (kind 3): its own first place, and the earliest."""
+        h, check, doc, pos, again, home = joined_up(kinds[2], U64, np.uint32, I64, I32, U8, I32)
+        order, first = firsts(h, doc, pos, check)
+        there, own = order[first], order
+        tell = (doc[own] != doc[there]) | (pos[own] != pos[there]) | (again[own] > 0)
+        own, there = own[tell], there[tell]
+        if len(own):
+            yield batch_of(parcels(3, home[own], doc[own], pos[own], doc[there], pos[there], check[own]))
 
     def finished(bucket: int, kinds: dict) -> Iterator[pa.RecordBatch]:
-        doc, prints, start, count = joined_up(kinds.get(2, []), I64, I64, I64, I64)
-        order = np.argsort(doc, kind="stable")
-        doc, prints, start, count = doc[order], prints[order], start[order], count[order]
+        """Compile the bucket's confirmed passages, stream its documents, remove what is found and isn't the earliest."""
+        ids = [doc_id for doc_id, _, _ in kinds.get(1, [])]
+        texts = [unsqueeze(data).split(b" ") for _, _, data in kinds.get(1, [])]
+        doc, pos, there, start, check = joined_up(kinds.get(3, []), I64, I32, I64, I32, np.uint32)
+        row: dict[int, list[int]] = {}
+        for i, doc_id in enumerate(ids):
+            row.setdefault(doc_id, []).append(i)
+        runs = Runs(size, gram)
+
+        def is_place(i: int, p: int, bits: int) -> bool:
+            """Of rows that share a doc_id, the place lies in those that have the window there."""
+            h = runs.word(texts[i][p : p + size])
+            return len(h) == size and int(runs.powers.runs(h ^ SECOND, size)[0] >> U64(32)) == bits
+
+        patterns, of = [], []
+        for k, (d, p, bits) in enumerate(zip(doc.tolist(), pos.tolist(), check.tolist())):
+            for i in row[d]:
+                if len(row[d]) == 1 or is_place(i, p, bits):
+                    patterns.append((i, p))
+                    of.append(k)
+        change = [np.zeros(len(t) + 1, I64) for t in texts]
+        of = np.array(of, I64)
+        for t, s, k in occurrences(texts, patterns, size, shard):
+            k = of[k]
+            gone = s[(there[k] != ids[t]) | (start[k] != s)]
+            np.add.at(change[t], gone, 1)
+            np.add.at(change[t], gone + size, -1)
         rows = []
-        for doc_id, _, data in kinds.get(1, []):
-            text = unsqueeze(data)
-            words = text.split(b" ")
-            lo, hi = np.searchsorted(doc, doc_id), np.searchsorted(doc, doc_id, "right")
-            mine = np.flatnonzero(prints[lo:hi] == zlib.crc32(text)) + lo
-            change = np.zeros(len(words) + 1, I64)
-            np.add.at(change, start[mine], 1)
-            np.add.at(change, start[mine] + count[mine] + size - 1, -1)
-            keep = np.cumsum(change[:-1]) == 0
-            kept = [w for w, k in zip(words, keep.tolist()) if k] if len(mine) else words
+        for doc_id, words, c in zip(ids, texts, change):
+            keep = np.cumsum(c[:-1]) == 0
+            kept = words if keep.all() else [w for w, k in zip(words, keep.tolist()) if k]
             rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
         if rows:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
@@ -279,11 +264,8 @@ def remove_repeats(docs: DataFrame, size: int = 20, gram: int = 7, bucket_chars:
 
     anchors = by_bucket(slim.mapInArrow(scan, ROW), recurring, ROW)
     split = materialise(by_bucket(anchors.unionByName(slim.mapInArrow(bodies, ROW)), candidates, ROW), "repeats")
-    open_docs = split.where("kind = 1")
-    facts = by_bucket(open_docs.select("id", "meta", "data").mapInArrow(windows, ROW), earliest, ROW)
-    shards = by_bucket(open_docs.withColumn("meta", F.lit(None).cast("binary")).unionByName(facts), passages, ROW)
-    sure = by_bucket(shards, located, ROW)
-    done = by_bucket(open_docs.withColumn("meta", F.lit(None).cast("binary")).unionByName(sure), finished, RESULT)
+    facts = by_bucket(split.where("kind = 2"), confirmed, ROW)
+    done = by_bucket(split.where("kind = 1").unionByName(facts), finished, RESULT)
     plain = split.where("kind = 0").select(
         F.col("id").alias("doc_id"),
         F.conv(F.hex("meta"), 16, 10).cast("long").alias("n_words"),

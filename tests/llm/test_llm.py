@@ -456,6 +456,31 @@ def test_repeated_passages(spark, docs, odd):
     assert substring_dedup.remove_repeats(odd[0].limit(0)).count() == 0
 
 
+def test_automata_find_every_occurrence():
+    """Against a plain search, with few patterns a shard, texts of few and of many words, and overlapping patterns."""
+    rng = random.Random(11)
+    texts = [[f"w{rng.randrange(k)}".encode() for _ in range(n)] for k in (2, 3, 50_000) for n in (0, 5, 400)] + [[b"x"] * 90]
+    texts += [texts[2][10:60] + texts[8][300:380], texts[8][290:350]]
+    patterns = [(t, s) for t, s in ((2, 20), (2, 21), (5, 7), (8, 300), (8, 330), (9, 3))]
+    for size, shard in ((20, 1), (20, 2), (20, 40_000), (3, 4)):
+        got = {(t, int(s), tuple(texts[patterns[k][0]][patterns[k][1] : patterns[k][1] + size])) for t, ss, ks in substring_dedup.occurrences(texts, patterns, size, shard) for s, k in zip(ss, ks)}
+        keys = {tuple(texts[t][s : s + size]) for t, s in patterns}
+        assert got == {(t, s, tuple(w[s : s + size])) for t, w in enumerate(texts) for s in range(len(w) - size + 1) if tuple(w[s : s + size]) in keys}
+
+
+def test_repeated_passages_of_one_id_and_one_hot_passage(spark):
+    """A passage in a third of all rows over several buckets; rows that share an id with other texts; passages inside one text."""
+    rng = random.Random(12)
+    word = lambda n: " ".join(f"v{rng.randrange(5000)}" for _ in range(n))
+    hot, other = word(45), word(30)
+    rows = [(i, f"{word(rng.randrange(40))} {hot if i % 3 == 0 else ''} {word(rng.randrange(60))} {other if i % 50 == 0 else ''}") for i in range(600)]
+    rows += [(700, f"{word(25)} {other}"), (700, f"{word(25)} {hot}"), (700, word(60)), (701, f"{hot} {hot} {hot}"), (702, "again " * 300), (703, "again " * 19)]
+    rows += [(800, rows[-3][1]), (5000, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for chars, shard in ((6_000_000, 40_000), (9_000, 3)):
+        assert rows_of(substring_dedup.remove_repeats(df, bucket_chars=chars, shard=shard)) == brute_repeats(rows)
+
+
 # -- similarity join -----------------------------------------------------------------------------------------------------------
 
 
