@@ -57,7 +57,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read_archive(*warc.write_archive(table(spark, sf_dir, "pages"))).drop("url")
+    pages = table(spark, sf_dir, "pages")
+    return warc.read_captures(*warc.write_archive(pages), pages).drop("url")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

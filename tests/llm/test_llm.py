@@ -14,6 +14,7 @@ from html.parser import HTMLParser
 import numpy as np
 import pytest
 from public_tokenizers import path as vocabulary
+from pyspark.sql import functions as F
 
 from compare import connect, of_spark, of_sql
 from penlake.llm import chat_format, decontamination, html_extract, jaccard_join, language_id, packing, pii, quality_rules, queries, substring_dedup, warc
@@ -209,21 +210,46 @@ def test_chats_share_beginnings(spark):
 
 
 def test_archives(spark):
-    html = {0: "<p>a</p>", 1: "<p>b</p>", 2: "<p>a</p>", 3: None, 4: "", 5: "é\r\n\r\nx" * 3000, 6: "<p>a</p>"}
-    rows = [(i, None if i == 4 else f"http://WWW.Example{i % 3}.com:80/p/{i}?q=1#f", h, "x") for i, h in html.items()]
+    html = {0: "<p>a</p>", 1: "<p>b</p>", 2: "<p>a</p>", 3: None, 4: "", 5: "é\r\n\r\nx" * 3000, 6: "<p>a</p>", None: "<p>a</p>"}
+    rows = [(i, None if i == 4 else f"http://WWW.Example{(i or 0) % 3}.com:80/p/{i}?q=1#f", h, "x") for i, h in html.items()]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, sha string")
-    base, directory = warc.write_archive(df)
-    got = {r["page_id"]: r for r in warc.read_archive(base, directory).collect()}
+    base, archives = warc.write_archive(df)
+    got = {r["page_id"]: r for r in warc.read_captures(base, archives, df).collect()}
     first = {}
     for i, h in html.items():
         payload = (h or "").encode()
         first.setdefault(payload, i)
-        want = (len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), "response" if first[payload] == i else "revisit", None if first[payload] == i else first[payload])
+        own = i is None or first[payload] == i
+        want = (len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), "response" if own else "revisit", None if own else first[payload])
         assert tuple(got[i][k] for k in ("payload_bytes", "payload_digest", "record_type", "refers_to")) == want
-    found = warc.lookup(base, directory, ["https://www.example2.com/p/5?q=1"])
+    found = warc.lookup(base, archives, ["https://www.example2.com/p/5?q=1"])
     assert [(f["page_id"], f["payload"].decode()) for f in found] == [(5, html[5])]
-    assert warc.lookup(base, directory, ["http://nowhere.org/"]) == []
-    assert warc.read_archive(*warc.write_archive(df.limit(0))).count() == 0
+    assert warc.lookup(base, archives, ["http://nowhere.org/"]) == []
+    assert warc.read_captures(base, archives, df.where("page_id in (2, 5)")).count() == 2
+    none = df.limit(0)
+    assert warc.read_captures(*warc.write_archive(none), none).count() == 0 and warc.read_captures(base, archives, none).count() == 0
+
+
+def test_archives_of_many_captures(spark):
+    """Repeated rows, one URL on a third of the rows over several archives and blocks, many empty payloads, some hot payloads."""
+    rng = random.Random(13)
+    rows = [(i, "http://hot.org/" if i % 3 == 0 else f"http://h{rng.randrange(9)}.net/{rng.randrange(4000)}", None if i % 5 == 0 else f"page {rng.randrange(6) if i % 2 else i}") for i in range(6000)]
+    rows += rows[:50] + [(70, "http://hot.org/", "other"), (None, None, "x"), (None, None, "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    base, archives = warc.write_archive(df)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert archives.count() > 1 and archives.agg({"records": "sum"}).first()[0] == len(rows)
+    first = {}
+    for i, _, h in rows:
+        if i is not None:
+            first[h or ""] = min(first.get(h or "", i), i)
+    want = [(i, len(h or ""), "response" if i is None or first[h or ""] == i else "revisit", None if i is None or first[h or ""] == i else first[h or ""]) for i, _, h in rows]
+    names = ("page_id", "payload_bytes", "record_type", "refers_to")
+    assert rows_of(warc.read_captures(base, archives, df), *names) == sorted(want, key=repr)
+    assert len(warc.lookup(base, archives, ["http://hot.org/"])) == sum(u == "http://hot.org/" for _, u, _ in rows)
+    keys = df.select("page_id", "url", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha"), F.length("html").alias("n")).fillna(0, ["n"])
+    assert rows_of(warc.revisits_of(keys, 0, hot=20)) == rows_of(warc.revisits_of(keys, 0)) and warc.revisits_of(keys, 0, hot=20).count() > 0
 
 
 # -- main text --------------------------------------------------------------------------------------------------------------
