@@ -1,19 +1,25 @@
 """Vector best-fit packing of tokenised documents into sequences.
 
-A sequence has three capacities: tokens, documents and attention cost (the sum of squared piece lengths). What a
-piece asks of each follows from its length alone, so the packing is worked out on the counts of pieces by length (at
-most ``capacity`` of them, whatever the input), with bins that have the same residual vector held as one group. The
-longest pieces go first. Of the groups that a piece fits under every constraint, the one with the largest weighted
-dot product of demand and residual is taken (``rule="dot"``), or that with the smallest weighted norm of what would
-remain (``rule="norm"``); as many pieces of that length as the group has bins go in at once.
+A sequence has three capacities: tokens, documents and attention cost. The cost of a piece is that of its square of
+the attention matrix in tiles (its length rounded up to ``tile``, squared), so many short pieces cost more than their
+tokens tell. What a piece asks of each follows from its length alone, so the packing is worked out on the counts of
+pieces by length (at most ``capacity`` of them, whatever the input), with bins that were filled alike held as one
+group. The longest pieces go first. Of the groups that a piece fits under every constraint, the one with the largest
+weighted dot product of the demand and the share already used is taken (``rule="dot"``; the dot product with what is
+left would prefer empty bins), or that with the smallest weighted norm of what would remain (``rule="norm"``); as many
+pieces of that length as the group has bins go in at once.
+
+Capacities that aren't given are fitted: the packing with the fewest sequences under the token capacity alone sets how
+many there may be, and then the tightest document and cost capacities that need no more sequences are taken.
 
 The result is a list of placements: so many pieces of a length, from a rank on, go into consecutive sequences at one
-offset. Each piece has a rank among the pieces of its length, found by counting in hash buckets, and looks its place
-up, so the pieces themselves never meet in one task.
+offset. Each piece has a rank among the pieces of its length, counted within its task and over the tasks before, and
+looks its place up, so the pieces themselves never meet and aren't sorted.
 
 Defined results: a null or empty text is one piece of the end token alone; documents are cut only where longer than
 the capacity, the first piece taking the remainder; repeated rows are documents of their own (pieces with equal
-doc_id and piece get different places); an empty table gives no rows; other columns are ignored.
+doc_id and piece get different places); pieces that tie in length are placed in the order of their ranks; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from penlake.llm.common import materialise, texts_of
+from penlake.llm.common import join_checked, materialise, texts_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: With the task that cut the piece, and its rank among the task's pieces of its length.
+RANKED = f"{PIECES}, chunk int, within long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 #: Where a blank has a blank beside it, texts aren't cut.
 BLANKS_MEET = re.compile(r" \s|\s ")
@@ -68,11 +77,14 @@ class Tokens:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def plain_ids(self, text: str) -> list[int]:
-        """Ids of a text without special strings; the first few thousand characters are held against the tokenizer."""
+        """Ids of a text without special strings; the first 2,000 characters of every text are held against the tokenizer."""
         if self.fast is None:
             return self.ids(text)
         out = self.fast.encode_ordinary(text)
-        if not self.of and (some := self.ids(text[:2000])[:-5]) != out[: len(some)]:
+        some = self.ids(text[:2000])
+        if len(text) > 2000:
+            some = some[:-5]  # the cut may split a token
+        if some != out[: len(some)]:
             raise ValueError("the ranks and the tokenizer disagree")
         return out
 
@@ -112,10 +124,10 @@ class Tokens:
 
 
 def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: int = 1024) -> DataFrame:
-    """The pieces of each document with the checksum of their ids (little-endian 32-bit)."""
+    """The pieces of each document with the checksum of their ids (little-endian 32-bit), and their ranks in their task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(tokenizer, ranks)
+        tokens, chunk, seen = Tokens(tokenizer, ranks), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for b in batches:
             rows = []
             texts = texts_of(b)
@@ -125,22 +137,41 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity:
                     n = len(ids) // 4
                     start, end, k = 0, n % capacity or capacity, 0
                     while start < n:
-                        rows.append((doc_id, k, start, end - start, zlib.crc32(ids[4 * start : 4 * end])))
+                        size = end - start
+                        rows.append((doc_id, k, start, size, zlib.crc32(ids[4 * start : 4 * end]), chunk, seen[size]))
+                        seen[size] += 1
                         start, end, k = end, end + capacity, k + 1
             if not rows:
                 continue
             cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], [x.split()[0] for x in PIECES.split(", ")])
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [x.split()[0] for x in RANKED.split(", ")])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, PIECES)
+    return slim.mapInArrow(run, RANKED)
+
+
+def ranks_before(sizes: DataFrame, together: int = 256) -> DataFrame:
+    """chunk, length and before: how many pieces of that length are in earlier chunks; in two steps, so no window has all chunks."""
+    sizes = sizes.withColumn("part", F.floor(F.col("chunk") / together))
+    within = F.sum("n").over(Window.partitionBy("length", "part").orderBy("chunk")) - F.col("n")
+    parts = sizes.groupBy("length", "part").agg(F.sum("n").alias("n"))
+    earlier = parts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("earlier"))
+    return sizes.withColumn("within_part", within).join(earlier, ["length", "part"]).select("chunk", "length", (F.col("earlier") + F.col("within_part")).alias("before"))
 
 
-def plan(counts: dict[int, int], capacity: int, max_docs: int, max_cost: int, rule: str = "dot", weights: tuple[float, float, float] = (1.0, 0.25, 0.25)) -> list[tuple[int, int, int, int, int]]:
+def cost_of(length: int, tile: int) -> int:
+    """Attention cost of a piece: the square of its length in whole tiles."""
+    return (-(-length // tile) * tile) ** 2
+
+
+def plan(
+    counts: dict[int, int], capacity: int, max_docs: int, max_cost: int, rule: str = "dot", weights: tuple[float, float, float] = (1.0, 0.25, 0.25), tile: int = 128, most: int | None = None
+) -> list[tuple[int, int, int, int, int]]:
     """Placements (length, first rank, pieces, first sequence, offset) of so many pieces by length.
 
-    Groups of bins with equal residuals are split and merged as pieces go in. Capacities that the constraints make
-    equal to 1 are scaled before vectors are compared. Cost doesn't grow with the counts.
+    A group of bins is split where a length fills it in part. Demands and residuals are compared as shares of their
+    capacities. The work follows the number of lengths and groups, not the counts; it ends once there are over ``most`` sequences.
     """
     scale = np.array([capacity, max_docs, max_cost], float)
     w = np.array(weights)
@@ -150,7 +181,7 @@ def plan(counts: dict[int, int], capacity: int, max_docs: int, max_cost: int, ru
     placed, next_bin = [], 0
     for length in sorted(counts, reverse=True):
         rank, left = 0, counts[length]
-        ask = np.array([length, 1, length * length], float)
+        ask = np.array([length, 1, cost_of(length, tile)], float)
         while left:
             open_now = np.flatnonzero((res >= ask).all(axis=1))
             if not len(open_now):
@@ -162,9 +193,10 @@ def plan(counts: dict[int, int], capacity: int, max_docs: int, max_cost: int, ru
                 bins = -(-left // each)
                 res, base, size = np.vstack([res, fresh]), np.append(base, next_bin), np.append(size, bins)
                 next_bin += bins
+                if most is not None and next_bin > most:
+                    return [(length, rank, left, next_bin - left, 0)]
                 continue
             over = (res[open_now] - ask) / scale
-            # The dot product alone prefers empty bins, so residuals that are already small count more.
             score = (w * ask / scale * (1 - res[open_now] / scale)).sum(axis=1) if rule == "dot" else -(w * over * over).sum(axis=1)
             g = open_now[int(np.argmax(score))]
             take = int(min(left, size[g]))
@@ -179,19 +211,50 @@ def plan(counts: dict[int, int], capacity: int, max_docs: int, max_cost: int, ru
     return placed
 
 
-def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: int = 1024, max_docs: int | None = None, max_cost: int | None = None, rule: str = "dot", bucket_rows: int = 20_000) -> DataFrame:
-    """The pieces with sequence_id and offset. Without max_docs and max_cost only the tokens bind."""
+def sequences(places: list[tuple[int, int, int, int, int]]) -> int:
+    return max((first + n for _, _, n, first, _ in places), default=0)
+
+
+def fitted_plan(counts: dict[int, int], capacity: int, max_docs: int | None, max_cost: int | None, rule: str | None = None, tile: int = 128) -> tuple[list[tuple[int, int, int, int, int]], int, int]:
+    """Placements, max_docs and max_cost; what isn't given is fitted."""
+    rules = [rule] if rule else ["dot", "norm"]
+    single, least = cost_of(capacity, tile), cost_of(1, tile)
+    free = single + capacity * least
+    full = {r: plan(counts, capacity, max_docs or capacity, max_cost or free, r, tile=tile) for r in rules}
+    best = min(rules, key=lambda r: sequences(full[r]))
+    places, most = full[best], sequences(full[best])
+
+    def tightest(capacities: list[int], tried) -> int:
+        """The smallest of the capacities that a search by halves finds to need no more sequences; the last one does."""
+        nonlocal places
+        lo, hi = 0, len(capacities) - 1
+        while lo < hi:
+            mid = (lo + hi) // 2
+            found = tried(capacities[mid])
+            if sequences(found) <= most:
+                places, hi = found, mid
+            else:
+                lo = mid + 1
+        return capacities[hi]
+
+    ladder = sorted({*(min(capacity, round(1.3**k)) for k in range(64)), capacity})
+    if max_docs is None:
+        max_docs = tightest(ladder, lambda n: plan(counts, capacity, n, max_cost or free, best, tile=tile, most=most))
+    if max_cost is None:
+        max_cost = tightest([single, *(single + n * least for n in ladder)], lambda c: plan(counts, capacity, max_docs, c, best, tile=tile, most=most))
+    return places, max_docs, max_cost
+
+
+def pack(
+    docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: int = 1024, max_docs: int | None = None, max_cost: int | None = None, rule: str | None = None, tile: int = 128
+) -> DataFrame:
+    """The pieces with sequence_id and offset. max_docs and max_cost that aren't given are fitted; so is the rule."""
     cut = materialise(pieces(docs, tokenizer, ranks, capacity), "pieces")
-    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    places = plan(counts, capacity, max_docs or capacity, max_cost or capacity * capacity, rule)
-    # Ranks among pieces of one length: a count of the hash buckets before, and the place within the bucket.
-    buckets = max(1, -(-max(counts.values(), default=0) // bucket_rows))
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
-    sizes = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).drop("n")
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "start")
-    ranked = cut.withColumn("within", F.row_number().over(within)).join(before, ["length", "bucket"])
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("within") - 1).select(*(x.split()[0] for x in PIECES.split(", ")), "rank")
+    sizes = materialise(cut.groupBy("chunk", "length").agg(F.count("*").alias("n")), "sizes")
+    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
+    places, _, _ = fitted_plan(counts, capacity, max_docs, max_cost, rule, tile)
+    ranked = join_checked(cut, materialise(ranks_before(sizes), "before"), ["chunk", "length"], "inner")
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("within")).select(*(x.split()[0] for x in PIECES.split(", ")), "rank")
     width = np.int64(1) << np.int64(44)
     at = np.array([length * width + rank for length, rank, *_ in places], np.int64)
     order = np.argsort(at)

@@ -445,16 +445,47 @@ def test_token_parts():
 @pytest.mark.parametrize("rule", ["dot", "norm"])
 def test_plan_keeps_every_constraint(rule):
     rng = random.Random(4)
-    counts = dict(Counter(rng.randrange(1, 65) for _ in range(3000)))
-    placed = packing.plan(counts, 64, 5, 2500, rule) if max(counts) <= 50 else packing.plan({k: v for k, v in counts.items() if k <= 50}, 64, 5, 2500, rule)
+    counts = dict(Counter(rng.randrange(1, 51) for _ in range(3000)))
+    placed = packing.plan(counts, 64, 5, 3500, rule, tile=8)
     bins = {}
     for length, _, n, first, offset in placed:
         for i in range(n):
             bins.setdefault(first + i, []).append((offset, length))
     for parts in bins.values():
-        assert len(parts) <= 5 and sum(x for _, x in parts) <= 64 and sum(x * x for _, x in parts) <= 2500
+        assert len(parts) <= 5 and sum(x for _, x in parts) <= 64 and sum((-(-x // 8) * 8) ** 2 for _, x in parts) <= 3500
         assert [o for o, _ in sorted(parts)] == [sum(x for o2, x in parts if o2 < o) for o, _ in sorted(parts)]
-    assert sum(n for _, _, n, _, _ in placed) == sum(v for k, v in counts.items() if k <= 50)
+    for length, n in counts.items():
+        ranks = sorted((r, k) for size, r, k, *_ in placed if size == length)
+        assert [r for r, _ in ranks] == [sum(k for _, k in ranks[:i]) for i in range(len(ranks))] and sum(k for _, k in ranks) == n
+
+
+def test_capacities_bind_at_no_cost():
+    """Fitted capacities are tighter than none, change the packing, and need no more sequences; given ones hold."""
+    rng = random.Random(5)
+    counts = dict(Counter(min(1024, int(rng.lognormvariate(4.2, 1.3)) + 1) for _ in range(20_000)))
+    free = packing.plan(counts, 1024, 1024, 10**9)
+    places, docs, cost = packing.fitted_plan(counts, 1024, None, None)
+    assert packing.sequences(places) <= packing.sequences(free) and docs < 1024 and places != free
+
+    def worst(places):
+        n, c = Counter(), Counter()
+        for length, _, k, first, _ in places:
+            for i in range(first, first + k):
+                n[i] += 1
+                c[i] += packing.cost_of(length, 128)
+        return max(n.values()), max(c.values())
+
+    assert worst(places)[0] <= docs < worst(free)[0] and worst(places)[1] <= cost
+    given, docs, cost = packing.fitted_plan(counts, 1024, 4, 2**20, "norm")
+    assert (docs, cost) == (4, 2**20) and worst(given)[0] <= 4 and worst(given)[1] <= 2**20
+    assert packing.fitted_plan({}, 1024, None, None)[0] == []
+
+
+def test_ranks_before(spark):
+    rng = random.Random(6)
+    rows = [(c, k, rng.randrange(1, 9)) for c in range(40) for k in (1, 5, 1024) if rng.random() < 0.7]
+    got = {(r["chunk"], r["length"]): r["before"] for r in packing.ranks_before(spark.createDataFrame(rows, "chunk int, length long, n long"), together=7).collect()}
+    assert got == {(c, k): sum(n for c2, k2, n in rows if k2 == k and c2 < c) for c, k, _ in rows}
 
 
 # -- repeated passages ---------------------------------------------------------------------------------------------------------
