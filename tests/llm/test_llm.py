@@ -610,29 +610,56 @@ def test_recall():
 
 
 def brute_leaks(docs, items):
-    def words(t):
-        return [decontamination.plain(w) for w in (t or "").encode().split()]
+    """Every window of every text against every item, sliding the shared weight along; no filter of any kind."""
+    number = {}
 
-    def bag(w, k):
-        return Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    def grams(t, k):
+        w = [decontamination.plain(x) for x in (t or "").encode().split()]
+        return [number.setdefault(tuple(w[i : i + k]), len(number)) for i in range(len(w) - k + 1)], len(w)
 
     out = set()
-    for item_id, t in items:
-        b = words(t)
-        if not b:
-            continue
-        k = min(5, len(b))
-        want = bag(b, k)
-        for doc_id, text in docs:
-            w = words(text)
-            for s in range(len(w) - len(b) + 1):
-                if w[s : s + len(b)] and any(tuple(w[s + i : s + i + k]) in want for i in (0, len(b) // 2, len(b) - k)):
-                    have = bag(w[s : s + len(b)], k)
-                    if sum((have & want).values()) >= 0.8 * sum((have | want).values()) - 1e-9:
+    for k in range(1, 6):
+        some = [(i, *grams(t, k)) for i, t in items if t and min(5, len(t.split())) == k]
+        for doc_id, text in docs if some else ():
+            g, n_words = grams(text, k)
+            for item_id, want, n in some:
+                size = min(n, n_words) - k + 1
+                have, all_of, common = Counter(), Counter(want), 0
+                for i, x in enumerate(g if size > 0 else ()):
+                    have[x] += 1
+                    common += have[x] <= all_of[x]
+                    if i >= size:
+                        common -= have[g[i - size]] <= all_of[g[i - size]]
+                        have[g[i - size]] -= 1
+                    if i >= size - 1 and 10 * common >= 8 * (size + len(want) - common):
                         out.add((doc_id, item_id))
+                        break
     return sorted(out, key=repr)
 
 
+def test_recall_of_edited_items(spark):
+    """Items with random edits inside long texts: all that brute force finds but one in a hundred, and blocks exclude nearly all else."""
+    rng = random.Random(21)
+    word = lambda: f"w{min(int(rng.paretovariate(0.6)), 3000)}"
+    items = [(i, " ".join(word() for _ in range(rng.randrange(9, 90)))) for i in range(150)]
+    docs = []
+    for i in range(450):
+        w = items[i % 150][1].split()
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            at = rng.choice([0, len(w) - 1, rng.randrange(len(w))])
+            w[at : at + rng.randrange(2)] = [word() for _ in range(rng.randrange(2))]
+        docs.append((i, " ".join([*(word() for _ in range(rng.randrange(30))), *w, *(word() for _ in range(rng.randrange(30)))])))
+    want = set(brute_leaks(docs, items))
+    bench = decontamination.Benchmark(items, 5)
+    got = {(d, i) for d, t in docs for i, *_ in bench.leaks(t.encode(), 0.8)}
+    assert len(want) > 300 and got <= want and len(got) >= 0.99 * len(want)
+    random_prints = np.random.default_rng(3).integers(0, 1 << 63, 2000, dtype=np.uint64) * np.uint64(2)
+    for radius, most in ((3, 0.001), (11, 0.02), (15, 0.06)):
+        index = decontamination.HammingIndex(random_prints[:1000])
+        list(index.near(random_prints[1000:1100], radius))
+        assert index.passed < most * index.looked_at
+
+
 def test_leaks(spark, docs, duck, odd):
     items = duck.execute("SELECT item_id, text FROM benchmark").fetchall()
     assert sorted(set(rows_of(queries.op9_decontamination(spark, SF), "doc_id", "item_id")), key=repr) == brute_leaks([d[:2] for d in docs], items)
@@ -676,13 +703,14 @@ def test_leaks_of_short_documents(spark):
     assert {r["doc_id"] for r in spared.collect()} == {d for d, _ in docs} - short
 
 
-def test_hamming_index_misses_nothing():
-    rng = np.random.default_rng(1)
+@pytest.mark.parametrize("radius", [0, 3, 9, 15, 23])
+def test_hamming_index_misses_nothing(radius):
+    rng = np.random.default_rng(radius)
     prints = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
-    asked = prints[:50] ^ rng.integers(0, 1 << 12, 50, dtype=np.uint64)
-    index = decontamination.HammingIndex(prints, 9)
-    want = {(i, j) for i in range(50) for j in range(200) if int(asked[i] ^ prints[j]).bit_count() <= 9}
-    assert set(index.near(asked)) == want
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 26), replace=False)) for _ in range(50)], np.uint64)
+    asked = prints[:50] ^ flips
+    want = {(i, j) for i in range(50) for j in range(200) if int(asked[i] ^ prints[j]).bit_count() <= radius}
+    assert want and set(decontamination.HammingIndex(prints).near(asked, radius)) == want
 
 
 # -- pipeline and SQL ---------------------------------------------------------------------------------------------------------
