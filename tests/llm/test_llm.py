@@ -192,18 +192,55 @@ def test_chats_round_trip(spark, duck):
         assert got[c]["formatted_chars"] == sum(len(chat_format.render(r, x)[0]) for r, x in t)
 
 
-def test_chats_share_beginnings(spark):
-    rows = [(c, 0, "user", "hello <|im_end|> \\ <\\|", "x") for c in range(50)] + [(c, 1, "assistant", f"answer {c % 5}", "x") for c in range(50)] + [(90, 0, None, None, "x"), (91, 0, "a\nb", "\\n", "x"), (91, 0, "a\nb", "\\n", "x"), (None, 1, "user", "y", "x")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, path string")
-    packs = materialise(chat_format.format_chats(df.coalesce(1)), "t")
-    texts = [n for p in packs.collect() for n in p["nodes"]]
-    assert len(texts) < 20  # 1 shared turn and 5 answers, once for each partition at most
-    back = {r["conv_id"]: r["n_turns"] for r in chat_format.read_back(packs).collect()}
-    assert back == {**{c: 2 for c in range(50)}, 90: 1, 91: 2, None: 1}
-    for p in packs.collect():
+def check_packs(packs):
+    """Every node's position, parent and attention say the same; no interval points to what isn't there."""
+    by = {p["pack"]: p for p in packs}
+    for p in packs:
+        assert "".join(p["text"][n["start"] : n["start"] + n["length"]] for n in p["nodes"]) == p["text"]
         for n in p["nodes"]:
             assert n["position"] == sum(i["end"] - i["start"] for i in n["attend"])
-    assert chat_format.read_back(chat_format.format_chats(df.limit(0))).count() == 0
+            up, path = n["parent"], []
+            while up:
+                q = by[up["pack"]]["nodes"][up["node"]]
+                path.append(by[up["pack"]]["text"][q["start"] : q["start"] + q["length"]])
+                up = q["parent"]
+            assert "".join(reversed(path)) == "".join(by[i["pack"]]["text"][i["start"] : i["end"]] for i in n["attend"])
+
+
+@pytest.mark.parametrize("sizes", [{}, {"pack_tokens": 1}, {"pack_tokens": 150}, {"pack_members": 3}])
+@pytest.mark.parametrize("parts", [1, 7])
+def test_chats_share_beginnings(spark, sizes, parts):
+    """Each shared turn is emitted once in all, however small packs and partitions are."""
+    rows = [(c, 0, "user", "hello <|im_end|> \\ <\\|", "x") for c in range(50)] + [(c, 1, "assistant", f"answer {c % 5}", "x") for c in range(50)] + [(c, 2, "user", f"more {c % 2}", "x") for c in range(40)]
+    rows += [(90, 0, None, None, "x"), (91, 0, "a\nb", "\\n", "x"), (91, 0, "a\nb", "\\n", "x"), (None, 1, "user", "y", "x"), (None, 2, "assistant", "y" * 3000, "x"), (92, 5, "assistant", "é😀" * 20_000, "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, path string")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        packs = materialise(chat_format.format_chats(df, **sizes), "t")
+        assert chat_format.read_back(chat_format.format_chats(df.limit(0))).count() == 0
+        back = [(r["conv_id"], r["n_turns"], r["turns_sha256"], r["loss_sha256"]) for r in chat_format.read_back(packs).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    by = {}
+    for k, (c, t, r, x, _) in enumerate(rows):
+        by.setdefault((c, k if c is None else 0), []).append((t, r or "", x or ""))
+    prefixes = {tuple(x[1:] for x in sorted(t)[: n + 1]) for t in by.values() for n in range(len(t))}
+    found = packs.collect()
+    assert sum(len(p["nodes"]) for p in found) == len(prefixes)
+    check_packs(found)
+    want = [(c, len(t), *(hashlib.sha256(x.encode()).hexdigest() for x in ("".join(f"{r}\n{x}\n" for _, r, x in sorted(t)), "".join(x for _, r, x in sorted(t) if r == "assistant")))) for (c, _), t in by.items()]
+    assert sorted(back, key=repr) == sorted(want, key=repr)
+
+
+def test_chat_packs_of_the_tables(spark, duck):
+    packs = materialise(chat_format.format_chats(spark.read.parquet(f"{SF}/conversations.parquet"), pack_tokens=20_000), "t")
+    found, by = packs.collect(), {}
+    for c, r, t in duck.execute("SELECT conv_id, role, coalesce(text, '') FROM conversations ORDER BY conv_id, turn").fetchall():
+        by.setdefault(c, []).append((r, t))
+    assert sum(len(p["nodes"]) for p in found) == len({tuple(t[: n + 1]) for t in by.values() for n in range(len(t))})
+    check_packs(found)
 
 
 # -- archives --------------------------------------------------------------------------------------------------------------
