@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share, named by spark.checkpoint.dir.
 
-    Where the session names none (a local test session), a temporary folder is set for it.
+    Where the session names none, a temporary folder is set for a local session (tests); on a cluster that's an error,
+    as executors don't see each other's folders.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -49,6 +54,18 @@ def join_checked(left: DataFrame, right: DataFrame, on: str | list[str], how: st
     return left.join(F.broadcast(right) if small_enough(right, rows) else right.hint("merge"), on, how)
 
 
+@contextmanager
+def splitting_skew(spark: SparkSession) -> Iterator[None]:
+    """Within, adaptive execution splits skewed keys of joins even where an aggregation follows, at the price of a shuffle."""
+    name = "spark.sql.adaptive.forceOptimizeSkewedJoin"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 

@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penlake.llm.common import materialise
+from penlake.llm.common import materialise, splitting_skew
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (a, b: long), root being the smallest node of its component.
 
     In each round a node takes the smallest label among its neighbours, then the label of its label; both are sums
-    over keys with partial aggregation. Rounds are written to the shared folder, so a lost executor costs one round.
+    over keys with partial aggregation, and the joins split keys that hold many nodes. Rounds go on until nothing
+    changes (labels only fall); each is written to the shared folder, so a lost executor costs one round.
     """
-    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").where("node <> other").distinct(), "edges")
-    labels = materialise(both.groupBy("node").agg(F.min("other").alias("root")).select("node", F.least("node", "root").alias("root")), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("root").alias("before"), F.least("root", "near").alias("root"))
-        jump = lower.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        after = materialise(lower.join(jump, "root", "left").select("node", "before", F.coalesce("top", "root").alias("root")), "labels")
-        changed = after.where("root <> before").limit(1).count()
-        labels = after.select("node", "root")
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
+    with splitting_skew(edges.sparkSession):
+        both = materialise(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").where("node <> other").distinct(), "edges")
+        labels = materialise(both.groupBy("node").agg(F.min("other").alias("root")).select("node", F.least("node", "root").alias("root")), "labels")
+        while True:
+            near = both.join(labels.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("near"))
+            lower = labels.join(near, "node").select("node", F.col("root").alias("before"), F.least("root", "near").alias("root"))
+            jump = lower.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            after = materialise(lower.join(jump, "root", "left").select("node", "before", F.coalesce("top", "root").alias("root")), "labels")
+            labels = after.select("node", "root")
+            if not after.where("root <> before").limit(1).count():
+                return labels

@@ -1,6 +1,7 @@
 """Similarity join of documents on word shingles: a MinHash LSH forest, then exact verification.
 
-1. Texts with the same shingle set are one node (its copies are counted, never paired).
+1. Texts with the same shingle set are one node (its copies are counted, never paired). Sets are told apart by 128
+   bits; a node's number is 64 of them, and the few that would share one are given others.
 2. Each node's signature labels a path in each of ``trees`` prefix trees. The sorted paths of a tree are its trie;
    nodes that share a prefix are candidates. The prefix is shortened from ``depth`` labels until pairs at the
    threshold share it in at least one tree with probability ``recall`` (the default: all but one pair in a million).
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penlake.llm.common import WordHashes, materialise, mixed
+from penlake.llm.common import WordHashes, join_checked, materialise, mixed, splitting_skew
 from penlake.llm.components import components
 from penlake.llm.packed import ROW, batch_of, by_bucket, freeze, joined_up, parcels, squeeze, thaw, unsqueeze
 from penlake.llm.substring_dedup import LAST, Powers, bucket_of
@@ -55,10 +56,10 @@ class Shingler:
         return out
 
 
-def ids_of(shingles: np.ndarray) -> tuple[int, int]:
-    """A node number, and as many bits again to tell apart what shares one."""
+def ids_of(shingles: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """A node number (of fewer bits in tests), and 64 bits more to tell apart what shares one."""
     h = xxhash.xxh3_128_intdigest(shingles.tobytes())
-    return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
+    return (h >> 128 - bits) - (1 << bits - 1), (h & ((1 << 64) - 1)) - (1 << 63)
 
 
 def prefix_length(trees: int, depth: int, threshold: float, recall: float) -> int:
@@ -114,9 +115,9 @@ def linked(sets: list[np.ndarray], split: int, threshold: float) -> tuple[np.nda
     row, column = row[order], column[order]
     left, right = (slice(0, split), slice(split, None)) if split else (slice(None), slice(None))
     common = np.zeros((len(sizes[left]), len(sizes[right])), np.float32)
-    for c in range(0, int(shared.sum()), 4096):
-        lo, hi = np.searchsorted(column, [c, c + 4096])
-        m = np.zeros((len(sets), 4096), np.float32)
+    for c in range(0, int(shared.sum()), 1024):
+        lo, hi = np.searchsorted(column, [c, c + 1024])
+        m = np.zeros((len(sets), 1024), np.float32)
         m[row[lo:hi], column[lo:hi] - c] = 1
         common += m[left] @ m[right].T
     union = sizes[left][:, None] + sizes[right][None, :] - common
@@ -143,9 +144,13 @@ def roots(n: int, i: np.ndarray, j: np.ndarray, root: np.ndarray | None = None)
 
 
 def jaccard_join(
-    docs: DataFrame, threshold: float = 0.8, words: int = 5, trees: int = 20, depth: int = 4, recall: float = 0.999999, block: int = 512, bucket_docs: int = 4000
-) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, class_id, n_links (other rows within the threshold), n_copies (rows with the same shingles)."""
+    docs: DataFrame, threshold: float = 0.8, words: int = 5, trees: int = 20, depth: int = 4, recall: float = 0.999999, block: int = 2048, bucket_docs: int = 4000, pairwise: int = 8, bits: int = 64,
+) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, class_id, n_links (other rows within the threshold), n_copies (rows with the same shingles).
+
+    pairwise: groups of up to so many nodes with a common prefix are compared pair by pair, larger ones by leaders. Both
+    ways bring together what must be verified, so results don't depend on it.
+    """
     spark = docs.sparkSession
     length = prefix_length(trees, depth, threshold, recall)
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -158,13 +163,17 @@ def jaccard_join(
             rows = []
             for doc_id, text in zip(*(c.to_pylist() for c in b.columns)):
                 x = s.shingles(text.encode())
-                rows.append((doc_id, *ids_of(x), len(x), s.signature(x).tobytes()) if len(x) else (doc_id, None, None, 0, None))
+                rows.append((doc_id, *ids_of(x, bits), len(x), s.signature(x).tobytes()) if len(x) else (doc_id, None, None, 0, None))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [x.split()[0] for x in SHINGLED.split(", ")])
 
     signed = materialise(slim.mapInArrow(sign, SHINGLED), "signed")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("signature").alias("signature"), F.min("check").alias("low"), F.max("check").alias("high"))
-    nodes = materialise(nodes.withColumn("same", F.when(F.col("low") != F.col("high"), F.raise_error(F.lit("two shingle sets share a node number")))).drop("low", "high", "same"), "nodes")
+    nodes = signed.where("node is not null").groupBy("node", "check").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
+    nodes = materialise(nodes, "nodes")
+    clash = materialise(nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node", F.lit(True).alias("clash")), "clashes")
+    if not clash.isEmpty():
+        told_apart = F.when(F.col("clash"), F.xxhash64("node", "check", F.lit("again"))).otherwise(F.col("node"))
+        signed, nodes = (materialise(join_checked(x, clash, "node", "left").withColumn("node", told_apart).drop("clash"), "apart") for x in (signed, nodes))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() // bucket_docs))
 
     def keys_of(signature: np.ndarray) -> np.ndarray:
@@ -219,7 +228,7 @@ def jaccard_join(
         cuts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
         sizes = np.diff(np.append(cuts, len(key)))
         pairs: list[np.ndarray] = []
-        for m in np.unique(sizes[sizes <= 8]):
+        for m in np.unique(sizes[sizes <= pairwise]):
             if m < 2:
                 continue
             start = cuts[sizes == m]
@@ -227,7 +236,7 @@ def jaccard_join(
                 for b in range(a + 1, m):
                     ok = (wide[order[start + a]] == wide[order[start + b]]).mean(axis=1) >= least
                     pairs.append(np.stack([node[start[ok] + a], node[start[ok] + b]], axis=1))
-        for start, m in zip(cuts[sizes > 8], sizes[sizes > 8]):
+        for start, m in zip(cuts[sizes > pairwise], sizes[sizes > pairwise]):
             own = node[start : start + m]
             # Only who belongs together goes on, a link for each node, so a group of m nodes gives fewer than m rows.
             root = np.arange(m)
@@ -244,7 +253,9 @@ def jaccard_join(
     maybe = components(by_bucket(told, candidates, "a long, b long").distinct())
     # Each node's component, and the number of blocks that it's cut into.
     cut = maybe.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    wanted = maybe.join(cut, "root").join(nodes.select("node", "first", "copies"), "node").select("first", "node", "root", "copies", "blocks")
+    with splitting_skew(spark):
+        wanted = maybe.join(cut, "root").join(nodes.select("node", "check", "first", "copies"), "node").select("first", "node", "check", "root", "copies", "blocks")
+        wanted = materialise(wanted, "wanted")
 
     def wants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -258,17 +269,16 @@ def jaccard_join(
             yield batch_of([(bucket, 1, doc_id, None, squeeze(t.encode())) for bucket, doc_id, t in zip(bucket_of(ids, n).tolist(), ids.tolist(), b.column(1).to_pylist())])
 
     def sets(bucket: int, kinds: dict) -> Iterator[pa.RecordBatch]:
-        first, node, root, copies, blocks = joined_up(kinds.get(0, []), I64, I64, I64, I64, I32)
-        want = {(a, b): tuple(rest) for a, b, *rest in zip(first.tolist(), node.tolist(), root.tolist(), copies.tolist(), blocks.tolist())}
+        first, node, check, root, copies, blocks = joined_up(kinds.get(0, []), I64, I64, I64, I64, I64, I32)
+        want = {(a, b): tuple(rest) for a, b, *rest in zip(first.tolist(), check.tolist(), node.tolist(), root.tolist(), copies.tolist(), blocks.tolist())}
         ids, s, rows = set(first.tolist()), Shingler(words, 0), []
         for doc_id, _, data in kinds.get(1, []):
             if doc_id not in ids:
                 continue
             x = s.shingles(unsqueeze(data))
-            own = ids_of(x)[0] if len(x) else None
-            if (found := want.pop((doc_id, own), None)) is None:
+            if not len(x) or (found := want.pop((doc_id, ids_of(x, bits)[1]), None)) is None:
                 continue
-            root_of, copies_of, k = found
+            own, root_of, copies_of, k = found
             mine = int(bucket_of(np.array([own]), k)[0])
             packed = freeze(x)
             for other in range(k):
@@ -307,9 +317,11 @@ def jaccard_join(
     root = components(sure.select(F.col("node").alias("a"), F.col("near").alias("b")))
     linked_to = sure.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.select("node", "first", "copies").join(linked_to, "node", "left").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = known.groupBy("root").agg(F.min("first").alias("class_id"))
-    classes = known.join(named, "root").select("node", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    out = signed.select("doc_id", "node").join(classes, "node", "left")
+    with splitting_skew(spark):
+        known = materialise(known, "known")
+        named = known.groupBy("root").agg(F.min("first").alias("class_id"))
+        classes = known.join(named, "root").select("node", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+        out = materialise(signed.select("doc_id", "node").join(materialise(classes, "classes"), "node", "left"), "joined")
     known_id = lambda c: F.when(c != LAST, c)
     return out.select(
         known_id(F.col("doc_id")).alias("doc_id"),

@@ -669,8 +669,24 @@ def test_join_of_a_large_group(spark):
             w[rng.randrange(len(w))] = f"x{rng.randrange(10_000)}"
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = rows_of(jaccard_join.jaccard_join(df, block=100), "doc_id", "class_id", "n_links")
-    assert got == brute_join(rows)
+    want = brute_join(rows)
+    for sizes in ({"block": 100, "pairwise": 1}, {"pairwise": 10_000, "bits": 8}):  # by leaders alone, pair by pair alone; node numbers that clash
+        assert rows_of(jaccard_join.jaccard_join(df, **sizes), "doc_id", "class_id", "n_links") == want
+
+
+def test_join_of_chains(spark):
+    """Chains whose neighbours are alike and whose ends aren't, on both sides of every switch."""
+    rng = random.Random(9)
+    rows = []
+    for chain in range(12):
+        w = [f"c{chain}w{i}" for i in range(100)]
+        for i in range(40):
+            rows.append((len(rows), " ".join(w)))
+            w = [*w[rng.randrange(1, 4) :], *(f"c{chain}n{i}x{j}" for j in range(rng.randrange(1, 4)))]
+    rows += [(len(rows) + i, f"{rows[i * 7][1]} end") for i in range(60)]
+    df, want = spark.createDataFrame(rows, "doc_id long, text string"), brute_join(rows)
+    for sizes in ({"block": 8, "pairwise": 1}, {"pairwise": 10_000}):
+        assert rows_of(jaccard_join.jaccard_join(df, **sizes), "doc_id", "class_id", "n_links") == want
 
 
 def test_components(spark):
