@@ -832,6 +832,28 @@ def test_pipeline(spark, docs, duck):
     assert {r["doc_id"] for r in p.pack(spark, safe, SF).collect()} == {r["doc_id"] for r in safe.collect()}
 
 
+def test_pipeline_stages_on_odd_tables(spark):
+    """Null and shared ids, null and empty texts, repeated rows, columns more, empty tables: decided row by row."""
+    import corpus_pipeline as p
+
+    docs, bench = connect(SF).execute("SELECT text FROM documents WHERE lang = 'en' AND length(text) BETWEEN 600 AND 3000 ORDER BY doc_id LIMIT 8").fetchall(), connect(SF).execute("SELECT text FROM benchmark WHERE length(text) > 150 ORDER BY item_id LIMIT 2").fetchall()
+    a, b, c, d, e, f, g, h = (t for (t,) in docs)
+    leak = f"{e} {bench[0][0]} {f}"
+    rows = [(1, a), (1, b), (2, a), (None, a), (None, c), (None, c), (3, None), (4, ""), (5, d), (5, d), (None, leak), (6, g + " " + bench[1][0]), (6, h)]
+    df = spark.createDataFrame([(i, t, "en" if i else None, None, len(t or ""), "x", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, pii string, row long")
+    single = p.drop_near_duplicates(spark, df, SF)
+    assert single.columns == list(p.COLUMNS)
+    assert rows_of(single, "doc_id", "text") == sorted([(1, a), (1, b), (None, c), (3, None), (4, ""), (5, d), (None, leak), rows[11], (6, h)], key=repr)
+    clean = p.drop_leaks(spark, df, SF)
+    assert rows_of(clean, "doc_id", "text") == sorted([r for r in rows if r[1] != leak and r != rows[11]], key=repr)
+    assert p.redact_pii(spark, df, SF).count() == len(rows) and rows_of(p.redact_pii(spark, df.where("doc_id in (3, 4)"), SF), "text", "n_chars") == sorted([(None, None), ("", 0)], key=repr)
+    assert len({(r["sequence_id"], r["offset"]) for r in p.pack(spark, df, SF).collect()}) >= len(rows)
+    known = rows_of(p.keep_known_languages(spark, df.unionByName(spark.read.parquet(f"{SF}/documents.parquet"), allowMissingColumns=True), SF).where("doc_id is null or doc_id < 7").join(df.select("text").distinct(), "text"), "text")
+    assert {t for (t,) in known} >= {a, b, c, d, h} and not {t for (t,) in known} & {None, ""}
+    for _, stage in p.STAGES:
+        assert stage(spark, df.limit(0), SF).count() == 0
+
+
 def test_pipeline_drops_unknown_languages(spark, docs):
     """Unlearned scripts and letter junk go at any length, with or without a label; clean short documents stay."""
     import corpus_pipeline as p
