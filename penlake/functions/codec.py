@@ -21,14 +21,25 @@ LONGEST = 1500  # tokens of a sequence
 ALPHABET = " enaitoshrdx.vpukbgfcymzw1lqj804I92637OTAS5N)EHR\"'(BCQLMWYU,ZF!DXV?KPGJ"
 
 
-def bin_of(v: Column, edges: list[float]) -> Column:
-    """Index of the last edge that is at most v."""
-    return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= v)) - 1
+def last_edge(v: Column, edges: list[float], guess: Column) -> Column:
+    """Index of the last edge that is at most v, given a guess that is off by one at most."""
+    table, g = F.array(*map(F.lit, edges)), F.least(F.greatest(guess.cast("int"), F.lit(0)), F.lit(len(edges) - 1))
+    return F.when(F.get(table, g + 1) <= v, g + 1).when(F.get(table, g) <= v, g).otherwise(g - 1)
+
+
+def theta_bin(theta: Column) -> Column:
+    return last_edge(theta, THETA_EDGES, F.floor((theta + math.pi) * (219 / (2 * math.pi))))
+
+
+def r_bin(r: Column) -> Column:
+    even = 1 + F.floor((r - 0.0001) * (29 / (0.060 - 0.0001)))
+    growing = 31 + F.floor(F.log(r / 0.06001) * (119 / math.log(0.90 / 0.06001)))
+    return last_edge(r, R_EDGES, F.when(r < 0.0001, 0).when(r < 0.06001, F.least(even, F.lit(30))).otherwise(growing))
 
 
 def tokens_of(r: Column, theta: Column, pen: Column) -> tuple[Column, Column]:
     """(direction token, distance token)."""
-    return F.lit(FIRST_THETA) + bin_of(theta, THETA_EDGES), bin_of(r, R_EDGES) + F.when(pen == 1, 0).otherwise(N_R)
+    return F.lit(FIRST_THETA) + theta_bin(theta), r_bin(r) + F.when(pen == 1, 0).otherwise(N_R)
 
 
 def edge_at(i: Column, edges: list[float]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,11 @@ from penlake.functions.geometry import uniform
 
 
 def char_histogram(texts: DataFrame, text: str = "text") -> DataFrame:
-    """ch, n and the share of all characters. Characters are counted before they're shuffled."""
-    chars = texts.select(F.explode(F.split(text, "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count("*").alias("n"))
+    """ch, n and the share of all characters. A text gives a row per different character, not one per character."""
+    t = F.col(text)
+    each = texts.select(text, F.explode(F.array_distinct(F.split(t, ""))).alias("ch")).where("ch <> ''")
+    each = each.select("ch", (F.length(t) - F.length(F.replace(t, F.col("ch"), F.lit("")))).cast("bigint").alias("n"))
+    chars = each.groupBy("ch").agg(F.sum("n").alias("n"))
     total = chars.agg(F.sum("n").alias("total"))
     return chars.crossJoin(F.broadcast(total)).select("ch", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))  # one row
 
@@ -80,11 +85,16 @@ def top_k_mask(logits: Column, k: int) -> Column:
     return F.transform(logits, lambda v: F.when(v >= kth, v))
 
 
+def with_value(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once even where f uses it in a lambda."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def softmax(logits: Column, temperature: float = 1.0) -> Column:
     """Shares of the logits; nulls get 0."""
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda v: F.coalesce(F.exp((v - top) / temperature), F.lit(0.0)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    e = with_value(F.array_max(logits), lambda top: F.transform(logits, lambda v: F.coalesce(F.exp((v - top) / temperature), F.lit(0.0))))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    return with_value(e, lambda x: with_value(total(x), lambda t: F.transform(x, lambda v: v / t)))
 
 
 def argmax(logits: Column) -> Column:
@@ -94,9 +104,8 @@ def argmax(logits: Column) -> Column:
 
 def cross_entropy(logits: Column, target: Column) -> Column:
     """Negative log-likelihood of the logit at index target."""
-    top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda a, v: a + F.exp(v - top))
-    return F.log(total) + top - F.element_at(logits, target.cast("int") + 1)
+    total = lambda top: F.aggregate(logits, F.lit(0.0), lambda a, v: a + F.exp(v - top))
+    return with_value(F.array_max(logits), lambda top: F.log(total(top)) + top) - F.element_at(logits, target.cast("int") + 1)
 
 
 def cross_attention(targets: DataFrame, context: DataFrame, key: str) -> DataFrame:

@@ -1,0 +1,5 @@
+"""The registered queries; importing the package fills the catalogue."""
+
+from penlake.plans import catalogue, training
+
+__all__ = ["catalogue", "training"]

@@ -368,10 +368,10 @@ def q34_regenerate(s: SparkSession, d: str) -> DataFrame:
     return corpus.upsert(p, fresh, ["item_id", "pos"], "x").select("item_id", "pos", r6("x"))
 
 
-@query("SELECT doc_id, lang AS style FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 'other' FROM documents WHERE lang <> 'en'")
+@query("SELECT doc_id, lang AS style FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 'other' FROM documents WHERE coalesce(lang <> 'en', true)")
 def q35_union_banks(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents").select("doc_id", F.col("lang").alias("style"))
-    return docs.where("style = 'en'").unionByName(docs.where("style <> 'en'").withColumn("style", F.lit("other")))
+    return docs.where("style = 'en'").unionByName(docs.where("coalesce(style <> 'en', true)").withColumn("style", F.lit("other")))
 
 
 @query("WITH b AS (SELECT event_type, floor(event_id / 100)::bigint AS batch, value FROM events), m AS (SELECT event_type, batch, avg(value) AS m FROM b GROUP BY ALL) SELECT event_type, round(avg(m), 6) AS mean_loss, count(*) AS n_batches FROM m GROUP BY event_type")

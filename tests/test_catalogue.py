@@ -3,7 +3,7 @@
 import pytest
 
 from compare import connect, of_spark, of_sql
-from penlake.plans.catalogue import ORACLES, QUERIES
+from penlake.plans.catalogue import ORACLES, QUERIES  # importing the package registers all
 
 SF = "/root/testdata/sf0.001"
 
