@@ -7,9 +7,10 @@
    of each of its different windows whose anchor recurs, with 96 bits of hash; where a window's places meet, those of
    a window that comes again are told the earliest place of all. So a bucket knows all passages that recur in the
    corpus and in itself, each by one place of its own.
-3. Automata. A bucket compiles those passages, taken word by word from its own documents, into Aho-Corasick automata
-   over word numbers (a shard of at most ``shard`` windows each) and streams all its documents through them, whole.
-   What is removed is what the automata locate: every occurrence but the earliest.
+3. Automata. A bucket compiles the phrases of those passages, taken word by word from its own documents, into
+   Aho-Corasick automata over word numbers (at most ``shard`` phrases each) and streams all its documents through
+   them, whole. Around each phrase that they locate the words are held against the passages' windows, word for word;
+   what is removed is every occurrence found so but the earliest.
 
 Facts travel in packed rows (see packed.py). A task or bucket gives out one place for the facts that are alike in it,
 so a passage in a third of all documents makes a fact per bucket, and its occurrences are found where they lie.
@@ -99,29 +100,58 @@ def firsts(hashes: np.ndarray, doc: np.ndarray, pos: np.ndarray, more: np.ndarra
     return order, np.repeat(new, np.diff(np.append(new, len(order))))
 
 
-def occurrences(texts: list[list[bytes]], patterns: list[tuple[int, int]], size: int, shard: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def occurrences(texts: list[list[bytes]], patterns: list[tuple[int, int]], size: int, gram: int, shard: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(text, starts, numbers of patterns): the places in texts that have the words of a pattern, a pattern being ``size`` words at a place (text, start).
 
-    A word is two characters, from two alphabets as large as the root of the number of words: an automaton looks through
-    a node's branches one by one, so nodes must have few. Words of no pattern are number 0.
+    The automata hold one phrase of ``gram`` words for each pattern, that with the smallest hash, so that neighbouring
+    patterns share it, at most ``shard`` phrases each. Where a phrase is located, the ``size`` words around it are looked
+    up word for word. A word is two characters, from two alphabets as large as the root of the number of words: an
+    automaton looks through a node's branches one by one, so nodes must have few. Words of no pattern are number 0.
     """
     import ahocorasick
 
+    if not patterns:
+        return
     words = {w for t, s in patterns for w in texts[t][s : s + size]}
     number, base = dict(zip(words, range(1, len(words) + 1))), math.isqrt(len(words)) + 1
-    coded = []
-    for t in texts if patterns else ():
+    coded, numbers = [], []
+    for t in texts:
         n = np.fromiter(map(number.get, t, repeat(0)), np.uint32, len(t))
+        numbers.append(n)
         coded.append(np.stack([n // base, n % base + base], axis=1).astype(np.uint32).tobytes().decode("utf-32-le"))
-    for i in range(0, len(patterns), shard):
-        machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for k, (t, s) in enumerate(patterns[i : i + shard], i):
-            machine.add_word(coded[t][2 * s : 2 * (s + size)], k)
+    of: dict[str, int] = {}
+    by_text: dict[int, list[int]] = {}
+    for k, (t, s) in enumerate(patterns):
+        of.setdefault(coded[t][2 * s : 2 * (s + size)], k)
+        by_text.setdefault(t, []).append(s)
+    gram, powers = min(gram, size), Powers()
+    width = size - gram + 1
+    phrases: set[str] = set()
+    for t, starts in by_text.items():
+        g = powers.runs(numbers[t].astype(U64), gram)
+        least = sliding(np.minimum, g, width)[starts]
+        for i in range(width):  # the first place in the window that has its least value
+            here = g[np.array(starts) + i] == least
+            phrases.update(coded[t][2 * (s + i) : 2 * (s + i + gram)] for s in np.array(starts)[here].tolist())
+            least[here] = 0
+    known = sorted(phrases)
+    marks = [np.zeros(len(t) + 1, bool) for t in texts]
+    for i in range(0, len(known), shard):
+        machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for phrase in known[i : i + shard]:
+            machine.add_word(phrase)
         machine.make_automaton()
-        for t, text in enumerate(coded):
-            if hits := list(machine.iter(text)):
-                ends, found = zip(*hits)
-                yield t, np.array(ends) // 2 - size + 1, np.array(found)
+        for text, mark in zip(coded, marks):
+            if ends := [end for end, _ in machine.iter(text)]:
+                mark[np.array(ends) // 2 - gram + 1] = True
+    for t, (text, mark) in enumerate(zip(coded, marks)):
+        if len(numbers[t]) < size or not mark.any():
+            continue
+        near = np.flatnonzero(sliding(np.maximum, mark[:-gram], width)[: len(numbers[t]) - size + 1])
+        found = [(s, k) for s in near.tolist() if (k := of.get(text[2 * s : 2 * (s + size)])) is not None]
+        if found:
+            starts, ks = zip(*found)
+            yield t, np.array(starts), np.array(ks)
 
 
 def remove_repeats(docs: DataFrame, size: int = 20, gram: int = 7, bucket_chars: int = 6_000_000, shard: int = 20_000) -> DataFrame:
@@ -248,7 +278,7 @@ def remove_repeats(docs: DataFrame, size: int = 20, gram: int = 7, bucket_chars:
                     of.append(k)
         change = [np.zeros(len(t) + 1, I64) for t in texts]
         of = np.array(of, I64)
-        for t, s, k in occurrences(texts, patterns, size, shard):
+        for t, s, k in occurrences(texts, patterns, size, gram, shard):
             k = of[k]
             gone = s[(there[k] != ids[t]) | (start[k] != s)]
             np.add.at(change[t], gone, 1)

@@ -604,7 +604,7 @@ def test_automata_find_every_occurrence():
     texts += [texts[2][10:60] + texts[8][300:380], texts[8][290:350]]
     patterns = [(t, s) for t, s in ((2, 20), (2, 21), (5, 7), (8, 300), (8, 330), (9, 3))]
     for size, shard in ((20, 1), (20, 2), (20, 40_000), (3, 4)):
-        got = {(t, int(s), tuple(texts[patterns[k][0]][patterns[k][1] : patterns[k][1] + size])) for t, ss, ks in substring_dedup.occurrences(texts, patterns, size, shard) for s, k in zip(ss, ks)}
+        got = {(t, int(s), tuple(texts[patterns[k][0]][patterns[k][1] : patterns[k][1] + size])) for t, ss, ks in substring_dedup.occurrences(texts, patterns, size, 7, shard) for s, k in zip(ss, ks)}
         keys = {tuple(texts[t][s : s + size]) for t, s in patterns}
         assert got == {(t, s, tuple(w[s : s + size])) for t, w in enumerate(texts) for s in range(len(w) - size + 1) if tuple(w[s : s + size]) in keys}
 
