@@ -4,7 +4,7 @@
    have equal anchors, and about one phrase in seven is one. Anchors that come once rule out their windows, and a
    document without a recurring anchor can't hold a repeated window.
 2. Confirmed passages. Documents are dealt into buckets by a hash of their id. Each bucket gives out the first place
-   of each of its different windows whose anchor recurs, with 96 bits of hash; where a window's places meet, those of
+   of each of its different windows whose anchor recurs, with 80 bits of hash; where a window's places meet, those of
    a window that comes again are told the earliest place of all. So a bucket knows all passages that recur in the
    corpus and in itself, each by one place of its own.
 3. Automata. A bucket compiles the phrases of those passages, taken word by word from its own documents, into
@@ -25,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -112,7 +112,15 @@ def occurrences(texts: list[list[bytes]], patterns: list[tuple[int, int]], size:
 
     if not patterns:
         return
-    words = {w for t, s in patterns for w in texts[t][s : s + size]}
+    by_text: dict[int, list[int]] = {}
+    for t, s in patterns:
+        by_text.setdefault(t, []).append(s)
+    words: set[bytes] = set()
+    for t, starts in by_text.items():
+        inside = np.zeros(len(texts[t]) + 1, I64)
+        np.add.at(inside, starts, 1)
+        np.add.at(inside, np.array(starts) + size, -1)
+        words.update(compress(texts[t], np.cumsum(inside).tolist()))
     number, base = dict(zip(words, range(1, len(words) + 1))), math.isqrt(len(words)) + 1
     coded, numbers = [], []
     for t in texts:
@@ -120,10 +128,8 @@ def occurrences(texts: list[list[bytes]], patterns: list[tuple[int, int]], size:
         numbers.append(n)
         coded.append(np.stack([n // base, n % base + base], axis=1).astype(np.uint32).tobytes().decode("utf-32-le"))
     of: dict[str, int] = {}
-    by_text: dict[int, list[int]] = {}
     for k, (t, s) in enumerate(patterns):
         of.setdefault(coded[t][2 * s : 2 * (s + size)], k)
-        by_text.setdefault(t, []).append(s)
     gram, powers = min(gram, size), Powers()
     width = size - gram + 1
     phrases: set[str] = set()
@@ -226,7 +232,7 @@ def remove_repeats(docs: DataFrame, size: int = 20, gram: int = 7, bucket_chars:
             if len(starts):
                 rows.append((bucket, 1, doc_id, None, squeeze(b" ".join(words))))
                 hs.append(runs.powers.runs(h, size)[starts])
-                more.append((runs.powers.runs(h ^ SECOND, size)[starts] >> U64(32)).astype(np.uint32))
+                more.append((runs.powers.runs(h ^ SECOND, size)[starts] >> U64(48)).astype(np.uint16))
                 ids.append(np.full(len(starts), doc_id, I64))
                 at.append(starts)
             else:
@@ -240,18 +246,21 @@ def remove_repeats(docs: DataFrame, size: int = 20, gram: int = 7, bucket_chars:
             other = (d[order] != d[order[first]]) | (p[order] != p[order[first]])
             lead = np.unique(first)
             again = (np.bincount(first, other, len(first))[lead] > 0).astype(U8)
-            lead = order[lead]
+            by_place = np.argsort(order[lead])  # neighbours in a text pack well
+            lead, again = order[lead][by_place], again[by_place]
             rows += parcels(2, bucket_of(h[lead], n), h[lead], check[lead], d[lead], p[lead], again, np.full(len(lead), bucket, I32))
         if rows:
             yield batch_of(rows)
 
     def confirmed(bucket: int, kinds: dict) -> Iterator[pa.RecordBatch]:
         """Of windows that come again, to each bucket that has another place than the earliest (kind 3): its own first place, and the earliest."""
-        h, check, doc, pos, again, home = joined_up(kinds[2], U64, np.uint32, I64, I32, U8, I32)
+        h, check, doc, pos, again, home = joined_up(kinds[2], U64, np.uint16, I64, I32, U8, I32)
         order, first = firsts(h, doc, pos, check)
         there, own = order[first], order
         tell = (doc[own] != doc[there]) | (pos[own] != pos[there]) | (again[own] > 0)
         own, there = own[tell], there[tell]
+        by_place = np.lexsort((pos[own], doc[own]))
+        own, there = own[by_place], there[by_place]
         if len(own):
             yield batch_of(parcels(3, home[own], doc[own], pos[own], doc[there], pos[there], check[own]))
 
@@ -259,7 +268,7 @@ def remove_repeats(docs: DataFrame, size: int = 20, gram: int = 7, bucket_chars:
         """Compile the bucket's confirmed passages, stream its documents, remove what is found and isn't the earliest."""
         ids = [doc_id for doc_id, _, _ in kinds.get(1, [])]
         texts = [unsqueeze(data).split(b" ") for _, _, data in kinds.get(1, [])]
-        doc, pos, there, start, check = joined_up(kinds.get(3, []), I64, I32, I64, I32, np.uint32)
+        doc, pos, there, start, check = joined_up(kinds.get(3, []), I64, I32, I64, I32, np.uint16)
         row: dict[int, list[int]] = {}
         for i, doc_id in enumerate(ids):
             row.setdefault(doc_id, []).append(i)
@@ -268,7 +277,7 @@ def remove_repeats(docs: DataFrame, size: int = 20, gram: int = 7, bucket_chars:
         def is_place(i: int, p: int, bits: int) -> bool:
             """Of rows that share a doc_id, the place lies in those that have the window there."""
             h = runs.word(texts[i][p : p + size])
-            return len(h) == size and int(runs.powers.runs(h ^ SECOND, size)[0] >> U64(32)) == bits
+            return len(h) == size and int(runs.powers.runs(h ^ SECOND, size)[0] >> U64(48)) == bits
 
         patterns, of = [], []
         for k, (d, p, bits) in enumerate(zip(doc.tolist(), pos.tolist(), check.tolist())):
