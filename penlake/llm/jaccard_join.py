@@ -3,8 +3,10 @@
 1. Texts with the same shingle set are one node (its copies are counted, never paired). Sets are told apart by 128
    bits; a node's number is 64 of them, and the few that would share one are given others.
 2. Each node's signature labels a path in each of ``trees`` prefix trees. The sorted paths of a tree are its trie;
-   nodes that share a prefix are candidates. The prefix is shortened from ``depth`` labels until pairs at the
-   threshold share it in at least one tree with probability ``recall`` (the default: all but one pair in a million).
+   nodes that share a prefix are candidates. Whole paths of ``depth`` labels are matched first. How alike the pairs are
+   that this finds tells what share of all pairs each shorter prefix would find; prefixes are shortened to the longest
+   that reaches ``recall`` (the default: all but one pair in a million), and only prefixes under which paths branch are
+   matched again. Without evidence it's the length that finds a pair just at the threshold with that probability.
 3. Among nodes with a common prefix, one byte of each label gives an estimate that rules out chance meetings. Large
    groups are compared with leaders: a node that is very close to a leader stands behind it, and every node keeps its
    links to all leaders within reach, so by the triangle inequality of the Jaccard distance close nodes stay in one
@@ -19,7 +21,7 @@ component and is named by its smallest doc_id, a null doc_id coming last; an emp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,10 +64,17 @@ def ids_of(shingles: np.ndarray, bits: int = 64) -> tuple[int, int]:
     return (h >> 128 - bits) - (1 << bits - 1), (h & ((1 << 64) - 1)) - (1 << 63)
 
 
-def prefix_length(trees: int, depth: int, threshold: float, recall: float) -> int:
-    """The longest prefix, of at most depth labels, that finds pairs at the threshold with the wanted probability."""
+def prefix_length(found: np.ndarray, trees: int, depth: int, threshold: float, recall: float) -> int:
+    """The longest prefix, of at most depth labels, that finds enough of all pairs within the threshold.
+
+    found[i]: pairs that whole paths brought together and of whose labels i agree (by a byte of each). Each stands for as
+    many pairs as its chance of being found is smaller than 1. One more pair, just at the threshold, is taken as given.
+    """
+    alike = np.maximum((256 * np.arange(len(found)) / (trees * depth) - 1) / 255, threshold)
+    missed = lambda k: (1 - alike**k) ** trees
+    pairs = found / (1 - missed(depth))
     for k in range(depth, 0, -1):
-        if 1 - (1 - threshold**k) ** trees >= recall:
+        if (pairs * missed(k)).sum() + (1 - threshold**k) ** trees <= (1 - recall) * (pairs.sum() + 1):
             return k
     raise ValueError("more trees are needed for this recall")
 
@@ -152,7 +161,6 @@ def jaccard_join(
     ways bring together what must be verified, so results don't depend on it.
     """
     spark = docs.sparkSession
-    length = prefix_length(trees, depth, threshold, recall)
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     spread = (threshold * (1 - threshold) / (trees * depth)) ** 0.5
     least, close, reach = threshold - 5 * spread, min(0.98, threshold + 2.5 * spread), 2 * threshold - 1 - 5 * spread
@@ -176,31 +184,43 @@ def jaccard_join(
         signed, nodes = (materialise(join_checked(x, clash, "node", "left").withColumn("node", told_apart).drop("clash"), "apart") for x in (signed, nodes))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() // bucket_docs))
 
-    def keys_of(signature: np.ndarray) -> np.ndarray:
-        """(nodes, trees) hashes of the prefixes; signature: (nodes, trees * depth)."""
+    def keys_of(signature: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of the prefixes of so many labels, a row of trees for each node."""
         s = signature.reshape(len(signature), trees, depth)[:, :, :length].astype(U64)
         h = np.broadcast_to(np.arange(trees, dtype=U64), s.shape[:2])
         for k in range(length):
             h = mixed(h ^ (s[:, :, k] + U64((k + 1) << 40)))
-        return h
+        return h.ravel()
 
     def matrix(column: pa.Array) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), trees * depth)
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                keys = keys_of(matrix(b.column(1))).ravel()
-                node = np.repeat(b.column(0).to_numpy(), trees)
-                yield batch_of(parcels(0, bucket_of(keys, n), keys, node))
-
-    def met(bucket: int, kinds: dict) -> Iterator[pa.RecordBatch]:
-        """Prefixes with two nodes or more, to their nodes."""
-        key, node = joined_up(kinds[0], U64, I64)
-        _, where, count = np.unique(key, return_inverse=True, return_counts=True)
-        keep = count[where] > 1
-        if keep.any():
-            yield batch_of(parcels(0, bucket_of(node[keep], n), node[keep], key[keep]))
+    def prefixes(length: int) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    s = matrix(b.column(1))
+                    keys, node = keys_of(s, length), np.repeat(b.column(0).to_numpy(), trees)
+                    paths = [keys_of(s, depth)] if length < depth else []
+                    yield batch_of(parcels(0, bucket_of(keys, n), keys, node, *paths))
+
+        return run
+
+    def met(length: int) -> Callable:
+        def run(bucket: int, kinds: dict) -> Iterator[pa.RecordBatch]:
+            """Prefixes under which two paths or more lie (whole paths: two nodes), to their nodes."""
+            key, node, *paths = joined_up(kinds[0], U64, I64, *([U64] if length < depth else []))
+            path = paths[0] if paths else node
+            order = np.lexsort((path, key))
+            key, node, path = key[order], node[order], path[order]
+            first = np.diff(key, prepend=~key[:1]) != 0
+            branches = first | (np.diff(path, prepend=path[:1]) != 0)
+            group = np.cumsum(first) - 1
+            keep = np.bincount(group, branches)[group] > 1
+            if keep.any():
+                yield batch_of(parcels(0, bucket_of(node[keep], n), node[keep], key[keep]))
+
+        return run
 
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -228,29 +248,56 @@ def jaccard_join(
         cuts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
         sizes = np.diff(np.append(cuts, len(key)))
         pairs: list[np.ndarray] = []
+        found = np.zeros(trees * depth + 1)
+
+        def tally(same: np.ndarray) -> None:
+            """Count pairs by the labels in which they agree; one that meets in several trees is shared among them."""
+            paths = same.reshape(-1, trees, depth).all(axis=2).sum(axis=1)
+            np.add.at(found, same.sum(axis=1), 1 / np.maximum(paths, 1))
+
         for m in np.unique(sizes[sizes <= pairwise]):
             if m < 2:
                 continue
             start = cuts[sizes == m]
             for a in range(m):
                 for b in range(a + 1, m):
-                    ok = (wide[order[start + a]] == wide[order[start + b]]).mean(axis=1) >= least
+                    same = wide[order[start + a]] == wide[order[start + b]]
+                    ok = same.mean(axis=1) >= least
+                    tally(same[ok])
                     pairs.append(np.stack([node[start[ok] + a], node[start[ok] + b]], axis=1))
         for start, m in zip(cuts[sizes > pairwise], sizes[sizes > pairwise]):
             own = node[start : start + m]
             # Only who belongs together goes on, a link for each node, so a group of m nodes gives fewer than m rows.
-            root = np.arange(m)
-            for a, b in near_pairs(wide[order[start : start + m]], close, reach):
+            root, signs_of = np.arange(m), wide[order[start : start + m]]
+            for a, b in near_pairs(signs_of, close, reach):
                 root = roots(m, a, b, root)
+                same = signs_of[a] == signs_of[b]
+                tally(same[same.mean(axis=1) >= least])
             some = np.flatnonzero(root != np.arange(m))
             pairs.append(np.stack([own[root[some]], own[some]], axis=1))
         if pairs and len(links := np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)):
-            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+            none = pa.nulls(len(links))
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1]), none.cast(pa.int32()), none.cast(pa.float64())], names)
+        if len(some := np.flatnonzero(found)):
+            none = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(some.astype(I32)), pa.array(found[some])], names)
 
+    names = ["a", "b", "alike", "pairs"]
     labelled = nodes.select("node", "signature")
-    shared = by_bucket(labelled.mapInArrow(prefixes, ROW), met, ROW)
-    told = by_bucket(shared.unionByName(labelled.mapInArrow(signs, ROW)), signed_keys, ROW)
-    maybe = components(by_bucket(told, candidates, "a long, b long").distinct())
+
+    def matched(length: int) -> DataFrame:
+        shared = by_bucket(labelled.mapInArrow(prefixes(length), ROW), met(length), ROW)
+        told = by_bucket(shared.unionByName(labelled.mapInArrow(signs, ROW)), signed_keys, ROW)
+        return by_bucket(told, candidates, "a long, b long, alike int, pairs double")
+
+    links = materialise(matched(depth), "candidates")
+    found = np.zeros(trees * depth + 1)
+    for alike, pairs in links.where("a is null").groupBy("alike").agg(F.sum("pairs")).collect():  # a row per number of labels
+        found[alike] = pairs
+    length = prefix_length(found, trees, depth, threshold, recall)
+    if length < depth:
+        links = links.unionByName(matched(length))
+    maybe = components(links.where("a is not null").select("a", "b").distinct())
     # Each node's component, and the number of blocks that it's cut into.
     cut = maybe.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     with splitting_skew(spark):

@@ -689,6 +689,19 @@ def test_join_of_chains(spark):
         assert rows_of(jaccard_join.jaccard_join(df, **sizes), "doc_id", "class_id", "n_links") == want
 
 
+def test_join_by_whole_paths_alone(spark, monkeypatch):
+    """Where all pairs found are close, prefixes aren't shortened, and no link is lost."""
+    rng, rows, lengths = random.Random(10), [], []
+    for group in range(30):
+        w = [f"g{group}w{i}" for i in range(300)]
+        rows += [(len(rows) + i, " ".join([*w[:k], f"x{group}y{i}", *w[k:]])) for i, k in enumerate(rng.sample(range(300), 4))]
+    real = jaccard_join.prefix_length
+    monkeypatch.setattr(jaccard_join, "prefix_length", lambda *a: lengths.append(real(*a)) or lengths[-1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(jaccard_join.jaccard_join(df), "doc_id", "class_id", "n_links") == brute_join(rows)
+    assert lengths == [4]
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
@@ -703,7 +716,12 @@ def test_components(spark):
 
 
 def test_recall():
-    assert 1 - (1 - 0.8 ** jaccard_join.prefix_length(20, 4, 0.8, 0.999999)) ** 20 >= 0.999999
+    k = lambda found, recall=0.999999: jaccard_join.prefix_length(found, 20, 4, 0.8, recall)
+    none, far, near = np.zeros(81), np.zeros(81), np.zeros(81)
+    far[65], near[78] = 1000, 1000
+    assert 1 - (1 - 0.8 ** k(none)) ** 20 >= 0.999999 > 1 - (1 - 0.8 ** (k(none) + 1)) ** 20
+    assert k(far) == k(none) == 3 and k(near) == 4  # close pairs alone are all found by whole paths
+    assert k(none, 0.9999) == 4 and k(none, 0.99999999) == 2
 
 
 # -- decontamination -----------------------------------------------------------------------------------------------------------
