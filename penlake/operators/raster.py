@@ -1,10 +1,11 @@
-"""Steps that are sequential by nature, in NumPy, one item at a time within a task."""
+"""Steps over the points of an item: the greedy walk, sequential by nature, in NumPy; smoothing as windows."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def order_points(xy: np.ndarray) -> np.ndarray:
@@ -37,25 +38,28 @@ def walk(points: DataFrame) -> DataFrame:
     return points.groupBy("item_id").applyInPandas(one, "item_id long, pos long, x double, y double")
 
 
-def smooth(points: DataFrame, window: int = 5, order: int = 2) -> DataFrame:
-    """Least-squares smoothing of x and y within each run of one pen state that is longer than the window."""
+def smooth(points: DataFrame, window: int = 4, order: int = 2) -> DataFrame:
+    """Least-squares smoothing of x and y within each run of one pen state that is longer than the window.
 
-    def fit(v: np.ndarray) -> np.ndarray:
-        n, half = len(v), window // 2
-        if n <= window:
-            return v
-        out = v.copy()
-        for i in range(n):
-            a = min(max(0, i - half), n - window)
-            t = np.arange(a, a + window) - i
-            out[i] = np.polynomial.polynomial.polyfit(t, v[a : a + window], order)[0]
-        return out
+    A point takes the value at the middle of its window (between two points if the window is even), the points at either
+    end of a run the values of the polynomial of the first or last window. All are fixed weights on neighbours.
+    """
+    powers = np.arange(order + 1)
+    solve = np.linalg.pinv(np.vander(np.arange(window, dtype=float), order + 1, increasing=True))
+    state, run, whole = Window.partitionBy("item_id").orderBy("pos"), Window.partitionBy("item_id", "run").orderBy("pos"), Window.partitionBy("item_id", "run")
+    turn = F.coalesce((F.col("pen") != F.lag("pen").over(state)).cast("int"), F.lit(0))
+    p = points.select("item_id", "pos", "x", "y", "pen", turn.alias("turn")).withColumn("run", F.sum("turn").over(state))
+    p = p.withColumn("r", F.row_number().over(run)).withColumn("n", F.count("*").over(whole))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos").reset_index(drop=True)
-        run = (pdf["pen"].diff().fillna(0) != 0).cumsum()
-        for c in ("x", "y"):
-            pdf[c] = pdf.groupby(run)[c].transform(lambda s: fit(s.to_numpy(float)))
-        return pdf[["item_id", "pos", "x", "y", "pen"]]
+    def value(c: str, first: int, at: float) -> Column:
+        """The value at a place of the window whose first point lies so far from this one."""
+        weights = (at**powers) @ solve
+        return sum((F.lag(c, -(first + j)).over(run) * float(w) for j, w in enumerate(weights)), F.lit(0.0))
+
+    def fitted(c: str) -> Column:
+        out = F.when(F.col("n") <= window, F.col(c))
+        for i in range(window // 2):
+            out = out.when(F.col("r") == i + 1, value(c, -i, i)).when(F.col("r") == F.col("n") - i, value(c, i + 1 - window, window - 1 - i))
+        return out.otherwise(value(c, -((window - 1) // 2), (window - 1) / 2))
 
-    return points.groupBy("item_id").applyInPandas(one, "item_id long, pos long, x double, y double, pen long")
+    return p.select("item_id", "pos", fitted("x").alias("x"), fitted("y").alias("y"), "pen")

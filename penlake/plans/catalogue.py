@@ -459,9 +459,17 @@ def q47_greedy_walk(s: SparkSession, d: str) -> DataFrame:
     return raster.walk(p)
 
 
-@query()
+@query(
+    f"""WITH {PTS}, t AS (SELECT *, CASE WHEN pen <> lag(pen) OVER (PARTITION BY item_id ORDER BY pos) THEN 1 ELSE 0 END AS turn FROM points), u AS (SELECT *, sum(turn) OVER (PARTITION BY item_id ORDER BY pos) AS run FROM t),
+    v AS (SELECT *, row_number() OVER (PARTITION BY item_id, run ORDER BY pos) AS r, count(*) OVER (PARTITION BY item_id, run) AS n FROM u)
+    SELECT item_id, pos, round(CASE WHEN n <= 4 THEN x WHEN r = 1 THEN 0.95 * x + 0.15 * lead(x, 1) OVER w + -0.15 * lead(x, 2) OVER w + 0.05 * lead(x, 3) OVER w WHEN r = n THEN 0.05 * lag(x, 3) OVER w + -0.15 * lag(x, 2) OVER w + 0.15 * lag(x, 1) OVER w + 0.95 * x
+    WHEN r = 2 THEN 0.15 * lag(x, 1) OVER w + 0.55 * x + 0.45 * lead(x, 1) OVER w + -0.15 * lead(x, 2) OVER w WHEN r = n - 1 THEN -0.15 * lag(x, 2) OVER w + 0.45 * lag(x, 1) OVER w + 0.55 * x + 0.15 * lead(x, 1) OVER w ELSE -0.0625 * lag(x, 1) OVER w + 0.5625 * x + 0.5625 * lead(x, 1) OVER w + -0.0625 * lead(x, 2) OVER w END, 12) AS x,
+    round(CASE WHEN n <= 4 THEN y WHEN r = 1 THEN 0.95 * y + 0.15 * lead(y, 1) OVER w + -0.15 * lead(y, 2) OVER w + 0.05 * lead(y, 3) OVER w WHEN r = n THEN 0.05 * lag(y, 3) OVER w + -0.15 * lag(y, 2) OVER w + 0.15 * lag(y, 1) OVER w + 0.95 * y
+    WHEN r = 2 THEN 0.15 * lag(y, 1) OVER w + 0.55 * y + 0.45 * lead(y, 1) OVER w + -0.15 * lead(y, 2) OVER w WHEN r = n - 1 THEN -0.15 * lag(y, 2) OVER w + 0.45 * lag(y, 1) OVER w + 0.55 * y + 0.15 * lead(y, 1) OVER w ELSE -0.0625 * lag(y, 1) OVER w + 0.5625 * y + 0.5625 * lead(y, 1) OVER w + -0.0625 * lead(y, 2) OVER w END, 12) AS y, pen FROM v WINDOW w AS (PARTITION BY item_id, run ORDER BY pos)"""
+)
 def q48_smooth(s: SparkSession, d: str) -> DataFrame:
-    return raster.smooth(points(s, d))
+    # At 6 digits many values would lie exactly between two.
+    return raster.smooth(points(s, d)).select("item_id", "pos", F.round("x", 12).alias("x"), F.round("y", 12).alias("y"), "pen")
 
 
 @query("WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM e) SELECT user_id, count(*) AS n_points, min(ts) AS first_ts FROM g GROUP BY user_id, g")

@@ -67,8 +67,12 @@ def test_greedy_walk_keeps_to_neighbours():
 
 def test_smoothing_keeps_parabolas(spark):
     rows = [(1, i, float(i), float(i * i), 1) for i in range(12)]
-    out = raster.smooth(spark.createDataFrame(rows, "item_id long, pos long, x double, y double, pen long")).orderBy("pos").collect()
-    assert np.allclose([r.y for r in out], [r[3] for r in rows])
+    df = spark.createDataFrame(rows, "item_id long, pos long, x double, y double, pen long")
+    got = lambda n, **k: [r.y for r in raster.smooth(df.where(df.pos < n), **k).orderBy("pos").collect()]
+    assert np.allclose(got(12, window=5), [r[3] for r in rows])
+    # An even window has its middle between two points; the two points at either end aren't moved.
+    assert np.allclose(got(12), [0, 1, *((i + 0.5) ** 2 for i in range(2, 10)), 100, 121])
+    assert np.allclose(got(5), [0, 1, 2.5**2, 9, 16]) and got(4) == [0, 1, 4, 9] and got(0) == []
 
 
 def test_cross_entropy(spark):
