@@ -69,6 +69,22 @@ def breaks(points: DataFrame, gap: Column | float) -> DataFrame:
     return points.withColumn("stroke", F.sum(F.when(far, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def closed(strokes: DataFrame) -> DataFrame:
+    """Points of strokes (numbered from 0 as by breaks), pen down, each stroke's last point repeated pen up; pos counts both."""
+    w = ordered()
+    ends = F.coalesce(F.lead("stroke").over(w) != F.col("stroke"), F.lit(True))
+    p = strokes.drop("pen").withColumns({"ends": ends, "place": F.row_number().over(w) + F.col("stroke")})
+    p = p.withColumn("pen", F.explode(F.when(F.col("ends"), F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(1)))))
+    return p.select("item_id", (F.col("place") + 1 - F.col("pen")).cast("long").alias("pos"), "x", "y", F.col("pen").cast("long").alias("pen"))
+
+
+def trimmed(points: DataFrame) -> DataFrame:
+    """Items without their first and their last point."""
+    w = ordered()
+    p = points.withColumns({"before": F.lag("pos").over(w), "after": F.lead("pos").over(w)})
+    return p.where("before is not null and after is not null").drop("before", "after")
+
+
 def segments(points: DataFrame, mode: str) -> DataFrame:
     """Lines between neighbours that are drawn; mode: whose pen has to be down (end, start or both)."""
     w = ordered()

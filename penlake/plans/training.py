@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penlake.functions import codec
-from penlake.operators import corpus, training
+from penlake.operators import corpus, sequence, training
 from penlake.plans.catalogue import PTS, R_EDGES, T_EDGES, logits, long, query, r6, uniform_sql
 from penlake.sources.adapters import points, table
 
@@ -194,3 +194,18 @@ def q64_counts(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events").where(F.length("props") >= 3).groupBy("event_type")
     out = e.agg(F.count("*").alias("n"), F.round(F.avg(F.length("props")), 6).alias("mean_length"), F.count_distinct("user_id").alias("users"))
     return out.withColumn("single", F.col("users") == 1)
+
+
+@query(
+    f"""WITH {PTS}, b AS (SELECT *, CASE WHEN greatest(abs(x - lag(x) OVER w), abs(y - lag(y) OVER w)) > 0.2 THEN 1 ELSE 0 END AS far FROM points WINDOW w AS (PARTITION BY item_id ORDER BY pos)),
+    s AS (SELECT *, sum(far) OVER (PARTITION BY item_id ORDER BY pos) AS stroke FROM b), e AS (SELECT *, coalesce(lead(stroke) OVER (PARTITION BY item_id ORDER BY pos) <> stroke, true) AS ends FROM s)
+    SELECT item_id, (pos + stroke)::bigint AS pos, round(x, 6) AS x, round(y, 6) AS y, 1::bigint AS pen FROM e UNION ALL SELECT item_id, (pos + stroke + 1)::bigint, round(x, 6), round(y, 6), 0::bigint FROM e WHERE ends"""
+)
+def q65_closed_strokes(s: SparkSession, d: str) -> DataFrame:
+    """Strokes that end where the next point is far, each with a closing pen-up point."""
+    return sequence.closed(sequence.breaks(points(s, d), 0.2)).select("item_id", "pos", r6("x"), r6("y"), "pen")
+
+
+@query(f"WITH {PTS}, n AS (SELECT *, max(pos) OVER (PARTITION BY item_id) AS n FROM points) SELECT item_id, pos, round(x, 6) AS x, round(y, 6) AS y, pen FROM n WHERE pos > 1 AND pos < n")
+def q66_trimmed_ends(s: SparkSession, d: str) -> DataFrame:
+    return sequence.trimmed(points(s, d)).select("item_id", "pos", r6("x"), r6("y"), "pen")
