@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from penlake.llm import chat_format, decontamination, html_extract, jaccard_join, language_id, packing, pii, quality_rules, sql, substring_dedup, warc
+from penlake.llm import chat_format, decontamination, exact_dedup, html_extract, jaccard_join, language_id, packing, pii, quality_rules, sql, substring_dedup, warc
 from penlake.llm.common import materialise, table
 
 
@@ -61,6 +61,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_captures(*warc.write_archive(pages), pages).drop("url")
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_chat_format": op2_chat_format,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 #: SQL over the same tables, where there is a form that is fast enough on whole tables.
@@ -80,4 +85,5 @@ ORACLES: dict[str, str] = {
     "op3_quality_rules": sql.QUALITY_RULES,
     "op7_substring_dedup": sql.SUBSTRING_DEDUP,
     "op10_warc": sql.WARC,
+    "op13_exact_dedup": sql.EXACT_DEDUP,
 }
