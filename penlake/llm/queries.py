@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from penlake.llm import chat_format, decontamination, exact_dedup, html_extract, jaccard_join, language_id, packing, pii, quality_rules, sql, substring_dedup, warc
+from penlake.llm import chat_format, decontamination, exact_dedup, html_extract, jaccard_join, language_id, packing, periodic_runs, pii, quality_rules, sql, substring_dedup, warc
 from penlake.llm.common import materialise, table
 
 
@@ -61,6 +62,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_captures(*warc.write_archive(pages), pages).drop("url")
 
 
+def repeat_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Of a tenth of all documents, chosen by doc_id, the words from some place on become a repeated phrase; a document without an id stays as it is."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g = h // 10
+    a = g % len(words)
+    rest = len(words) - a
+    unit = words[a : a + 1 + rest // (3 + g % 8)]
+    return words[:a] + (unit * (rest // len(unit) + 1))[:rest]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find_runs(table(spark, sf_dir, "documents"), repeat_tail))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
 
@@ -76,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
