@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from penlake.llm import chat_format, decontamination, exact_dedup, html_extract, jaccard_join, language_id, packing, periodic_runs, pii, quality_rules, sql, substring_dedup, warc
+from penlake.llm import chat_format, decontamination, exact_dedup, html_extract, jaccard_join, language_id, packing, periodic_runs, pii, quality_rules, spelling, sql, substring_dedup, warc
 from penlake.llm.common import materialise, table
 
 
@@ -62,6 +62,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_captures(*warc.write_archive(pages), pages).drop("url")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.word_counts(table(spark, sf_dir, "documents"), spelling.drop_a_character))
+
+
 def repeat_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """Of a tenth of all documents, chosen by doc_id, the words from some place on become a repeated phrase; a document without an id stays as it is."""
     h = zlib.crc32(str(doc_id).encode())
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
+    "op11_spelling": op11_spelling,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_exact_dedup": op13_exact_dedup,
 }
@@ -103,5 +108,6 @@ ORACLES: dict[str, str] = {
     "op3_quality_rules": sql.QUALITY_RULES,
     "op7_substring_dedup": sql.SUBSTRING_DEDUP,
     "op10_warc": sql.WARC,
+    "op11_spelling": sql.SPELLING,
     "op13_exact_dedup": sql.EXACT_DEDUP,
 }

