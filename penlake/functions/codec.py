@@ -7,6 +7,7 @@ lower edge of a bin.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,18 +75,22 @@ def decode_text(ids: Column) -> Column:
     return F.array_join(F.transform(kept, lambda i: F.substring(F.lit(ALPHABET), i.cast("int"), F.lit(1))), "")
 
 
+def with_value(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once even where f uses it in a lambda."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def split_words(tokens: Column) -> Column:
-    """Parts of a token array, cut between neighbouring WORD tokens; empty parts don't arise."""
-    start = F.struct(F.expr("cast(array() as array<array<int>>)").alias("done"), F.expr("cast(array() as array<int>)").alias("part"))
+    """Parts of a token array, cut between neighbouring WORD tokens; an empty array has none."""
 
-    def step(s: Column, t: Column) -> Column:
-        cut = (F.size(s["part"]) > 0) & (F.element_at(s["part"], -1) == WORD) & (t == WORD)
-        return F.struct(
-            F.when(cut, F.concat(s["done"], F.array(s["part"]))).otherwise(s["done"]).alias("done"),
-            F.when(cut, F.array(t)).otherwise(F.concat(s["part"], F.array(t))).alias("part"),
-        )
+    def parts(t: Column) -> Column:
+        n = F.size(t)
+        inside = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.expr("cast(array() as array<int>)"))
+        cuts = F.filter(inside, lambda i: (F.element_at(t, i) == WORD) & (F.element_at(t, i - 1) == WORD))
+        ends = with_value(cuts, lambda c: F.zip_with(F.concat(F.array(F.lit(1)), c), F.concat(c, F.array(n + 1)), lambda a, z: F.slice(t, a, z - a)))
+        return F.when(n > 0, ends).otherwise(F.expr("cast(array() as array<array<int>>)"))
 
-    return F.aggregate(tokens, start, step, lambda s: F.when(F.size(s["part"]) > 0, F.concat(s["done"], F.array(s["part"]))).otherwise(s["done"]))
+    return with_value(tokens, parts)
 
 
 def join_words(parts: Column) -> Column:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from penlake.functions.codec import with_value
 from penlake.functions.geometry import uniform
 
 
@@ -85,11 +84,6 @@ def top_k_mask(logits: Column, k: int) -> Column:
     return F.transform(logits, lambda v: F.when(v >= kth, v))
 
 
-def with_value(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), with value worked out once even where f uses it in a lambda."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def softmax(logits: Column, temperature: float = 1.0) -> Column:
     """Shares of the logits; nulls get 0."""
     e = with_value(F.array_max(logits), lambda top: F.transform(logits, lambda v: F.coalesce(F.exp((v - top) / temperature), F.lit(0.0))))

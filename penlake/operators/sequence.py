@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penlake.functions.geometry import BASELINE, cartesian, polar
+from penlake.operators.scan import ordered_scan
 
 BY_POS = Window.partitionBy
 
@@ -129,30 +132,25 @@ def metadata(points: DataFrame) -> DataFrame:
 
 
 def thin(points: DataFrame, least: float) -> DataFrame:
-    """Points at least so far from the last one kept; a fold over each item's points in order."""
-    pts = points.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("p"))
-    none = F.expr("cast(array() as array<struct<pos:bigint,x:double,y:double>>)")
+    """Points at least so far from the last one kept."""
 
-    def step(kept: Column, p: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        dx, dy = p["x"] - last["x"], p["y"] - last["y"]
-        return F.when((F.size(kept) == 0) | (F.sqrt(dx * dx + dy * dy) >= least), F.concat(kept, F.array(p))).otherwise(kept)
+    def step(last: tuple[float, float] | None, row: tuple) -> tuple[tuple[float, float], list[tuple]]:
+        _, x, y = row
+        if last is None or math.sqrt((x - last[0]) * (x - last[0]) + (y - last[1]) * (y - last[1])) >= least:
+            return (x, y), [row]
+        return last, []
 
-    return pts.select("item_id", F.explode(F.aggregate("p", none, step)).alias("p")).select("item_id", "p.*")
+    return ordered_scan(points, ["item_id"], ["pos"], ["pos", "x", "y"], lambda: None, step, "pos long, x double, y double")
 
 
 def layout(widths: DataFrame, space: float, line: float, height: float) -> DataFrame:
     """Cursor of each word (item_id, pos, width): a word that starts beyond the line opens the next one."""
-    arr = widths.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", "width"))).alias("w"))
-    start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.expr("cast(array() as array<struct<pos:bigint,x:double,y:double>>)").alias("out"))
 
-    def step(s: Column, w: Column) -> Column:
-        wrap = s["x"] > line
-        x = F.when(wrap, F.lit(0.0)).otherwise(s["x"])
-        y = F.when(wrap, s["y"] + height).otherwise(s["y"])
-        return F.struct((x + w["width"] + space).alias("x"), y.alias("y"), F.concat(s["out"], F.array(F.struct(w["pos"].alias("pos"), x.alias("x"), y.alias("y")))).alias("out"))
+    def step(cursor: tuple[float, float], row: tuple) -> tuple[tuple[float, float], list[tuple]]:
+        x, y = (0.0, cursor[1] + height) if cursor[0] > line else cursor
+        return (x + row[1] + space, y), [(row[0], x, y)]
 
-    return arr.select("item_id", F.explode(F.aggregate("w", start, step, lambda s: s["out"])).alias("p")).select("item_id", "p.*")
+    return ordered_scan(widths.withColumn("pos", F.col("pos").cast("long")), ["item_id"], ["pos"], ["pos", "width"], lambda: (0.0, 0.0), step, "pos long, x double, y double")
 
 
 def side_by_side(widths: DataFrame, space: float) -> DataFrame:

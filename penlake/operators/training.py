@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from penlake.functions import codec
 from penlake.functions.geometry import clamp, shear, uniform
 from penlake.operators import sequence
+from penlake.operators.scan import dense_index
 
 # Ranges of the augmentation, and where words start.
 SHEAR, SCALE, DOWNSAMPLE_MEAN, DOWNSAMPLE_WIDTH, DROP = (-0.22, -0.18), (0.9, 1.1), 0.65, 0.1, 0.05
@@ -159,7 +160,7 @@ def combos_by_side(bank: DataFrame, key: str, text: str, asked: DataFrame, ask:
     """
     from penlake.operators.corpus import combine, draw_three
 
-    numbered = bank.withColumn("ix", F.row_number().over(Window.partitionBy("is_test").orderBy(key)) - 1)
+    numbered = dense_index(bank, key, by=["is_test"])
     sizes = {r["is_test"]: r["n"] for r in bank.groupBy("is_test").agg(F.count("*").alias("n")).collect()}  # two rows
     out = []
     for test in (False, True):
@@ -171,6 +172,6 @@ def combos_by_side(bank: DataFrame, key: str, text: str, asked: DataFrame, ask:
 
 def sampled(rows: DataFrame, at: str, bank: DataFrame, text: str, order: str, seed: int = 5) -> DataFrame:
     """For each row (a batch's or an endless stream's) a bank row drawn with replacement by a hash of ``at``."""
-    numbered = bank.select(F.col(text), (F.row_number().over(Window.orderBy(order)) - 1).alias("ix"))  # the bank is a word list
+    numbered = dense_index(bank.select(text, order), order).select(text, "ix")
     n = bank.count()
     return rows.withColumn("ix", F.floor(uniform(seed, F.col(at)) * n)).join(numbered, "ix").drop("ix")
