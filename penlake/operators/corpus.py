@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penlake.functions.codec import with_value
 from penlake.functions.geometry import uniform
+from penlake.operators.scan import dense_index
 
 
 def char_histogram(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -44,6 +47,51 @@ def split(rows: DataFrame, key: str, seed: int = 42, most: int = 1000, least: in
     return rows.join(F.broadcast(test), key, "left").withColumn("is_test", F.coalesce("is_test", F.lit(False)))  # at most `most` rows
 
 
+def split_banks(banks: dict[str, DataFrame], key: str, seed: int = 42, most: int = 1000, share: float = 0.1) -> DataFrame:
+    """bank, key and is_test for the rows of several banks, numbered by key, that the shortest bank has a place for.
+
+    One permutation of the places (in hash order) serves all banks, the first min(most, share n) of it being for tests;
+    what longer banks have beyond is left out.
+    """
+    numbered = [dense_index(df.select(key), key).withColumn("bank", F.lit(name)) for name, df in banks.items()]
+    n = min(df.count() for df in banks.values())
+    places = numbered[0].where(F.col("ix") < n).select("ix")
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("ix").cast("string")))
+    test = places.select("ix", order.alias("h")).orderBy("h", "ix").limit(min(most, int(share * n))).select("ix", F.lit(True).alias("is_test"))
+    rows = reduce(DataFrame.unionByName, numbered).where(F.col("ix") < n)
+    return rows.join(F.broadcast(test), "ix", "left").select("bank", key, F.coalesce("is_test", F.lit(False)).alias("is_test"))  # at most `most` rows
+
+
+def page_range(pages: DataFrame, key: str, start: int, end: int) -> DataFrame:
+    """pages with page, their number from 1 by key, from place ``start`` (from 0) up to but not including ``end``, or as far as there are any."""
+    return dense_index(pages, key, "page").where((F.col("page") >= start) & (F.col("page") < end)).withColumn("page", F.col("page") + 1)
+
+
+def with_grid(rows: DataFrame, grid: dict[str, list]) -> DataFrame:
+    """rows once for each combination of the values of a small grid of parameters."""
+    for name, values in grid.items():
+        rows = rows.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return rows
+
+
+def where_known(rows: DataFrame, column: str, values: dict[str, Column], keep: bool = False) -> DataFrame:
+    """rows with new values where column isn't null; other rows are left out or, with keep, left as they are."""
+    known = F.col(column).isNotNull()
+    if not keep:
+        return rows.where(known).withColumns(values)
+    return rows.withColumns({c: F.when(known, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def combine_one_author(rows: DataFrame, key: str, order: str, text: str, author: str) -> DataFrame:
+    """combine, with the group's author; the job fails if a group has more than one (nulls aside)."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text))))
+    one = F.assert_true(F.col("__least").eqNullSafe(F.col("__most")), F.concat(F.lit("more than one author: "), F.col(key).cast("string")))
+    groups = rows.groupBy(key).agg(
+        F.array_join(F.transform(parts, lambda s: s[text]), " ").alias("ascii"), F.count("*").alias("n_words"), F.min(author).alias("__least"), F.max(author).alias("__most")
+    )
+    return groups.where(one.isNull()).select(key, F.col("__least").alias("author"), "ascii", "n_words")
+
+
 def draw_three(key: Column, n: int, seed: int = 42) -> list[Column]:
     """Three different numbers below n (at least 3) by hashes of the key."""
     h = [F.floor(uniform(seed, i, key) * (n - i)) for i in range(3)]
@@ -66,10 +114,11 @@ def running_best(log: DataFrame, key: str, step: str, loss: str) -> DataFrame:
     return log.withColumns({"best": F.least(F.col(loss), before), "saved": before.isNull() | (F.col(loss) < before)})
 
 
-def latest(artefacts: DataFrame, key: str, name: str) -> DataFrame:
-    """The name with the highest version after ``:v``."""
+def latest(artefacts: DataFrame, key: str, name: str, kind: str | None = None) -> DataFrame:
+    """The name with the highest version after ``:v``, among the rows of a kind if one is given."""
     version = F.element_at(F.split(name, ":v"), -1).cast("int")
-    return artefacts.groupBy(key).agg(F.max_by(name, version).alias("latest"))
+    rows = artefacts if kind is None else artefacts.where(F.col("kind") == kind)
+    return rows.groupBy(key).agg(F.max_by(name, version).alias("latest"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], value: str) -> DataFrame:

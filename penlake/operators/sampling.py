@@ -7,7 +7,9 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from penlake.functions.codec import ALPHABET, with_value
 from penlake.functions.geometry import uniform
+from penlake.operators.scan import dense_index
 
 # Letters with their weights (none under 4), word lengths with theirs, punctuation.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -68,3 +70,27 @@ def remove_random(points: DataFrame, share: float = 0.04, seed: int = 9) -> Data
     p = p.withColumns({"__k": F.floor(m * share), "__may": (F.col("__i") >= 1) & (F.col("__i") <= m - 2)})
     rank = F.row_number().over(Window.partitionBy("item_id", "__may").orderBy(uniform(seed, F.col("item_id"), F.col("pos")), "pos"))
     return p.withColumn("__rank", rank).where(~F.col("__may") | (F.col("__rank") > F.col("__k"))).drop("__i", "__n", "__k", "__may", "__rank")
+
+
+def prompts(asked: DataFrame, ask: str, bank: DataFrame, text: str, key: str, k: int, seed: int = 17) -> DataFrame:
+    """ask and prompt for each row of asked: k texts of the bank, each drawn with replacement, joined by blanks. None from an empty bank."""
+    numbered, n = dense_index(bank.select(text, key), key).select(text, "ix"), bank.count()
+    draws = F.array(*(F.floor(uniform(seed, i, F.col(ask)) * n) for i in range(k)))
+    rows = asked.select(ask, F.posexplode(draws).alias("at", "ix")).join(numbered, "ix")
+    return rows.groupBy(ask).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", text))), lambda s: s[text]), " ").alias("prompt"))
+
+
+def random_word(u: Column) -> Column:
+    """What one random character id stands for, as a word: the character, or ``the`` for padding and white space."""
+    ch = F.substring(F.lit(ALPHABET), F.floor(u * (len(ALPHABET) + 1)).cast("int"), F.lit(1))
+    return F.when(F.trim(ch) == "", "the").otherwise(ch)
+
+
+def filled(words: Column, most: int, key: Column, seed: int = 23) -> Column:
+    """A list of words with random ones behind it, up to one less than ``most``; lists that are longer stay as they are."""
+
+    def longer(w: Column) -> Column:
+        lacks = F.lit(most - 1) - F.size(w)
+        return F.when(lacks > 0, F.concat(w, F.transform(F.sequence(F.lit(0), lacks - 1), lambda i: random_word(uniform(seed, key, i))))).otherwise(w)
+
+    return with_value(words, longer)

@@ -123,6 +123,12 @@ def lay_out(points: DataFrame, words: DataFrame, space: float = 0.12, line: floa
     )
 
 
+def word_labels(points: DataFrame, left: float = 0.12, top: float = 0.95) -> DataFrame:
+    """item_id, word, label, x, y: the number of each word and where it's written, by the word's first point."""
+    first = points.groupBy("item_id", "word").agg(F.min_by(F.struct("x", "y"), "pos").alias("p"))
+    return first.select("item_id", "word", F.col("word").cast("string").alias("label"), (F.col("p.x") - left).alias("x"), (top - F.col("p.y")).alias("y"))
+
+
 def fill_words(words: DataFrame, most: int) -> DataFrame:
     """The first ``most`` words of each item, and empty ones up to that many. words: (item_id, word from 0, text)."""
     slots = words.select("item_id").distinct().select("item_id", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("word"))

@@ -1,5 +1,5 @@
 """The registered queries; importing the package fills the catalogue."""
 
-from penlake.plans import catalogue, training
+from penlake.plans import catalogue, collect, runs, training
 
-__all__ = ["catalogue", "training"]
+__all__ = ["catalogue", "collect", "runs", "training"]

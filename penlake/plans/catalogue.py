@@ -453,7 +453,12 @@ def q45_thin_points(s: SparkSession, d: str) -> DataFrame:
     return sequence.thin(points(s, d), 0.05).select("item_id", "pos", r6("x"), r6("y"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {PTS}, px AS (SELECT DISTINCT item_id, floor(x * 40)::double AS x, floor(y * 40)::double AS y FROM points), l AS (SELECT item_id, list(struct_pack(x := x, y := y) ORDER BY x, y) AS rest FROM px GROUP BY item_id),
+    w AS (SELECT item_id, 0::bigint AS pos, NULL::STRUCT(x DOUBLE, y DOUBLE) AS p, rest FROM l UNION ALL SELECT item_id, pos + 1, nxt, list_filter(rest, lambda q: q <> nxt) FROM
+      (SELECT item_id, pos, rest, coalesce(list_filter(rest, lambda q: abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1)[1], rest[1]) AS nxt FROM w WHERE len(rest) > 0))
+    SELECT item_id, pos, p.x AS x, p.y AS y FROM w WHERE pos > 0"""
+)
 def q47_greedy_walk(s: SparkSession, d: str) -> DataFrame:
     p = points(s, d).select("item_id", F.floor(F.col("x") * 40).cast("double").alias("x"), F.floor(F.col("y") * 40).cast("double").alias("y"))
     return raster.walk(p)

@@ -63,6 +63,11 @@ def normalised(records: DataFrame, baseline: float | None = 0.65) -> DataFrame:
     return records.withColumn("points", F.transform("points", lambda p: F.struct((p[0] * ratio - first * ratio).alias("x"), y(p).alias("y"), p[2].cast("int").alias("pen"))))
 
 
-def js_word_bank(words: DataFrame, word: str = "word") -> DataFrame:
-    """One row with the line ``const words = [...];``. A word bank is a small list by its nature."""
-    return words.agg(F.concat(F.lit("const words = "), F.to_json(F.sort_array(F.collect_list(word))), F.lit(";")).alias("value"))
+def long_enough(records: DataFrame, least: int = 3) -> DataFrame:
+    """Records whose text has so many characters; none without a text."""
+    return records.where(F.length("metadata.asciiSequence") >= least)
+
+
+def js_word_bank(words: DataFrame, word: str = "word", end: str = ";") -> DataFrame:
+    """One row with the line ``const words = [...]`` and its end. A word bank is a small list by its nature."""
+    return words.agg(F.concat(F.lit("const words = "), F.to_json(F.sort_array(F.collect_list(word))), F.lit(end)).alias("value"))
