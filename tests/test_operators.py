@@ -6,7 +6,8 @@ import zipfile
 import numpy as np
 import pytest
 
-from penlake.operators import corpus, raster, sampling, sequence
+from penlake.functions import codec
+from penlake.operators import attention, corpus, raster, sampling, sequence
 from penlake.sources import records
 from penlake.streaming import metrics
 
@@ -127,3 +128,82 @@ def test_streams_give_what_tables_give(spark, tmp_path):
     runs = lambda e: metrics.sessions(e).selectExpr("user_id", "n_points", "cast(first_ts AS timestamp) AS first_ts")
     closed, all_runs = run_stream(runs(stream), tmp_path / "runs"), set(map(tuple, runs(events).collect()))
     assert closed and closed <= all_runs
+
+
+def test_prompts_and_filled_lists(spark):
+    bank = spark.createDataFrame([(10 * i, w) for i, w in enumerate(("a", "b", "c"))], "k long, word string")
+    asked = spark.range(300).toDF("q")
+    rows = sampling.prompts(asked, "q", bank, "word", "k", 4).collect()
+    assert len(rows) == 300 and all(len(r.prompt.split()) == 4 and set(r.prompt.split()) <= set("abc") for r in rows)
+    assert len({r.prompt for r in rows}) > 50  # of 81
+    again = sampling.prompts(asked.repartition(5), "q", bank, "word", "k", 4).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
+    assert sampling.prompts(asked, "q", bank.limit(0), "word", "k", 4).count() == 0
+    lists = spark.createDataFrame([(i, ["x"] * (i % 8)) for i in range(400)], "q long, w array<string>")
+    got = {r.q: r.w for r in lists.select("q", sampling.filled(lists.w, 6, lists.q).alias("w")).collect()}
+    assert all(len(w) == max(5, q % 8) and w[: q % 8] == ["x"] * (q % 8) for q, w in got.items())
+    more = [x for q, w in got.items() for x in w[q % 8 :]]
+    assert "the" in more and all(x == "the" or len(x) == 1 and x.strip() for x in more)
+
+
+def test_only_one_author(spark):
+    rows = [(1, 1, "a", "ann"), (1, 2, "b", "ann"), (2, 1, "c", None)]
+    schema = "k long, i long, t string, author string"
+    got = corpus.combine_one_author(spark.createDataFrame(rows, schema), "k", "i", "t", "author").collect()
+    assert sorted(map(tuple, got)) == [(1, "ann", "a b", 2), (2, None, "c", 1)]
+    with pytest.raises(Exception, match="more than one author: 1"):
+        corpus.combine_one_author(spark.createDataFrame([*rows, (1, 3, "d", "bo")], schema), "k", "i", "t", "author").collect()
+
+
+def test_banks_are_split_alike(spark):
+    banks = {"short": spark.range(0, 400, 2).toDF("k"), "long": spark.range(1000, 1900).toDF("k")}
+    rows = corpus.split_banks(banks, "k").collect()
+    assert sorted(r.k for r in rows if r.bank == "long") == list(range(1000, 1200))
+    tests = {b: {r.k for r in rows if r.bank == b and r.is_test} for b in banks}
+    assert len(tests["short"]) == 20 and {1000 + k // 2 for k in tests["short"]} == tests["long"]
+    assert corpus.split_banks({"a": banks["short"], "b": banks["long"].limit(0)}, "k").count() == 0
+
+
+def test_missing_keys_and_pages(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, 5, 2.0), (2, 6, None)], "k long, v long, box double")
+    new = {"v": (F.col("v") * F.col("box")).cast("long")}
+    assert sorted(map(tuple, corpus.where_known(df, "box", new).collect())) == [(1, 10, 2.0)]
+    assert sorted(map(tuple, corpus.where_known(df, "box", new, keep=True).collect()), key=str) == [(1, 10, 2.0), (2, 6, None)]
+    pages = spark.createDataFrame([(10 * i,) for i in range(7)], "p long")
+    for start, end in ((0, 3), (5, 50), (7, 9), (3, 3)):
+        assert sorted((r.page, r.p) for r in corpus.page_range(pages, "p", start, end).collect()) == [(i + 1, 10 * i) for i in range(start, min(7, end))]
+
+
+def test_latest_of_a_kind_and_short_texts(spark):
+    rows = [("r", "model", "m:v2"), ("r", "model", "m:v10"), ("r", "data", "d:v99")]
+    df = spark.createDataFrame(rows, "run string, kind string, name string")
+    assert [r.latest for r in corpus.latest(df, "run", "name", kind="model").collect()] == ["m:v10"]
+    texts = spark.createDataFrame([((t,), []) for t in ("ab", "abc", None)], "metadata struct<asciiSequence:string>, points array<array<double>>")
+    assert [r.metadata.asciiSequence for r in records.long_enough(texts).collect()] == ["abc"]
+
+
+def test_strides_and_warmup(spark):
+    weights = attention.causal_weights(line(spark, 12), 9, heads=2)
+    sums = {(r.head, r.target): r["sum(weight)"] for r in weights.groupBy("head", "target").sum("weight").collect()}
+    assert len(sums) == 18 and np.allclose(list(sums.values()), 1)
+    shown = attention.strided(weights, 9, 3).where("head = 0").select("target", "source").collect()
+    assert {tuple(r) for r in shown} == {(t, s) for t in (2, 5, 8) for s in (2, 5, 8) if s <= t}
+    w = spark.createDataFrame([(k, 1, s, 1.0) for k in (1, 2) for s in range(1, 15)], "item_id long, pos long, source long, weight double")
+    texts = spark.createDataFrame([(1, "the cat sat"), (2, "cat")], "item_id long, text string")
+    read = lambda **k: {i: "".join(r.ch for r in sorted(attention.drop_warmup(w, texts, **k).where(f"item_id = {i}").collect(), key=lambda r: r.source)) for i in (1, 2)}
+    assert read() == {1: "the cat sat"[4:7], 2: "cat"} and read(tail=True) == {1: "cat sat", 2: "cat"}
+
+
+@pytest.mark.parametrize("tokens", [[], [7], [codec.WORD], [codec.WORD, codec.WORD], [5, 6, codec.WORD, codec.WORD, 7, 8, codec.WORD, codec.WORD, codec.WORD, 9]])
+def test_word_parts(spark, tokens):
+    want, part = [], []
+    for t in tokens:
+        if part and part[-1] == t == codec.WORD:
+            want.append(part)
+            part = []
+        part.append(t)
+    want += [part] if part else []
+    df = spark.createDataFrame([(tokens,)], "t array<int>")
+    assert df.select(codec.split_words(df.t)).first()[0] == want
