@@ -153,6 +153,23 @@ def layout(widths: DataFrame, space: float, line: float, height: float) -> DataF
     return ordered_scan(widths.withColumn("pos", F.col("pos").cast("long")), ["item_id"], ["pos"], ["pos", "width"], lambda: (0.0, 0.0), step, "pos long, x double, y double")
 
 
+def wrapped(words: DataFrame, keys: list[str], order: str, word: str, width: int = 80, gap: int = 1) -> DataFrame:
+    """keys, order, word and line (from 0): words that stand behind one another, a new line begun before one that would pass the width.
+
+    order: a whole number.
+    """
+
+    def step(state: tuple[int, int], row: tuple) -> tuple[tuple[int, int], list[tuple]]:
+        at, line = state
+        need = len(row[1] or "") + gap
+        if at + need > width:
+            at, line = 0, line + 1
+        return (at + need, line), [(*row, line)]
+
+    rows = words.select(*keys, F.col(order).cast("long").alias(order), word)
+    return ordered_scan(rows, keys, [order], [order, word], lambda: (0, 0), step, f"{order} long, {word} string, line long")
+
+
 def side_by_side(widths: DataFrame, space: float) -> DataFrame:
     """Start of each word when all stand on one line."""
     before = ordered().rowsBetween(Window.unboundedPreceding, -1)

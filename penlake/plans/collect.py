@@ -208,3 +208,71 @@ def q80_rotate_v1(s: SparkSession, d: str) -> DataFrame:
 @query(_turn_sql(3.0))
 def q80b_rotate_wide(s: SparkSession, d: str) -> DataFrame:
     return turned(s, d, 3.0)
+
+
+_LINES = """wd AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS k FROM conversations WHERE text IS NOT NULL),
+  st AS (SELECT conv_id, turn, k, word, length(word) + 1 AS at, CASE WHEN length(word) + 1 > 40 THEN 1 ELSE 0 END AS line FROM wd WHERE k = 0
+    UNION ALL SELECT w.conv_id, w.turn, w.k, w.word, CASE WHEN s.at + length(w.word) + 1 > 40 THEN 0 ELSE s.at END + length(w.word) + 1, s.line + CASE WHEN s.at + length(w.word) + 1 > 40 THEN 1 ELSE 0 END
+    FROM st s JOIN wd w ON w.conv_id = s.conv_id AND w.turn = s.turn AND w.k = s.k + 1)"""
+
+
+@query(f"WITH RECURSIVE {_LINES} SELECT conv_id, turn, line::bigint AS line, string_agg(word, ' ' ORDER BY k) AS words FROM st GROUP BY conv_id, turn, line")
+def q88_wrapped_lines(s: SparkSession, d: str) -> DataFrame:
+    """Each turn's words in lines of 40 characters, as reports print them."""
+    said = table(s, d, "conversations").where("text is not null").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("k", "word"))
+    lines = sequence.wrapped(said, ["conv_id", "turn"], "k", "word", 40)
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]), " ")
+    return lines.groupBy("conv_id", "turn", "line").agg(words.alias("words"))
+
+
+
+def responses(s: SparkSession, d: str) -> DataFrame:
+    """One page of words with boxes per user, as a model answers; some answers break off."""
+    e = table(s, d, "events").select("user_id", "event_id", "event_type", F.floor("value").alias("x"), F.get_json_object("props", "$.k").cast("int").alias("y"))
+    word = F.to_json(F.struct(F.col("event_type").alias("text"), F.array("y", "x", F.col("y") + 9, F.col("x") + 70).alias("box_2d")))
+    page = e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", word.alias("j")))), lambda x: x["j"]), ",").alias("words"))
+    return page.select("user_id", F.concat(F.lit("["), "words", F.when(F.col("user_id") % 13 == 4, F.lit("")).otherwise(F.lit("]"))).alias("raw"))
+
+
+@query(
+    """WITH w AS (SELECT user_id, event_type AS word, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, floor(value)::double AS x, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS y FROM events WHERE user_id % 13 <> 4)
+    SELECT user_id, pos, word, trunc(y * (2200 / 1000.0::double))::bigint AS y0, trunc(x * (1700 / 1000.0::double))::bigint AS x0, round((y + 9) / 1000.0::double * 2200, 6) AS y1, round((x + 70) / 1000.0::double * 1700, 6) AS x1 FROM w"""
+)
+def q89_boxes(s: SparkSession, d: str) -> DataFrame:
+    """Words and boxes read from raw responses; corners on a page in whole pixels and not."""
+    b, scale = F.col("box"), geometry.scale_box
+    return records.boxes(responses(s, d)).select(
+        "user_id", long("pos").alias("pos"), F.col("text").alias("word"), long(scale(b[0], 2200, True)).alias("y0"), long(scale(b[1], 1700, True)).alias("x0"),
+        F.round(scale(b[2], 2200), 6).alias("y1"), F.round(scale(b[3], 1700), 6).alias("x1"),
+    )
+
+
+@query("WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS word FROM w")
+def q90_transcript_words(s: SparkSession, d: str) -> DataFrame:
+    """Every word occurrence of each transcript."""
+    return records.transcript_words(table(s, d, "documents").select("doc_id", "text")).select("doc_id", long("pos").alias("pos"), "word")
+
+
+def _two_banks_sql() -> str:
+    u = [f"floor({uniform_sql(chr(39) + '42' + chr(39), chr(39) + str(i) + chr(39), 'o_orderkey')} * (n - {i}))::bigint" for i in range(3)]
+    banks = _BANKS.replace("'supplier' AS bank, s_suppkey AS id", "'customer' AS bank, c_custkey AS id").replace("ORDER BY s_suppkey", "ORDER BY c_custkey").replace("FROM supplier", "FROM customer")
+    return f"""WITH {banks}, both_ AS (SELECT bank, id, is_test FROM a JOIN p ON p.ix = a.ix UNION ALL SELECT bank, id, is_test FROM b JOIN p ON p.ix = b.ix),
+    nb AS (SELECT bank, is_test, coalesce(p_name, c_name) AS text, row_number() OVER g - 1 AS ix, count(*) OVER (PARTITION BY bank, is_test) AS n FROM both_ LEFT JOIN part ON bank = 'part' AND p_partkey = id LEFT JOIN customer ON bank = 'customer' AND c_custkey = id WINDOW g AS (PARTITION BY bank, is_test ORDER BY id)),
+    sz AS (SELECT DISTINCT bank, is_test, n FROM nb), ask AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'part' ELSE 'customer' END AS bank, (o_orderkey // 2) % 10 = 0 AS is_test FROM orders),
+    q AS (SELECT ask.*, n, {u[0]} AS i0, {u[1]} AS h1, {u[2]} AS h2 FROM ask JOIN sz ON sz.bank = ask.bank AND sz.is_test = ask.is_test), r AS (SELECT *, (i0 + 1 + h1) % n AS i1 FROM q), t AS (SELECT *, ((i1 - i0 - 1) % n + n) % n AS gap FROM r),
+    v AS (SELECT *, (i0 + 1 + CASE WHEN h2 >= gap THEN h2 + 1 ELSE h2 END) % n AS i2 FROM t), x AS (SELECT o_orderkey, bank, is_test, unnest([i0, i1, i2]) AS ix, unnest([0, 1, 2]) AS k FROM v)
+    SELECT o_orderkey, x.bank, x.is_test, string_agg(text, ' ' ORDER BY k) AS ascii FROM x JOIN nb ON nb.bank = x.bank AND nb.is_test = x.is_test AND nb.ix = x.ix GROUP BY o_orderkey, x.bank, x.is_test"""
+
+
+@query(_two_banks_sql())
+def q91_two_banks(s: SparkSession, d: str) -> DataFrame:
+    """Data sets of two banks that are split alike; half the combinations come from each."""
+    banks = {"part": table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), "customer": table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("text"))}
+    halves = corpus.split_banks(banks, "id")
+    asked = table(s, d, "orders").select("o_orderkey")
+    out = []
+    for i, (name, bank) in enumerate(banks.items()):
+        rows = bank.join(halves.where(F.col("bank") == name).select("id", "is_test"), "id")
+        mine = asked.where(F.col("o_orderkey") % 2 == i)
+        out.append(training.combos_by_side(rows, "id", "text", mine, "o_orderkey", F.floor(F.col("o_orderkey") / 2) % 10 == 0).withColumn("bank", F.lit(name)))
+    return out[0].unionByName(out[1]).select("o_orderkey", "bank", "is_test", "ascii")

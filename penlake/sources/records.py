@@ -50,6 +50,22 @@ def _colons(schema: str) -> str:
     return "".join(out)
 
 
+def boxes(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """A row per word of each response (a JSON array of text and box_2d): pos from 0, text and box; none for a response that isn't one.
+
+    Other columns stay. A response's words are those of one page.
+    """
+    rest = [c for c in raw.columns if c != column]
+    words = raw.select(*rest, F.from_json(column, f"array<struct<{_colons(BOX)}>>").alias("words"))
+    return words.select(*rest, F.posexplode("words").alias("pos", "w")).where("w.text is not null").select(*rest, "pos", F.col("w.text").alias("text"), F.col("w.box_2d").alias("box"))
+
+
+def transcript_words(pages: DataFrame, text: str = "text") -> DataFrame:
+    """A row per word of each text, cut at white space: pos from 0 and word. Other columns stay; a blank or null text has none."""
+    rest = [c for c in pages.columns if c != text]
+    return pages.select(*rest, F.posexplode(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+")).alias("pos", "word")).where("word <> ''")
+
+
 def write_json(df: DataFrame, path: str, by: str | None = None) -> None:
     writer = df.write.mode("overwrite")
     (writer.partitionBy(by) if by else writer).json(path)

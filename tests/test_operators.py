@@ -207,3 +207,25 @@ def test_word_parts(spark, tokens):
     want += [part] if part else []
     df = spark.createDataFrame([(tokens,)], "t array<int>")
     assert df.select(codec.split_words(df.t)).first()[0] == want
+
+
+def test_lines_of_words(spark):
+    rng = np.random.default_rng(3)
+    words = {k: ["x" * int(n) for n in rng.integers(0, 14, 60)] for k in range(3)}
+    df = spark.createDataFrame([(k, i, w) for k, ws in words.items() for i, w in enumerate(ws)], "doc long, i int, w string").repartition(4)
+    got = {(r.doc, r.i): r.line for r in sequence.wrapped(df, ["doc"], "i", "w", 30).collect()}
+    for k, ws in words.items():
+        at, line = 0, 0
+        for i, w in enumerate(ws):
+            if at + len(w) + 1 > 30:
+                at, line = 0, line + 1
+            at += len(w) + 1
+            assert got[k, i] == line
+
+
+def test_responses_and_transcripts(spark):
+    raw = [(1, '[{"text": "a", "box_2d": [1, 2.5, 3, 4]}, {"text": "b"}]'), (2, '[{"text": "a", "box_2d": [1'), (3, "no JSON"), (4, None), (5, "[]"), (6, '{"text": "c", "box_2d": [1, 2, 3, 4]}')]
+    got = {(r.page, r.pos): (r.text, r.box) for r in records.boxes(spark.createDataFrame(raw, "page long, raw string")).collect()}
+    assert got[1, 0] == ("a", [1.0, 2.5, 3.0, 4.0]) and got[1, 1] == ("b", None) and not {k for k, _ in got} & {2, 3, 4, 5}
+    texts = spark.createDataFrame([(1, "  a\tb\n\nc "), (2, " \n"), (3, None), (4, "")], "page long, text string")
+    assert sorted(map(tuple, records.transcript_words(texts).collect())) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c")]
