@@ -83,20 +83,24 @@ def drop_a_character(doc_id: int | None, word: str) -> str:
     return word[:at] + word[at + 1 :]
 
 
-def splitters(keys: DataFrame, shards: int, chars: int = 32) -> list[str]:
-    """At most shards - 1 beginnings of keys that cut the table's only column into ranges of about one size, from 32 keys a shard that a hash picks."""
-    some = sorted(r[0] for r in keys.toDF("key").orderBy(F.xxhash64("key"), "key").limit(32 * shards).select(F.substring("key", 1, chars)).collect())
+def splitters(keys: DataFrame, n: int, shards: int, chars: int = 32) -> list[str]:
+    """At most shards - 1 beginnings of keys that cut the table's only column (n rows) into ranges of about one size.
+
+    They are taken from about 32 keys a shard, those with the smallest hashes, which is what the driver sees.
+    """
+    few = keys.toDF("key").where(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < int(min(1.0, 32 * shards / max(n, 1)) * (1 << 40)))
+    some = sorted(r[0] for r in few.select(F.substring("key", 1, chars)).collect())
     return sorted({some[i * len(some) // shards] for i in range(1, shards)}) if some else []
 
 
-def trie_nodes(words: DataFrame, backwards: bool, shards: int) -> DataFrame:
+def trie_nodes(words: DataFrame, n: int, backwards: bool, shards: int) -> DataFrame:
     """word, its place (a number that grows with the words, or the reversed ones) and the numbers of the nodes on its way through the trie, root first.
 
     backwards: the trie of the reversed words. A task holds one way at a time, and the driver the splitters, which are
     of bounded length, as many as there are shards.
     """
     key = F.reverse("word") if backwards else F.col("word")
-    cuts = splitters(words.select(key.alias("key")), shards)
+    cuts = splitters(words.select(key.alias("key")), n, shards)
     shared = {x: -1 - i for i, x in enumerate(sorted({"", *(s[:i] for s in cuts for i in range(len(s) + 1))}))}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,9 +138,10 @@ def trie_nodes(words: DataFrame, backwards: bool, shards: int) -> DataFrame:
 
 def ways_of(words: DataFrame, shard_words: int = 200_000) -> DataFrame:
     """word, n, place and the nodes of prefixes and suffixes for each of the words (word, n; each once); places grow in code-point order."""
-    shards = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words.count() // shard_words))
-    fore = trie_nodes(words, False, shards).withColumnRenamed("nodes", "prefixes")
-    back = trie_nodes(words, True, shards).select("word", F.reverse("nodes").alias("suffixes"))
+    n = words.count()
+    shards = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // shard_words))
+    fore = trie_nodes(words, n, False, shards).withColumnRenamed("nodes", "prefixes")
+    back = trie_nodes(words, n, True, shards).select("word", F.reverse("nodes").alias("suffixes"))
     return words.join(fore, "word").join(back, "word").select("word", "n", "place", "prefixes", "suffixes")
 
 

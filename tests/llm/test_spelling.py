@@ -82,7 +82,7 @@ def test_nodes_are_those_of_one_trie(spark):
     df = spark.createDataFrame([(w,) for w in words], "word string")
     for backwards in (False, True):
         number = {}
-        for r in spelling.trie_nodes(df, backwards, 37).collect():
+        for r in spelling.trie_nodes(df, len(words), backwards, 37).collect():
             k = r["word"][::-1] if backwards else r["word"]
             for i, node in enumerate(r["nodes"]):
                 assert number.setdefault(k[:i], node) == node
