@@ -121,10 +121,10 @@ def q72_filled_words(s: SparkSession, d: str) -> DataFrame:
     return lists.select("o_orderkey", F.array_join(sampling.filled(F.col("words"), 6, F.col("o_orderkey")), " ").alias("words"))
 
 
-@query("WITH p AS (SELECT page_id, url, row_number() OVER (ORDER BY page_id) - 1 AS ix FROM pages) SELECT ix + 1 AS page, page_id, url FROM p WHERE ix >= 10 AND ix < 40")
+@query("WITH p AS (SELECT page_id, url, row_number() OVER (ORDER BY page_id) - 1 AS ix FROM pages) SELECT ix + 1 AS page, page_id, url FROM p WHERE ix >= 10 AND ix < 1000000000")
 def q73_page_range(s: SparkSession, d: str) -> DataFrame:
-    """Pages 11 to 40, or as many of them as there are."""
-    return corpus.page_range(table(s, d, "pages"), "page_id", 10, 40).select("page", "page_id", "url")
+    """Pages from the eleventh on, up to a bound beyond the last one."""
+    return corpus.page_range(table(s, d, "pages"), "page_id", 10, 1_000_000_000).select("page", "page_id", "url")
 
 
 @query("SELECT d.doc_id, n_chars, CASE WHEN quality IS NULL THEN n_chars ELSE floor(n_chars * (0.5::double + quality))::bigint END AS weight, quality IS NOT NULL AS labelled FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
