@@ -74,6 +74,16 @@ def with_grid(rows: DataFrame, grid: dict[str, list]) -> DataFrame:
     return rows
 
 
+def first_lines(rows: DataFrame, order: list[str], word: str, k: int, width: int) -> DataFrame:
+    """line (from 0) and words of a report of the first k rows in an order, which tells all rows apart. k is small: the rows are one task's."""
+    from penlake.operators.sequence import wrapped
+
+    first = rows.orderBy(*order).limit(k)
+    numbered = first.withColumns({"report": F.lit(0), "k": F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))})
+    lines = wrapped(numbered, ["report"], "k", word, width)
+    return lines.groupBy("line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", word))), lambda x: x[word]), " ").alias("words"))
+
+
 def where_known(rows: DataFrame, column: str, values: dict[str, Column], keep: bool = False) -> DataFrame:
     """rows with new values where column isn't null; other rows are left out or, with keep, left as they are."""
     known = F.col(column).isNotNull()

@@ -146,6 +146,14 @@ def next_ranges(logits: DataFrame, key: str, vector: str, temperature: float, to
     return parts.select(key, F.transform("s", lambda x: F.round(x["c"], 9)).alias("ends"))
 
 
+def top_ranges(logits: DataFrame, key: str, vector: str) -> DataFrame:
+    """As next_ranges, for a draw that always takes the largest logit, the first where equal."""
+    from penlake.operators.corpus import argmax
+
+    best = logits.select(key, vector, argmax(F.col(vector)).alias("best"))
+    return best.select(key, F.transform(vector, lambda v, i: F.when(i < F.col("best"), 0.0).otherwise(1.0)).alias("ends"))
+
+
 def generate(starts: DataFrame, ranges: DataFrame, steps: int, crop: int, seed: int = 12) -> DataFrame:
     """item_id and the tokens drawn one after the other, each from the range table's row of the token before; the last ``crop``.
 

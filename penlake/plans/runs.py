@@ -9,7 +9,7 @@ from penlake.functions import geometry
 from penlake.operators import attention, corpus, training
 from penlake.plans.catalogue import PTS, logits, long, query, r6
 from penlake.plans.training import WPTS, texts, word_points
-from penlake.sources.adapters import points, table
+from penlake.sources.adapters import points, table, words
 from penlake.streaming import training as runs
 
 EVERY, CHUNK, LAST_BATCH = 10, 25, 2
@@ -112,3 +112,30 @@ def q87_dated_names(s: SparkSession, d: str) -> DataFrame:
     """Names with dates, as backups and artefacts have them."""
     e = table(s, d, "events").select(F.to_date("ts").alias("day"), "event_type", "value").groupBy("day", "event_type").agg(F.count("*").alias("n"), F.round(F.max("value"), 6).alias("top"))
     return e.select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.concat_ws("-", "event_type", F.date_format("day", "yyyyMMdd")).alias("name"), "n", "top")
+
+
+def _greedy_sql(steps: int, crop: int) -> str:
+    out = ["s0 AS (SELECT vec_id AS item_id, vec_id % 64 AS token, [vec_id % 64] AS tokens FROM embeddings)"]
+    out += [f"s{k + 1} AS (SELECT s.item_id, b.best AS token, list_append(s.tokens, b.best) AS tokens FROM s{k} s JOIN b ON b.vec_id = s.token)" for k in range(steps)]
+    return f"WITH v AS (SELECT vec_id, unnest(embedding)::double AS v, unnest(range(len(embedding))) AS i FROM embeddings), b AS (SELECT vec_id, first(i ORDER BY v DESC, i) AS best FROM v GROUP BY vec_id), {', '.join(out)} SELECT item_id, array_to_string(tokens[-{crop}:], ' ') AS tokens FROM s{steps}"
+
+
+@query(_greedy_sql(4, 5))
+def q59b_generate_greedy(s: SparkSession, d: str) -> DataFrame:
+    """Four tokens in a row, each the largest logit's that the one before leads to."""
+    ranges = training.top_ranges(logits(s, d), "vec_id", "v").withColumnRenamed("vec_id", "token")
+    starts = logits(s, d).select(F.col("vec_id").alias("item_id"), (F.col("vec_id") % 64).alias("token"))
+    return training.generate(starts, ranges, 4, 5).select("item_id", F.array_join(F.col("tokens").cast("array<string>"), " ").alias("tokens"))
+
+
+_FIRST = """RECURSIVE bank AS (SELECT word, min(doc_id) AS seen FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents WHERE text IS NOT NULL) WHERE word <> '' GROUP BY word),
+  f AS (SELECT word, row_number() OVER (ORDER BY seen, encode(word)) - 1 AS k FROM bank ORDER BY seen, encode(word) LIMIT 75),
+  l AS (SELECT k, word, length(word) + 1 AS used, CASE WHEN length(word) + 1 > 80 THEN 1 ELSE 0 END AS line FROM f WHERE k = 0
+    UNION ALL SELECT f.k, f.word, CASE WHEN l.used + length(f.word) + 1 > 80 THEN 0 ELSE l.used END + length(f.word) + 1, l.line + CASE WHEN l.used + length(f.word) + 1 > 80 THEN 1 ELSE 0 END FROM l JOIN f ON f.k = l.k + 1)"""
+
+
+@query(f"WITH {_FIRST} SELECT line::bigint AS line, string_agg(word, ' ' ORDER BY k) AS words FROM l GROUP BY line")
+def q92_first_words(s: SparkSession, d: str) -> DataFrame:
+    """The first 75 different words of all texts, in the lines of a report."""
+    bank = words(s, d).where("word <> ''").groupBy("word").agg(F.min("doc_id").alias("at"))
+    return corpus.first_lines(bank, ["at", "word"], "word", 75, 80)
