@@ -3,7 +3,7 @@
 1. Leaves. A row becomes its key and its identifier (doc_id, row); ``leaf`` neighbouring rows of a partition are a run.
    The key is the SHA-256 of the normalised text with a second, independent hash and the length in bytes: rows are
    merged only where all three agree, so each merge verifies what it joins.
-2. Up. Runs of one partition are merged first, then partitions in binomial rounds: a round merges the 2 ** ``bits``
+2. Up. Runs of one partition are merged first, then partitions, in binomial rounds: a round merges the 2 ** ``bits``
    nodes whose numbers differ only in the next bits. A merge is an aggregation by (node, key) over sorted rows, which
    sums the rows of a key and retains the identifier that stays. What a key sends upwards is a row per node, however
    many copies there are, so no task receives a group: at most 2 ** ``bits`` rows a key in a round.
@@ -53,26 +53,28 @@ def find_copies(docs: DataFrame, normalise=lower_ascii, largest: bool = True, le
     else:
         best, who = F.min, F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
 
-    def node(level: int) -> Column:
-        return F.shiftright("row", leaf if level == 0 else WITHIN + (level - 1) * bits)
+    def node(shift: int) -> Column:
+        return F.shiftright("row", shift)
 
-    last = rows.agg(F.max("row")).first()[0] or 0
-    top = 1
-    while last >> (WITHIN + (top - 1) * bits):
-        top += 1
-    runs = rows.groupBy(node(0).alias("node"), *KEY).agg(best(who).alias("keep"), F.count(F.lit(1)).alias("n"))
+    ends = rows.agg(F.max(F.col("row").bitwiseAND((1 << WITHIN) - 1)), F.max(node(WITHIN))).first()
+    within, parts = (x or 0 for x in ends)
+    shifts = [leaf, *(s for s in range(leaf + bits, WITHIN, bits) if within >> s), WITHIN]
+    while parts >> (shifts[-1] - WITHIN):
+        shifts.append(shifts[-1] + bits)
+    steps = [b - a for a, b in zip(shifts, shifts[1:])]
+
+    runs = rows.groupBy(node(leaf).alias("node"), *KEY).agg(best(who).alias("keep"), F.count(F.lit(1)).alias("n"))
     levels = [materialise(runs, "runs")]
-    for level in range(1, top + 1):
-        up = F.shiftright("node", WITHIN - leaf if level == 1 else bits)
-        merged = levels[-1].groupBy(up.alias("node"), *KEY).agg(best("keep").alias("keep"), F.sum("n").alias("n"))
+    for step in steps:
+        merged = levels[-1].groupBy(F.shiftright("node", step).alias("node"), *KEY).agg(best("keep").alias("keep"), F.sum("n").alias("n"))
         levels.append(materialise(merged, "runs"))
 
     with splitting_skew(docs.sparkSession):
         told = levels.pop().where("n > 1")
-        for level in range(top - 1, -1, -1):
-            below = levels[level].select("node", F.shiftright("node", WITHIN - leaf if level == 0 else bits).alias("parent"), *KEY)
+        for step in reversed(steps):
+            below = levels.pop().select("node", F.shiftright("node", step).alias("parent"), *KEY)
             told = materialise(below.join(told.withColumnRenamed("node", "parent"), ["parent", *KEY]).drop("parent"), "told")
-        found = rows.withColumn("node", node(0)).join(told, ["node", *KEY], "left")
+        found = rows.withColumn("node", node(leaf)).join(told, ["node", *KEY], "left")
     alone = F.col("n").isNull()
     return found.select(
         "doc_id",

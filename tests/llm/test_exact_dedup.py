@@ -44,8 +44,7 @@ def rows_of(n, seed=3):
     return rows
 
 
-@pytest.mark.parametrize("leaf, bits", [(8, 5), (0, 1), (2, 3), (20, 2)])
-@pytest.mark.parametrize("parts", [1, 13])
+@pytest.mark.parametrize("leaf, bits, parts", [(8, 5, 1), (0, 2, 13), (2, 3, 1), (20, 2, 7)])
 def test_rounds_of_all_sizes(spark, leaf, bits, parts):
     rows = rows_of(2000)
     df = spark.createDataFrame([(*r, *["x"] * 6) for r in rows], SCHEMA).repartition(parts)
