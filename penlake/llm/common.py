@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,29 @@ def join_checked(left: DataFrame, right: DataFrame, on: str | list[str], how: st
     return left.join(F.broadcast(right) if small_enough(right, rows) else right.hint("merge"), on, how)
 
 
+def hot_keys(df: DataFrame, on: str, rows: int | None = None, share: int = 1000) -> list:
+    """The keys that hold more than a ``share``-th of the rows of df, of which there are fewer than ``share``. rows: their number, where it's known."""
+    rows = df.count() if rows is None else rows
+    counts = df.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("rows"))
+    return [r[0] for r in counts.where(F.col("rows") * share > rows).select(on).collect()]
+
+
+def join_unique(left: DataFrame, right: DataFrame, on: str, how: str = "inner", hot: list | None = None) -> DataFrame:
+    """Join with right, which has at most one row per key, so that no task receives a hot key of left (a written table).
+
+    The rows of hot keys meet the few rows of right that they need by broadcast, the others by a shuffle; rows without a
+    key meet nothing. hot: hot_keys(left, on), where it's known. how: inner or left.
+    """
+    hot, key = hot_keys(left, on) if hot is None else hot, F.col(on)
+    parts = [left.where(key.isNotNull() & ~key.isin(hot) if hot else key.isNotNull()).join(right, on, how)]
+    if hot:
+        parts.append(left.where(key.isin(hot)).join(F.broadcast(right.where(key.isin(hot))), on, how))
+    if how == "left":
+        rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != on]
+        parts.append(left.where(key.isNull()).select(on, *(c for c in left.columns if c != on), *rest))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @contextmanager
 def splitting_skew(spark: SparkSession) -> Iterator[None]:
     """Within, adaptive execution splits skewed keys of joins even where an aggregation follows, at the price of a shuffle."""

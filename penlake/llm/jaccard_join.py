@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penlake.llm.common import WordHashes, join_checked, materialise, mixed, splitting_skew
+from penlake.llm.common import WordHashes, join_checked, join_unique, materialise, mixed
 from penlake.llm.components import components
 from penlake.llm.packed import ROW, batch_of, by_bucket, freeze, joined_up, parcels, squeeze, thaw, unsqueeze
 from penlake.llm.substring_dedup import LAST, Powers, bucket_of
@@ -300,9 +300,8 @@ def jaccard_join(
     maybe = components(links.where("a is not null").select("a", "b").distinct())
     # Each node's component, and the number of blocks that it's cut into.
     cut = maybe.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    with splitting_skew(spark):
-        wanted = maybe.join(cut, "root").join(nodes.select("node", "check", "first", "copies"), "node").select("first", "node", "check", "root", "copies", "blocks")
-        wanted = materialise(wanted, "wanted")
+    wanted = join_unique(maybe, cut, "root").join(nodes.select("node", "check", "first", "copies"), "node").select("first", "node", "check", "root", "copies", "blocks")
+    wanted = materialise(wanted, "wanted")
 
     def wants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -364,11 +363,10 @@ def jaccard_join(
     root = components(sure.select(F.col("node").alias("a"), F.col("near").alias("b")))
     linked_to = sure.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.select("node", "first", "copies").join(linked_to, "node", "left").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    with splitting_skew(spark):
-        known = materialise(known, "known")
-        named = known.groupBy("root").agg(F.min("first").alias("class_id"))
-        classes = known.join(named, "root").select("node", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-        out = materialise(signed.select("doc_id", "node").join(materialise(classes, "classes"), "node", "left"), "joined")
+    known = materialise(known, "known")
+    named = known.groupBy("root").agg(F.min("first").alias("class_id"))
+    classes = join_unique(known, named, "root").select("node", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    out = materialise(join_unique(signed.select("doc_id", "node"), materialise(classes, "classes"), "node", "left"), "joined")
     known_id = lambda c: F.when(c != LAST, c)
     return out.select(
         known_id(F.col("doc_id")).alias("doc_id"),

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from compare import connect, of_spark, of_sql
 from penlake.llm import chat_format, decontamination, html_extract, jaccard_join, language_id, packing, pii, quality_rules, queries, substring_dedup, warc
-from penlake.llm.common import materialise
+from penlake.llm.common import hot_keys, join_unique, materialise
 from penlake.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -715,6 +715,24 @@ def test_components(spark):
     assert got == {n: r for n, r in root.items() if n in got} and set(got) == {x for e in edges if e[0] != e[1] for x in e}
 
 
+def test_hot_keys_are_joined_by_broadcast(spark):
+    """A key with most rows, keys that right lacks, null keys, an empty side; the same as a plain join."""
+    rows = [(1 if i % 3 else i, i) for i in range(3000)] + [(None, -i) for i in range(50)] + [(7777, k) for k in range(40)]
+    left = materialise(spark.createDataFrame(rows, "k long, v long"), "left")
+    right = spark.createDataFrame([(i, f"r{i}") for i in range(2500)], "k long, w string")
+    assert sorted(hot_keys(left, "k")) == [1, 7777] == sorted(hot_keys(left, "k", 3090))
+    for how in ("inner", "left"):
+        for r in (right, right.limit(0)):
+            assert rows_of(join_unique(left, r, "k", how)) == rows_of(left.join(r, "k", how)) == rows_of(join_unique(left, r, "k", how, []))
+    assert join_unique(materialise(left.limit(0), "none"), right, "k", "left").count() == 0
+
+
+def test_components_of_a_star(spark):
+    edges = [(0, i) for i in range(1, 4000)] + [(5000 + i, 5001 + i) for i in range(100)] + [(3999, 5000)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(8)).collect()}
+    assert set(got.values()) == {0} and len(got) == 4101
+
+
 def test_recall():
     k = lambda found, recall=0.999999: jaccard_join.prefix_length(found, 20, 4, 0.8, recall)
     none, far, near = np.zeros(81), np.zeros(81), np.zeros(81)
