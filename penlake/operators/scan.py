@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -42,16 +43,27 @@ def ordered_scan(rows: DataFrame, keys: list[str], order: list[str], columns: li
     return by_key.mapInArrow(run, out_type)
 
 
-def dense_index(rows: DataFrame, key: str, name: str = "ix", by: Sequence[str] = ()) -> DataFrame:
+def range_of(value: Column, cuts: list[float]) -> Column:
+    """How many of the sorted cuts are at most the value: a look at every so many of them, then at those between."""
+    if not cuts:
+        return F.lit(0)
+    m = math.isqrt(len(cuts) - 1) + 1
+    chunks = [cuts[i : i + m] for i in range(0, len(cuts), m)]
+    below = lambda some: F.size(F.filter(some, lambda c: c <= value))
+    chunk = below(F.array(*(F.lit(c[0]) for c in chunks)))
+    return F.when(chunk > 0, (chunk - 1) * m + below(F.get(F.array(*(F.array(*map(F.lit, c)) for c in chunks)), chunk - 1))).otherwise(0)
+
+
+def dense_index(rows: DataFrame, key: str, name: str = "ix", by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """rows with a number from 0, without gaps, in the order of a numeric key, which is unique and not null; for each group of ``by``, of which there are few.
 
-    Quantiles cut the rows into ranges, so no task orders all of them; what is broadcast is a number for each range.
+    Quantiles cut the rows into ranges (as many as a shuffle has partitions), so no task orders all of them; what is
+    broadcast is a number for each range.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(rows.stat.approxQuantile(key, [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key))) if cuts else F.lit(0)
-    rows = rows.withColumn("__range", at)
-    before = F.sum("n").over((Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("__range", range_of(F.col(key), cuts))
+    before = F.sum("n").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
     sizes = rows.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("n"))
     starts = sizes.select(*by, "__range", F.coalesce(before, F.lit(0)).alias("__start"))
     place = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(key)) - 1

@@ -157,12 +157,12 @@ def test_scan_keeps_state_over_batches(spark):
     assert [t for _, t in sorted(got[1])][-1] == sum(range(25_000)) and len(got[1]) == 25_000
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 1000])
-def test_dense_index(spark, n):
+@pytest.mark.parametrize("n, ranges", [(0, 4), (1, 4), (2, 1), (1000, 3), (1000, 37), (300, 300)])
+def test_dense_index(spark, n, ranges):
     keys = random.Random(n).sample(range(-5 * n, 5 * n), n) if n else []
     df = spark.createDataFrame([(k, k % 3) for k in keys], "k long, g long").repartition(3)
-    assert sorted((r.k, r.ix) for r in scan.dense_index(df, "k").collect()) == [(k, i) for i, k in enumerate(sorted(keys))]
-    grouped = scan.dense_index(df, "k", by=["g"]).collect()
+    assert sorted((r.k, r.ix) for r in scan.dense_index(df, "k", ranges=ranges).collect()) == [(k, i) for i, k in enumerate(sorted(keys))]
+    grouped = scan.dense_index(df, "k", by=["g"], ranges=ranges).collect()
     for g in range(3):
         assert sorted((r.k, r.ix) for r in grouped if r.g == g) == [(k, i) for i, k in enumerate(sorted(k for k in keys if k % 3 == g))]
 
