@@ -109,5 +109,6 @@ ORACLES: dict[str, str] = {
     "op7_substring_dedup": sql.SUBSTRING_DEDUP,
     "op10_warc": sql.WARC,
     "op11_spelling": sql.SPELLING,
+    "op12_periodic_runs": sql.PERIODIC_RUNS,
     "op13_exact_dedup": sql.EXACT_DEDUP,
 }

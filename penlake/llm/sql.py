@@ -137,6 +137,42 @@ WITH RECURSIVE said AS (
 SELECT f.word, f.form, s.here AS root, f.n, f.n_near, f.form_n FROM forms f JOIN steps s ON s.word = f.word AND s.ahead IS NULL
 """
 
+# Equal 8-word phrases of one document stand q words apart; where they do so for places in a row, that is a stretch with
+# period q, as long as it gets. A run has at least 16 such words, so it's found; the smallest of its periods counts.
+PERIODIC_RUNS = r"""
+WITH cut AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), hashed AS (
+  SELECT *, len(w) AS n, xor(list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(unicode(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])),
+    lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1)), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM cut
+), tails AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a FROM hashed
+), spots AS (
+  SELECT r, i, w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END + 1] AS word FROM (SELECT *, unnest(range(n)) AS i FROM tails)
+), texts AS (
+  SELECT r, list(word ORDER BY i) AS w, count(*) AS n FROM spots GROUP BY r
+), phrases AS (
+  SELECT r, n, i, array_to_string(w[i + 1:i + 8], ' ') AS phrase FROM (SELECT r, n, w, unnest(range(n - 7)) AS i FROM texts WHERE n >= 24)
+), apart AS (
+  SELECT x.r, x.i, y.i - x.i AS q FROM phrases x JOIN phrases y ON x.r = y.r AND x.phrase = y.phrase AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+), stretches AS (
+  SELECT r, q, min(i) AS first, count(*) + 7 + q AS size FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM apart) GROUP BY r, q, island
+), runs AS (
+  SELECT r, first, size, min(q) AS q FROM stretches WHERE size >= greatest(24, 3 * q) GROUP BY r, first, size
+), best AS (
+  SELECT r, count(*) AS n_runs, first(struct_pack(s := first, l := size, q := q) ORDER BY CAST(size AS DOUBLE) / q DESC, first, q) AS top,
+    string_agg(first || ',' || size || ',' || q || chr(10), '' ORDER BY first, q) AS lines FROM runs GROUP BY r
+), marks AS (
+  SELECT r, i, sum(d) AS d FROM (SELECT r, first + q AS i, 1 AS d FROM runs UNION ALL SELECT r, first + size, -1 FROM runs) GROUP BY r, i
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS rest
+  FROM (SELECT s.r, s.i, word, sum(coalesce(d, 0)) OVER (PARTITION BY s.r ORDER BY s.i) AS inside FROM spots s LEFT JOIN marks m ON m.r = s.r AND m.i = s.i) WHERE inside = 0 GROUP BY r
+)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(top.s AS BIGINT) AS "start", CAST(top.l AS BIGINT) AS "length", CAST(top.q AS BIGINT) AS "period",
+  CAST(1000 * top.l // top.q AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(rest, '')) AS collapsed_sha256
+FROM cut LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""
+
 EXACT_DEDUP = r"""
 WITH normal AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
