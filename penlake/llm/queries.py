@@ -106,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_chat_format": sql.CHAT_FORMAT,
     "op3_quality_rules": sql.QUALITY_RULES,
+    "op4_jaccard_join": sql.JACCARD_JOIN,
     "op7_substring_dedup": sql.SUBSTRING_DEDUP,
     "op10_warc": sql.WARC,
     "op11_spelling": sql.SPELLING,

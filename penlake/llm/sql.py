@@ -69,6 +69,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM results
 """
 
+JACCARD_JOIN = r"""
+WITH RECURSIVE cut AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), places AS (
+  SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM cut WHERE len(w) > 0
+), shingles AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS g FROM places
+), sets AS (
+  SELECT r, md5(string_agg(g, chr(10) ORDER BY g)) AS key, count(*) AS n FROM shingles GROUP BY r
+), nodes AS (
+  SELECT key, min(r) AS node, any_value(n) AS n, min(doc_id) AS first, count(*) AS copies FROM sets JOIN cut USING (r) GROUP BY key
+), own AS (
+  SELECT node, g FROM nodes JOIN shingles ON r = node
+), pairs AS (
+  SELECT x.node AS a, y.node AS b, count(*) AS shared FROM own x JOIN own y ON x.g = y.g AND x.node < y.node GROUP BY x.node, y.node
+), links AS (
+  SELECT a, b FROM pairs JOIN nodes x ON x.node = a JOIN nodes y ON y.node = b WHERE 9 * shared >= 4 * (x.n + y.n)
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT node, node AS root FROM nodes UNION SELECT ways.b, root FROM reached JOIN ways ON ways.a = reached.node
+), classes AS (
+  SELECT reached.node, min(nodes.first) AS class_id FROM reached JOIN nodes ON nodes.node = reached.root GROUP BY reached.node
+), counted AS (
+  SELECT a AS node, sum(copies) AS others FROM ways JOIN nodes ON nodes.node = b GROUP BY a
+)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, CAST(coalesce(coalesce(others, 0) + copies - 1, 0) AS BIGINT) AS n_links, coalesce(copies, 1) AS n_copies
+FROM cut LEFT JOIN sets USING (r) LEFT JOIN nodes USING (key) LEFT JOIN classes USING (node) LEFT JOIN counted USING (node)
+"""
+
 SUBSTRING_DEDUP = r"""
 WITH cut AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
