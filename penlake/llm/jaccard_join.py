@@ -268,11 +268,17 @@ def jaccard_join(
         for start, m in zip(cuts[sizes > pairwise], sizes[sizes > pairwise]):
             own = node[start : start + m]
             # Only who belongs together goes on, a link for each node, so a group of m nodes gives fewer than m rows.
-            root, signs_of = np.arange(m), wide[order[start : start + m]]
+            # Links are held until they are as many as the nodes, so that joining them up stays linear in both.
+            root, signs_of, held, n_held = np.arange(m), wide[order[start : start + m]], [], 0
             for a, b in near_pairs(signs_of, close, reach):
-                root = roots(m, a, b, root)
                 same = signs_of[a] == signs_of[b]
                 tally(same[same.mean(axis=1) >= least])
+                held.append((a, b))
+                n_held += len(a)
+                if n_held >= m:
+                    root, held, n_held = roots(m, *map(np.concatenate, zip(*held)), root), [], 0
+            if held:
+                root = roots(m, *map(np.concatenate, zip(*held)), root)
             some = np.flatnonzero(root != np.arange(m))
             pairs.append(np.stack([own[root[some]], own[some]], axis=1))
         if pairs and len(links := np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)):
