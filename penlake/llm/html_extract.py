@@ -5,10 +5,10 @@
    ``footer``, forms, hidden elements, an article inside an article), and the main container.
 2. The token streams of a host's pages are laid end to end, and the suffixes are brought into order by their first
    ``run`` tokens (a suffix array cut at that depth, which is all that shows whether a position starts a long repeat);
-   neighbours in that order that come from two distinct pages are a repeated run. Inside main containers, which hold
-   most of the text, only anchors take part: of each ``2 * run`` neighbouring runs the one with the smallest hash, so
-   that every repeat of ``3 * run`` tokens is met. The array is spread over buckets of suffixes (see packed.py), so a host with a third
-   of the pages is no large group.
+   neighbours in that order that come from two distinct pages are a repeated run. Every position of every page takes
+   part. The array is spread over buckets of suffixes (see packed.py), so a host with a third of the pages is no large
+   group. Pages are read twice, here and for the result, so no copy of them is written; only those without a main
+   container go along with their positions.
 3. For each host and region the share of repeated positions, shrunk to that of the region over all hosts, is held
    against the host's own: a region with ``odds`` times the host's odds is boilerplate there, on every page; one with
    no more than the host's odds is content.
@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penlake.llm.common import WordHashes, join_checked, materialise, mixed
-from penlake.llm.packed import ROW, batch_of, by_bucket, joined_up, parcels, squeeze, unsqueeze
-from penlake.llm.substring_dedup import Powers, bucket_of, firsts, sliding
+from penlake.llm.packed import ROW, batch_of, by_bucket, freeze, joined_up, parcels, squeeze, thaw, unsqueeze
+from penlake.llm.substring_dedup import Powers, bucket_of, firsts
 
 U64, I64, I32, U8 = np.uint64, np.int64, np.int32, np.uint8
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|<[!?/][^>]*+>""", re.S)
@@ -60,13 +60,15 @@ BOILER_NAMES = frozenset(
 )
 CONTENT_NAMES = frozenset("article-body article-content articlebody entry-content main-content maincontent page-content post-body post-content story-body".split())
 BOILER, OPEN, MAIN, CONTENT, NAMED = 0, 1, 2, 3, 4
-BLOCK_ARROW = pa.list_(pa.struct([("text", pa.string()), ("zone", pa.int32()), ("region", pa.string()), ("unit", pa.int32())]))
-PARSED = "page_id long, url string, host string, main int, blocks array<struct<text:string,zone:int,region:string,unit:int>>"
-PARSED_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("main", pa.int32()), ("blocks", BLOCK_ARROW)])
+INSIDE = "page_id long, url string, host string, outer string, blocks array<struct<text:string,region:string>>"
+INSIDE_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("outer", pa.string()), ("blocks", pa.list_(pa.struct([("text", pa.string()), ("region", pa.string())])))])
 RESULT = "page_id long, url string, text string, n_chars long"
 RESULT_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 #: Positions for which a region's or a host's own share counts as much as the shared one; least repeated positions, and least positions, for a verdict.
 SHRINK, LEAST_REPEATED, LEAST_SEEN = 200, 10, 1000
+#: Positions that a task brings into order at a time, and the bits of a hash that are compared within a bucket: of some two
+#: million positions there, at any size of the input, so one in ten million is taken for another's repeat.
+TOGETHER, LOW = 4_000_000, U64((1 << 44) - 1)
 
 
 def zone_of(tag: str, a: dict[str, str], around: int) -> int:
@@ -215,75 +217,84 @@ def kept_blocks(blocks: list[dict], main: int | None, off: set[str]) -> list[dic
     if main is None:
         return [b for b in inner if b["region"] not in off]
     inner = [b for b in inner if b["unit"] == main]
-    outermost = min((b["region"] for b in inner), key=lambda r: r.count("/"), default="")
-    return [b for b in inner if b["region"] not in off or b["region"] == outermost]
+    outer = outermost(inner)
+    return [b for b in inner if b["region"] not in off or b["region"] == outer]
 
 
-def extract(pages: DataFrame, run: int = 6, bucket_pages: int = 2000) -> DataFrame:
+def outermost(blocks: list[dict]) -> str:
+    """The region of a main container's blocks that lies in the fewest others."""
+    return min((b["region"] for b in blocks), key=lambda r: r.count("/"), default="")
+
+
+def extract(pages: DataFrame, run: int = 6, bucket_pages: int = 4000) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages (page_id, url, html)."""
     spark = pages.sparkSession
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-slim.count() // bucket_pages))
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str | None, str, int | None, list[dict]]]:
         for b in batches:
-            rows = []
             for page_id, url, html in zip(*(c.to_pylist() for c in b.columns)):
                 blocks = blocks_of(html)
-                host = f"host {host_of(url)}" if url is not None else f"page {page_id}"
-                rows.append((page_id, url, host, main_unit(blocks), [dict(zip(("text", "zone", "region", "unit"), x)) for x in blocks]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), PARSED_ARROW.types)], schema=PARSED_ARROW)
-
-    parsed = materialise(slim.mapInArrow(parse, PARSED), "pages")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-parsed.count() // bucket_pages))
+                yield page_id, url, f"host {host_of(url)}" if url is not None else f"page {page_id}", main_unit(blocks), [dict(zip(("text", "zone", "region", "unit"), x)) for x in blocks]
 
     def row_key(page_id: int | None, url: str | None, blocks: list[dict]) -> int:
         return xxhash.xxh3_64_intdigest(repr((page_id, url, blocks)).encode())
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Positions to bring into order (kind 0), those of open pages settled here (1), and counts by host and region: all (9), repeated (8)."""
+        """Positions to bring into order (kind 0), those of open pages settled here (1), open pages (2), and counts by host and region: all (9), repeated (8)."""
+        import json
+
         word, powers = WordHashes(), Powers()
-        for b in batches:
-            hs, page, row, at, code, seen = [], [], [], [], [], {}
-            for page_id, url, host, main, blocks in zip(*(c.to_pylist() for c in b.columns)):
-                words = [x["text"].encode().split() for x in blocks]
-                tokens = word([w for some in words for w in some])
-                if len(tokens) < run:
-                    continue
+        hs, page, row, at, code, seen, rows, size = [], [], [], [], [], {}, [], 0
+        for page_id, url, host, main, blocks in parsed(batches):
+            key = row_key(page_id, url, blocks) if main is None else 0
+            if main is None:
+                k = np.array([key], U64)
+                rows.append((int(bucket_of(k, n)[0]), 2, int(k.view(I64)[0]), host.encode(), squeeze(json.dumps((page_id, url, blocks)).encode())))
+                size += sum(len(x["text"]) for x in blocks) // 8
+            words = [x["text"].encode().split() for x in blocks]
+            tokens = word([w for some in words for w in some])
+            if len(tokens) >= run:
                 g = powers.runs(tokens, run)
                 codes = {x["region"]: xxhash.xxh3_64_intdigest(f"{host}\n{x['region']}".encode()) >> 24 for x in blocks}
                 own = np.repeat(np.array([codes[x["region"]] for x in blocks], U64), [len(w) for w in words])[: len(g)]
-                take = np.ones(len(g), bool)
-                if main is not None:
-                    inside = np.repeat([x["unit"] == main for x in blocks], [len(w) for w in words])[: len(g)]
-                    width = min(2 * run, len(g))
-                    edge = np.zeros(width - 1, U64)
-                    anchor = g == sliding(np.maximum, np.concatenate([edge, sliding(np.minimum, g, width), edge]), width)
-                    take = ~inside | anchor
                 for region, c in codes.items():
-                    seen.setdefault(c, [host, region, 0])[2] += int((take & (own == U64(c))).sum())
-                g = mixed(g ^ U64(xxhash.xxh3_64_intdigest(host.encode())))[take]
-                hs.append(g)
+                    seen.setdefault(c, [host, region, 0])[2] += int((own == U64(c)).sum())
+                hs.append(mixed(g ^ U64(xxhash.xxh3_64_intdigest(host.encode()))))
                 page.append(np.full(len(g), -1 if page_id is None else page_id, I64))
-                row.append(np.full(len(g), row_key(page_id, url, blocks) if main is None else 0, U64))
-                at.append(np.flatnonzero(take).astype(I32))
-                code.append(own[take])
-            if not hs:
-                continue
-            h, page, row, at, code = map(np.concatenate, (hs, page, row, at, code))
-            order, first = firsts(h, page, at)
-            other = page[order] != page[order[first]]
-            many = np.bincount(first, other, len(first))[first] > 0
-            lead = np.concatenate([[True], np.diff(page[order]) != 0]) | (first == np.arange(len(first)))
-            two = lead & (np.cumsum(lead) - np.cumsum(lead)[first] < 2)  # one place on each of two pages speaks for a run that's known to repeat
-            send = np.sort(order[~many | two])
-            known = np.zeros(len(h), U8)
-            known[order[many]] = 1
-            rows = parcels(0, bucket_of(h[send], n), h[send], page[send], row[send], at[send], code[send], known[send])
-            told = np.flatnonzero((known == 1) & (row != 0))
-            rows += parcels(1, bucket_of(row[told], n), row[told], at[told])
-            rows += [(spread(c), 9, c, f"{host}\n{region}".encode(), k.to_bytes(8, "big")) for c, (host, region, k) in seen.items()]
-            rows += counted(code[known == 1])
-            yield batch_of(rows)
+                row.append(np.full(len(g), key, U64))
+                at.append(np.arange(len(g), dtype=I32) if main is None else np.zeros(len(g), I32))
+                code.append(own)
+                size += len(g)
+            if size >= TOGETHER:
+                yield batch_of(rows + facts(seen, *map(np.concatenate, (hs, page, row, at, code))) if hs else rows)
+                hs, page, row, at, code, seen, rows, size = [], [], [], [], [], {}, [], 0
+        if hs or rows:
+            yield batch_of(rows + facts(seen, *map(np.concatenate, (hs, page, row, at, code))) if hs else rows)
+
+    def facts(seen: dict[int, list], h: np.ndarray, page: np.ndarray, row: np.ndarray, at: np.ndarray, code: np.ndarray) -> list[tuple]:
+        order, first = firsts(h, page, at)
+        other = page[order] != page[order[first]]
+        many = np.bincount(first, other, len(first))[first] > 0
+        lead = np.concatenate([[True], np.diff(page[order]) != 0]) | (first == np.arange(len(first)))
+        two = lead & (np.cumsum(lead) - np.cumsum(lead)[first] < 2)  # one place on each of two pages speaks for a run that's known to repeat
+        send = np.sort(order[~many | two])
+        known = np.zeros(len(h), U8)
+        known[order[many]] = 1
+        bucket = bucket_of(h[send], n)
+        by = np.argsort(bucket, kind="stable")
+        send, bucket, rows = send[by], bucket[by], []
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for i, some in zip(cuts.tolist(), np.split(send, cuts[1:])):
+            if len(some):
+                names, which = np.unique(code[some], return_inverse=True)  # a few regions: their numbers take less room
+                rows.append((int(bucket[i]), 0, None, freeze(h[some] & LOW, page[some], row[some], at[some], which.astype(I32), known[some]), freeze(names)))
+        told = np.flatnonzero((known == 1) & (row != 0))
+        rows += parcels(1, bucket_of(row[told], n), row[told], at[told])
+        rows += [(spread(c), 9, c, f"{host}\n{region}".encode(), k.to_bytes(8, "big")) for c, (host, region, k) in seen.items()]
+        return rows + counted(code[known == 1])
 
     def counted(code: np.ndarray) -> list[tuple]:
         return [(spread(c), 8, c, None, k.to_bytes(8, "big")) for c, k in zip(*(x.tolist() for x in np.unique(code, return_counts=True)))]
@@ -292,12 +303,15 @@ def extract(pages: DataFrame, run: int = 6, bucket_pages: int = 2000) -> DataFra
         return int(bucket_of(np.array([code], U64), n)[0])
 
     def repeated(bucket: int, kinds: dict) -> Iterator[pa.RecordBatch]:
-        passed = [(bucket, k, *r) for k in (1, 8, 9) for r in kinds.get(k, [])]
+        passed = [(bucket, k, *r) for k in (1, 2, 8, 9) for r in kinds.get(k, [])]
         if 0 not in kinds:
             if passed:
                 yield batch_of(passed)
             return
-        h, page, row, at, code, known = joined_up(kinds[0], U64, I64, U64, I32, U64, U8)
+        h, page, row, at, which, known = joined_up(kinds[0], U64, I64, U64, I32, I32, U8)
+        names = [thaw(data, U64)[0] for *_, data in kinds[0]]
+        sizes = [int.from_bytes(meta[:4], "little") for _, meta, _ in kinds[0]]
+        code = np.concatenate([x[which[z - k : z]] for x, k, z in zip(names, sizes, np.cumsum(sizes))])
         order, first = firsts(h, page, at)
         other = page[order] != page[order[first]]
         hit = order[(np.bincount(first, other, len(first))[first] > 0) & (known[order] == 0)]
@@ -307,23 +321,18 @@ def extract(pages: DataFrame, run: int = 6, bucket_pages: int = 2000) -> DataFra
         if rows:
             yield batch_of(rows)
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for page_id, url, main, blocks, off in zip(*(c.to_pylist() for c in b.columns)):
-                text = "\n".join(x["text"] for x in kept_blocks(blocks, main, set(off or ())))
-                out.append((page_id, url, text, len(text)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), RESULT_ARROW.types)], schema=RESULT_ARROW)
-
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
-        for b in batches:
-            if b.num_rows:
-                rows = [r for r in zip(*(c.to_pylist() for c in b.columns))]
-                keys = np.array([row_key(*r[:3]) for r in rows], U64)
-                yield batch_of([(k, 2, key, None, squeeze(json.dumps(r).encode())) for k, key, r in zip(bucket_of(keys, n).tolist(), keys.view(I64).tolist(), rows)])
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of pages with a main container the blocks that structure leaves, and the region that stays whatever the verdicts say."""
+        rows = []
+        for page_id, url, host, main, blocks in parsed(batches):
+            if main is not None:
+                left = kept_blocks(blocks, main, set())
+                rows.append((page_id, url, host, outermost(left), [{"text": x["text"], "region": x["region"]} for x in left]))
+            if len(rows) >= 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), INSIDE_ARROW.types)], schema=INSIDE_ARROW)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), INSIDE_ARROW.types)], schema=INSIDE_ARROW)
 
     def cleaned(bucket: int, kinds: dict) -> Iterator[pa.RecordBatch]:
         import json
@@ -332,16 +341,17 @@ def extract(pages: DataFrame, run: int = 6, bucket_pages: int = 2000) -> DataFra
         order = np.argsort(row, kind="stable")
         row, at = row[order], at[order]
         out = []
-        for key, _, data in kinds.get(2, []):
-            page_id, url, blocks, off, on = json.loads(unsqueeze(data))
+        for key, verdict, data in kinds.get(2, []):
+            page_id, url, blocks = json.loads(unsqueeze(data))
+            off, on = json.loads(verdict) if verdict else ((), ())
             key = np.array([key], I64).view(U64)[0]
             starts = at[np.searchsorted(row, key) : np.searchsorted(row, key, "right")]
-            text = "\n".join(unique_runs(blocks, starts, run, set(off or ()), set(on or ())))
+            text = "\n".join(unique_runs(blocks, starts, run, set(off), set(on)))
             out.append((page_id, url, text, len(text)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), RESULT_ARROW.types)], schema=RESULT_ARROW)
 
-    found = materialise(by_bucket(parsed.mapInArrow(suffixes, ROW), repeated, ROW), "repeats")
+    found = materialise(by_bucket(slim.mapInArrow(suffixes, ROW), repeated, ROW), "repeats")
     k = F.conv(F.hex("data"), 16, 10).cast("long")
     counts = found.where("kind in (8, 9)").groupBy("id").agg(
         F.sum(F.when(F.col("kind") == 9, k).otherwise(0)).alias("n"), F.sum(F.when(F.col("kind") == 8, k).otherwise(0)).alias("repeated"), F.max(F.decode("meta", "UTF-8")).alias("name"),
@@ -350,9 +360,13 @@ def extract(pages: DataFrame, run: int = 6, bucket_pages: int = 2000) -> DataFra
     decided = verdicts(stats)
     some = lambda x: F.collect_set(F.when(x, F.col("region")))
     by_host = materialise(decided.groupBy("host").agg(some(F.col("boiler")).alias("off"), some(~F.col("boiler")).alias("on")), "verdicts")
-    told = join_checked(parsed, by_host, "host", "left")
-    settled = told.where("main is not null").select("page_id", "url", "main", "blocks", "off").mapInArrow(settle, RESULT)
-    rest = told.where("main is null").select("page_id", "url", "blocks", "off", "on").mapInArrow(opened, ROW)
+    settled = join_checked(slim.mapInArrow(inside, INSIDE), by_host, "host", "left")
+    stays = lambda x: (x["region"] == F.col("outer")) | ~F.array_contains(F.coalesce("off", F.array().cast("array<string>")), x["region"])
+    settled = settled.select("page_id", "url", F.array_join(F.transform(F.filter("blocks", stays), lambda x: x["text"]), "\n").alias("text"))
+    settled = settled.withColumn("n_chars", F.length("text").cast("long"))
+    rest = join_checked(found.where("kind = 2").withColumn("host", F.decode("meta", "UTF-8")), by_host, "host", "left")
+    verdict = F.when(F.col("off").isNotNull(), F.to_json(F.array("off", "on")).cast("binary"))
+    rest = rest.select("bucket", "kind", "id", verdict.alias("meta"), "data")
     return settled.unionByName(by_bucket(found.where("kind = 1").unionByName(rest), cleaned, RESULT))
 
 

@@ -383,6 +383,24 @@ def test_array_finds_boilerplate_without_marks(spark):
     assert got == want
 
 
+def test_every_position_of_an_article_counts(spark, monkeypatch):
+    """Stretches of just one run that recur inside main containers are all counted, as are all other positions."""
+    run, hosts, pages = 6, 3, 30
+    shared = {h: [" ".join(f"s{h}x{j}x{k}" for k in range(run)) for j in range(5)] for h in range(hosts)}
+    rows = []
+    for h in range(hosts):
+        for i in range(pages):
+            own = [" ".join(f"p{h}x{i}x{j}x{k}" for k in range(7)) for j in range(6)]
+            body = " ".join(x for pair in zip(own, [*shared[h], ""]) for x in pair)
+            rows.append((h * 100 + i, f"http://h{h}/{i}", f"<article><p>{body}</p></article>"))
+    seen, real = [], html_extract.verdicts
+    monkeypatch.setattr(html_extract, "verdicts", lambda stats: (seen.extend(stats.collect()), real(stats))[1])
+    out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    assert len(out) == len(rows) and all(r["text"] for r in out)
+    words = 6 * 7 + 5 * run
+    assert {(r["host"], r["region"]): (r["n"], r["repeated"]) for r in seen} == {(f"host h{h}", "article"): (pages * (words - run + 1), pages * 5) for h in range(hosts)}
+
+
 def test_array_decides_on_the_tables(spark, duck):
     """The pages of the tables with every element turned into a div of a meaningless name: most of the articles come back as they are."""
     pages = [r for sf in ("0.001", "0.01", "0.1") for r in connect(f"/root/testdata/sf{sf}").execute("SELECT page_id, url, html FROM pages").fetchall()][-2500:]
