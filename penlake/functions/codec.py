@@ -64,15 +64,17 @@ def encode_whole(text: Column) -> Column:
 
 
 def encode_text(text: Column, length: int = 50) -> Column:
-    """Character ids, 0 for unknown ones and padding, cut to length."""
-    return F.slice(F.concat(encode_whole(text), F.array_repeat(F.lit(0).cast("bigint"), length)), 1, length)
+    """Character ids, 0 for unknown ones and padding, cut to length: those of the characters that are kept, as no other one has a say."""
+    return F.slice(F.concat(encode_whole(F.substring(text, F.lit(1), F.lit(length))), F.array_repeat(F.lit(0).cast("bigint"), length)), 1, length)
 
 
 def decode_text(ids: Column) -> Column:
     """Characters up to the first 0."""
-    end = F.array_position(ids, 0)
-    kept = F.when(end > 0, F.slice(ids, F.lit(1), F.greatest(end - 1, F.lit(0)).cast("int"))).otherwise(ids)
-    return F.array_join(F.transform(kept, lambda i: F.substring(F.lit(ALPHABET), i.cast("int"), F.lit(1))), "")
+
+    def known(ids: Column) -> Column:
+        return with_value(F.array_position(ids, 0), lambda end: F.when(end > 0, F.slice(ids, F.lit(1), F.greatest(end - 1, F.lit(0)).cast("int"))).otherwise(ids))
+
+    return F.array_join(F.transform(with_value(ids, known), lambda i: F.substring(F.lit(ALPHABET), i.cast("int"), F.lit(1))), "")
 
 
 def with_value(value: Column, f: Callable[[Column], Column]) -> Column:

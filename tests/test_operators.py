@@ -1,10 +1,12 @@
 """Operators against plain Python on small rows, and the sources and streams."""
 
 import json
+import math
 import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from penlake.functions import codec
 from penlake.operators import attention, corpus, raster, sampling, sequence
@@ -229,3 +231,15 @@ def test_responses_and_transcripts(spark):
     assert got[1, 0] == ("a", [1.0, 2.5, 3.0, 4.0]) and got[1, 1] == ("b", None) and not {k for k, _ in got} & {2, 3, 4, 5}
     texts = spark.createDataFrame([(1, "  a\tb\n\nc "), (2, " \n"), (3, None), (4, "")], "page long, text string")
     assert sorted(map(tuple, records.transcript_words(texts).collect())) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c")]
+
+
+def test_cut_codes_read_only_what_they_keep(spark):
+    """Ids that are cut to a length come from that many characters; the whole text isn't split for them."""
+    text = "ab#" + "e" * 100
+    df = spark.createDataFrame([(text,), ("",), ("é😀n" * 30,)], "text string")
+    got = [r[0] for r in df.select(codec.encode_text(F.col("text"), 5).alias("ids")).collect()]
+    whole = [r[0] for r in df.select(codec.encode_whole(F.col("text")).alias("ids")).collect()]
+    assert got == [(w + [0] * 5)[:5] for w in whole]
+    plan = df.select(codec.encode_text(F.col("text"), 5))._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(text" in plan and "split(text" not in plan
+    assert [r[0] for r in df.select(codec.decode_text(codec.encode_whole(F.col("text")))).collect()] == ["ab", "", ""]
