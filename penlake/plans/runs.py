@@ -72,8 +72,9 @@ _WARM = f"""{WPTS}, t AS (SELECT p_partkey AS item_id, p_name AS text, strpos(p_
 )
 def q83_drop_warmup(s: SparkSession, d: str) -> DataFrame:
     """Cross-attention weights of the characters behind the first word; the upper end is the shown text's length, which leaves its tail out."""
-    context = points(s, d).select("item_id", F.col("pos").alias("source"), F.col("x").alias("kx"), F.col("y").alias("ky"))
-    weights = corpus.cross_attention(points(s, d), context, "item_id")
+    p = points(s, d).join(texts(s, d).select("item_id"), "item_id", "left_semi")  # items without a text show nothing
+    context = p.select("item_id", F.col("pos").alias("source"), F.col("x").alias("kx"), F.col("y").alias("ky"))
+    weights = corpus.cross_attention(p, context, "item_id")
     return attention.drop_warmup(weights, texts(s, d)).select("item_id", "pos", "source", "ch", r6("weight"))
 
 

@@ -243,3 +243,23 @@ def test_cut_codes_read_only_what_they_keep(spark):
     plan = df.select(codec.encode_text(F.col("text"), 5))._jdf.queryExecution().optimizedPlan().toString()
     assert "substring(text" in plan and "split(text" not in plan
     assert [r[0] for r in df.select(codec.decode_text(codec.encode_whole(F.col("text")))).collect()] == ["ab", "", ""]
+
+
+def test_weights_need_no_window(spark):
+    """Weights are worked out in a row: no window holds or sorts the pairs, and they are those of a softmax."""
+    rows = [(k, i, ((i * 7 + k) % 5) / 3, (i % 4) / 2) for k in (1, 2) for i in range(1, 8)]
+    p = spark.createDataFrame(rows, "item_id long, pos long, x double, y double")
+    c = p.where("pos <= 3").select("item_id", F.col("pos").alias("source"), F.col("x").alias("kx"), F.col("y").alias("ky"))
+    whole, causal = corpus.cross_attention(p, c, "item_id"), attention.causal_weights(p, 5, heads=2)
+    for df in (whole, causal):
+        assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+    at = {(k, i): (x, y) for k, i, x, y in rows}
+
+    def share(k, t, s, sources, head=0):
+        e = {j: math.exp((at[k, t][0] * at[k, j][0] + at[k, t][1] * at[k, j][1]) * (head + 1)) for j in sources}
+        return e[s] / sum(e.values())
+
+    got = {(r["item_id"], r["pos"], r["source"]): r["weight"] for r in whole.collect()}
+    assert got == pytest.approx({(k, t, s): share(k, t, s, (1, 2, 3)) for k, t in at for s in (1, 2, 3)})
+    got = {(r["item_id"], r["head"], r["target"], r["source"]): r["weight"] for r in causal.collect()}
+    assert got == pytest.approx({(k, h, t, s): share(k, t, s, range(1, t + 1), h) for k in (1, 2) for h in (0, 1) for t in range(1, 6) for s in range(1, t + 1)})
