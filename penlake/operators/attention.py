@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from penlake.operators.corpus import attended
+
 
 def causal_weights(points: DataFrame, first: int, heads: int = 1) -> DataFrame:
     """item_id, head, target, source and weight among the first positions of each item: a softmax over the sources up to the target.
@@ -12,13 +14,9 @@ def causal_weights(points: DataFrame, first: int, heads: int = 1) -> DataFrame:
     Head h scores a pair by h + 1 times its dot product. The bound is what keeps an item's pairs few.
     """
     p = points.where(F.col("pos") <= first).select("item_id", F.col("pos").alias("target"), "x", "y")
-    k = p.select("item_id", F.col("target").alias("source"), F.col("x").alias("kx"), F.col("y").alias("ky"))
-    pairs = p.join(k, "item_id").where(F.col("source") <= F.col("target"))
-    each = pairs.select("item_id", "target", "source", (F.col("x") * F.col("kx") + F.col("y") * F.col("ky")).alias("dot"), F.explode(F.sequence(F.lit(0), F.lit(heads - 1))).alias("head"))
-    w = Window.partitionBy("item_id", "head", "target")
-    score = F.col("dot") * (F.col("head") + 1)
-    e = each.withColumn("e", F.exp(score - F.max(score).over(w)))
-    return e.select("item_id", "head", "target", "source", (F.col("e") / F.sum("e").over(w)).alias("weight"))
+    k = p.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct(F.col("target").alias("source"), F.col("x").alias("kx"), F.col("y").alias("ky")))).alias("__first"))
+    each = p.join(k, "item_id").withColumn("head", F.explode(F.sequence(F.lit(0), F.lit(heads - 1))))
+    return attended(each, F.filter("__first", lambda s: s["source"] <= F.col("target")), F.col("head") + 1).select("item_id", "head", "target", "source", "weight")
 
 
 def strided(weights: DataFrame, first: int, stride: Column | int) -> DataFrame:

@@ -263,3 +263,4 @@ def test_weights_need_no_window(spark):
     assert got == pytest.approx({(k, t, s): share(k, t, s, (1, 2, 3)) for k, t in at for s in (1, 2, 3)})
     got = {(r["item_id"], r["head"], r["target"], r["source"]): r["weight"] for r in causal.collect()}
     assert got == pytest.approx({(k, h, t, s): share(k, t, s, range(1, t + 1), h) for k in (1, 2) for h in (0, 1) for t in range(1, 6) for s in range(1, t + 1)})
+# -
