@@ -32,7 +32,8 @@ def steps(weights: list[float]) -> list[float]:
 
 
 def pick(u: Column, weights: list[float]) -> Column:
-    return F.size(F.filter(F.array(*map(F.lit, steps(weights))), lambda s: s <= u))
+    """The index that a uniform draws; u is worked out once, not for every weight."""
+    return with_value(u, lambda x: F.size(F.filter(F.array(*map(F.lit, steps(weights))), lambda s: s <= x)))
 
 
 def put_in(word: Column, at: Column, what: str) -> Column:

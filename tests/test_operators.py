@@ -263,4 +263,12 @@ def test_weights_need_no_window(spark):
     assert got == pytest.approx({(k, t, s): share(k, t, s, (1, 2, 3)) for k, t in at for s in (1, 2, 3)})
     got = {(r["item_id"], r["head"], r["target"], r["source"]): r["weight"] for r in causal.collect()}
     assert got == pytest.approx({(k, h, t, s): share(k, t, s, range(1, t + 1), h) for k in (1, 2) for h in (0, 1) for t in range(1, 6) for s in range(1, t + 1)})
-# -
+
+
+def test_a_draw_is_worked_out_once(spark):
+    """A weighted pick evaluates its uniform once, not for every weight: the plan's filter holds no hash."""
+    df = spark.range(50).select(sampling.pick(sampling.uniform(3, F.col("id")), sampling.LETTER_WEIGHTS).alias("i"), sampling.uniform(3, F.col("id")).alias("u"))
+    assert all(r["i"] == sum(s <= r["u"] for s in sampling.steps(sampling.LETTER_WEIGHTS)) for r in df.collect())
+    plan = spark.range(1).select(sampling.pick(sampling.uniform(3, F.col("id")), sampling.LETTER_WEIGHTS))._jdf.queryExecution().optimizedPlan().toString()
+    shown = next(x for x in plan.splitlines() if "size(filter(" in x)
+    assert "md5" not in shown.split("size(filter(", 1)[1]
