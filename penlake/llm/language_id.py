@@ -5,9 +5,9 @@ write the word as a row of pieces, of the product of their probabilities; a forw
 gets it for all languages at once. A text scores the sum of its words' logarithms plus the language's share of the
 training rows, and the score given out is the posterior of the best language.
 
-Training is expectation-maximisation on the words of a bounded sample (``sample_docs`` labelled rows per language,
-chosen by a hash of the text; a sample of more rows changes accuracy, nothing else): tasks take words with counts,
-run the forward and backward passes and return expected piece counts, which Spark sums. What comes to the driver is
+Training is expectation-maximisation on the words of all labelled rows: Spark counts each language's different words,
+tasks take words with counts, run the forward and backward passes and return expected piece counts, which Spark sums, so
+a round's work follows the different words (``sample_docs`` bounds the rows per language, if it's given). What comes to the driver is
 one number per piece and language, at most ``most_languages`` of which are learned at once (more labels than that are
 an error, so the table that goes to the tasks has a bound); it's broadcast once a round. Words are lower-cased runs of
 non-blanks of any length: sums are divided by their own size every few characters, so they can't underflow, and a word
@@ -18,7 +18,7 @@ The posterior compares the learned languages only and runs to 1 with a text's le
 is told by its fit: the mean log-probability of a character under the best language, over the plain words (letters, with
 punctuation around them) if they are at least half of the words with a letter, else over all of these; so keys, numbers
 and addresses in a short text don't decide.
-identify_known() holds it against a bound for each language, fitted on the labelled rows of the sample.
+identify_known() holds it against a bound for each language, fitted on all labelled rows.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is every text if no labelled row
 was given; ties go to the language that sorts first; repeated rows are scored each by itself; an empty table gives no
@@ -37,9 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from penlake.llm.common import materialise
+
 START, UNKNOWN = "▁", 1e-7
 #: Sums are rescaled every so many characters; words are looked up in blocks of so many; batches hold so many characters.
 RESCALE, BLOCK, BATCH = 16, 1 << 14, 1 << 17
+#: Words are counted over so many characters of text at a time; fits are counted in steps of this size.
+COUNTED, STEP = 1 << 25, 0.001
 LETTER = re.compile(r"[^\W\d_]")
 PLAIN = re.compile(r"[\W_]*[^\W\d_]+(['’-][^\W\d_]+)*[\W_]*")
 BASE = np.uint64(0x100000001B3)
@@ -60,6 +64,8 @@ class Pieces:
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
         self.n = len(self.names)
+        self.maybe = np.zeros(1 << 21, bool)  # by 21 bits: most substrings are no piece, and most of these needn't be searched
+        self.maybe[self.slot(hashes)] = True
 
     @staticmethod
     def hash(piece: str) -> int:
@@ -68,6 +74,10 @@ class Pieces:
             h = (h * int(BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
+    @staticmethod
+    def slot(h: np.ndarray) -> np.ndarray:
+        return (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)
+
     def lattice(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For words of one length, by piece length from 1: ids at each start (n where there is none, n + 1 for an unknown character), and the starts where a word has one."""
         size = len(words[0])
@@ -75,8 +85,13 @@ class Pieces:
         found, h = [], np.zeros_like(codes)
         for k in range(1, min(self.most, size) + 1):
             h = h[:, : size - k + 1] * BASE + codes[:, k - 1 :]
-            at = np.minimum(np.searchsorted(self.hashes, h), self.n - 1)
-            ids = np.where(self.hashes[at] == h, self.order[at], self.n + (k == 1)).astype(np.int32)
+            ids = np.full(h.shape, self.n + (k == 1), np.int32)
+            some = np.flatnonzero(self.maybe[self.slot(h)])
+            if len(some):
+                sought = h.ravel()[some]
+                at = np.minimum(np.searchsorted(self.hashes, sought), self.n - 1)
+                same = self.hashes[at] == sought
+                ids.ravel()[some[same]] = self.order[at[same]]
             found.append((ids, (ids != self.n).any(axis=0)))
         return found
 
@@ -127,11 +142,15 @@ def expected(pieces: Pieces, words: list[str], p: np.ndarray, weights: np.ndarra
     beta, beta_logs = sums(range(size - 1, -1, -1), -1)
     whole = alpha_logs[size] + np.log(alpha[size])
     out = np.zeros(len(p))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     for k, (ids, some) in enumerate(lattice, 1):
         for s in np.flatnonzero(some):
             share = np.exp(alpha_logs[s] + beta_logs[s + k] - whole) * weights
-            out += np.bincount(ids[:, s], alpha[s] * p[ids[:, s]] * beta[s + k] * share, len(p))
-    return out
+            found.append((ids[:, s], alpha[s] * p[ids[:, s]] * beta[s + k] * share))
+            if len(found) * n >= BATCH * 4:
+                out += np.bincount(*map(np.concatenate, zip(*found)), len(p))
+                found = []
+    return out + np.bincount(*map(np.concatenate, zip(*found)), len(p)) if found else out
 
 
 def batches_of(words: list[tuple], size_of) -> Iterator[list[tuple]]:
@@ -192,8 +211,8 @@ def smoothed(counts: np.ndarray, mix: float = 0.01) -> np.ndarray:
     return np.vstack([p, np.zeros(p.shape[1]), np.full(p.shape[1], UNKNOWN)])
 
 
-def sample_of(labelled: DataFrame, sample_docs: int, most_languages: int = 500) -> tuple[DataFrame | None, dict[str, int]]:
-    """Up to about so many labelled rows (lang, text) of each language, and how many there are."""
+def rows_of(labelled: DataFrame, sample_docs: int | None = None, most_languages: int = 500) -> tuple[DataFrame | None, dict[str, int]]:
+    """The labelled rows (lang, text), on request up to about so many of each language, and how many of each there are."""
     rows = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}  # a row per language
     langs = sorted(totals)
@@ -201,13 +220,15 @@ def sample_of(labelled: DataFrame, sample_docs: int, most_languages: int = 500)
         return None, {}
     if len(langs) > most_languages:
         raise ValueError(f"more than {most_languages} labels")
+    if sample_docs is None:
+        return rows, totals
     share = F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(min(1.0, sample_docs / totals[k])))))
     return rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003), totals
 
 
-def fit(labelled: DataFrame, vocabulary: str, sample_docs: int = 1000, rounds: int = 3, most_languages: int = 500) -> tuple[list[str], np.ndarray, np.ndarray]:
+def fit(labelled: DataFrame, vocabulary: str, sample_docs: int | None = None, rounds: int = 3, most_languages: int = 500) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, their piece probabilities and log shares, from rows (text, lang) with a letter and a label."""
-    sample, totals = sample_of(labelled, sample_docs, most_languages)
+    learned, totals = rows_of(labelled, sample_docs, most_languages)
     langs = sorted(totals)
     if not langs:
         return [], np.zeros((0, 0)), np.zeros(0)
@@ -215,16 +236,29 @@ def fit(labelled: DataFrame, vocabulary: str, sample_docs: int = 1000, rounds: i
     number = {k: i for i, k in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, Counter] = defaultdict(Counter)
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for lang, words in seen.items():
+                names, n = list(words), np.fromiter(words.values(), np.int64, len(words))
+                for at in range(0, len(names), 1 << 16):
+                    some = names[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), lang, np.int32)), pa.array(some), pa.array(n[at : at + (1 << 16)])], ["lang", "word", "n"])
+            seen.clear()
+
+        size = 0
         for b in batches:
-            seen: Counter = Counter()
             for lang, text in zip(*(c.to_pylist() for c in b.columns)):
-                seen.update((number[lang], w) for w in words_of(text))
-            if seen:
-                lang, word = zip(*seen)
-                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(word), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
+                seen[number[lang]].update(words_of(text))
+                size += len(text)
+                if size >= COUNTED:
+                    yield from counted()
+                    size = 0
+        yield from counted()
 
-    words = sample.select("lang", "text").mapInArrow(count, "lang int, word string, n long")
-    words = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
+    words = learned.select("lang", "text").mapInArrow(count, "lang int, word string, n long")
+    # A task has the words of few languages, so it gives out few counts; in order of length, so that a batch has many words of each.
+    words = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).repartitionByRange("lang", "word").sortWithinPartitions("lang", F.length("word")).persist()
 
     def e_step(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,13 +287,13 @@ def fit(labelled: DataFrame, vocabulary: str, sample_docs: int = 1000, rounds: i
     return langs, p, np.log(n / n.sum())
 
 
-def fit_bounds(labelled: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], vocabulary: str, sample_docs: int = 1000) -> dict[str, float]:
-    """The least fit of each language, from the fit of its labelled rows; nothing that is seen in under a twentieth of them moves it."""
-    sample, _ = sample_of(labelled, sample_docs)
-    if sample is None:
-        return {}
-    fits = predict(sample, model, vocabulary, ("lang",), with_fit=True).where("lang_pred = lang")
-    rows = fits.groupBy("lang").agg(F.percentile("fit", F.array(F.lit(0.5), F.lit(0.05))).alias("q")).collect()  # a row per language
+def fit_bounds(fits: DataFrame) -> dict[str, float]:
+    """The least fit of each language, from the fits (lang, fit) of all its labelled rows; nothing that is seen in under a twentieth of them moves it.
+
+    The quantiles are those of all rows, of fits in steps of STEP, so what a language's are counted in is bounded.
+    """
+    counts = fits.groupBy("lang", (F.round(F.col("fit") / STEP) * STEP).alias("fit")).agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.groupBy("lang").agg(F.percentile("fit", F.array(F.lit(0.5), F.lit(0.05)), F.col("n")).alias("q")).collect()  # a row per language
     return {r["lang"]: r["q"][0] - max(SPREADS * (r["q"][0] - r["q"][1]), LEAST_DISTANCE) for r in rows}
 
 
@@ -304,9 +338,10 @@ def identify(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id"
 
 
 def identify_known(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",), **fitting) -> DataFrame:
-    """As identify(), but with fit and known: whether the text's fit reaches the bound of its language."""
-    labelled = docs.where(~held_out()).select("text", "lang")
-    model = fit(labelled, vocabulary, **fitting)
-    bounds = fit_bounds(labelled, model, vocabulary, **{k: v for k, v in fitting.items() if k == "sample_docs"})
+    """As identify(), but with fit and known: whether the text's fit reaches the bound of its language. Each text is read once; bounds are those of all labelled rows."""
+    model = fit(docs.where(~held_out()).select("text", "lang"), vocabulary, **fitting)
+    marked = docs.withColumn("__label", F.when(~held_out(), F.col("lang").cast("string")))
+    seen = materialise(predict(marked, model, vocabulary, (*keep, "__label"), with_fit=True), "languages")
+    bounds = fit_bounds(seen.where(F.col("__label") == F.col("lang_pred")).where("fit is not null").select(F.col("lang_pred").alias("lang"), "fit"))
     least = F.coalesce(*(F.when(F.col("lang_pred") == k, F.lit(v)) for k, v in bounds.items()), F.lit(float("inf")))
-    return predict(docs, model, vocabulary, keep, with_fit=True).withColumn("known", F.coalesce(F.col("fit") >= least, F.lit(False)))
+    return seen.drop("__label").withColumn("known", F.coalesce(F.col("fit") >= least, F.lit(False)))

@@ -487,6 +487,18 @@ def test_languages_without_blanks(spark):
         language_id.fit(same, SP, most_languages=1)
 
 
+def test_all_labelled_rows_are_learned(spark):
+    """A word that only one of many rows has changes its language's model, and bounds are those of all rows."""
+    rows = [(f"abc def {i}", "a") for i in range(3000)] + [("ghi jkl", "b")] * 10
+    fit = lambda some: language_id.fit(spark.createDataFrame(some, "text string, lang string"), SP, rounds=1)[1]
+    base = fit(rows)
+    pieces = language_id.Pieces(SP)
+    at = pieces.names.index("Ω".lower()) if "Ω".lower() in pieces.names else pieces.names.index("z")
+    assert all(fit([*rows[:i], (f"abc {pieces.names[at]}", "a"), *rows[i + 1 :]])[at, 0] > base[at, 0] for i in (0, 1777))
+    fits = spark.createDataFrame([("a", -1.0 - i / 1000) for i in range(5001)] + [("b", -2.0)], "lang string, fit double")
+    assert language_id.fit_bounds(fits) == pytest.approx({"a": -3.5 - 6 * 2.25, "b": -3.5}, abs=0.01)
+
+
 def test_held_out_accuracy(spark, docs, odd):
     got = {r["doc_id"]: r for r in queries.op5_language_id(spark, SF).collect()}
     held = [d for d in docs if zlib.crc32(str(d[0]).encode()) % 3 == 1]
