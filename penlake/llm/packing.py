@@ -28,99 +28,145 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from penlake.llm.common import join_checked, materialise, texts_of
+from penlake.llm.common import join_checked, materialise
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: With the task that cut the piece, and its rank among the task's pieces of its length.
 RANKED = f"{PIECES}, chunk int, within long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-#: Where a blank has a blank beside it, texts aren't cut.
-BLANKS_MEET = re.compile(r" \s|\s ")
+#: White space by any reading (Python's, the ranks' or the tokenizer's), for RE2, whose own is ASCII only.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
+#: Texts that aren't taken word by word: empty ones, and those in which white space meets white space or an end.
+UNEVEN = rf"\A(?:{SPACE}|\z)|{SPACE}(?:{SPACE}|\z)"
 END = np.uint32(2).tobytes()
 
 
 class Tokens:
     """Token ids of whole texts, as bytes of little-endian 32-bit numbers.
 
-    Byte-level BPE never merges across a blank that has a non-blank on either side, so texts are cut there and the
-    ids of the parts are remembered, up to ``most`` of them.
+    Byte-level BPE never merges across a blank that has a non-blank on either side. So the different words of a batch
+    are read once, as one text, in which each begins with the token that has the blank in front; the ids of the texts
+    are put together from them by position. Texts with other white space or special strings are read whole. Nothing is
+    remembered between batches.
     """
 
-    def __init__(self, path: str, ranks: str | None = None, most: int = 500_000):
+    def __init__(self, path: str, ranks: str | None = None, words: int = 16_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.of = Tokenizer.from_file(path), most, {}
-        self.fast = self.ranked(ranks) if ranks else None
-        self.feed = self.ids("\n")[0]
+        self.tokenizer, self.ranks, self.words = Tokenizer.from_file(path), ranks, words
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+        special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.special = re.compile(f"({special})") if special else None
+        self.uneven = f"{UNEVEN}|{special}" if special else UNEVEN
 
-    @staticmethod
-    def ranked(path: str):
-        """The same vocabulary read as ranks: several times faster on words not seen before."""
+    def ranked(self, simple: bool):
+        """The same vocabulary read as ranks: several times faster. simple: by a pattern for texts in which no white space meets white space."""
         import tiktoken
         from public_tokenizers import PATTERN
 
-        with open(path, "rb") as f:
+        with open(self.ranks, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        # A single character of white space is the same token with and without the look ahead, which is slow.
+        return tiktoken.Encoding("ranks", pat_str=PATTERN.replace(r"\s+(?!\S)|", "") if simple else PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    @cached_property
+    def simple(self):
+        return self.ranked(True).encode_ordinary if self.ranks else self.ids
+
+    @cached_property
+    def fast(self):
+        return self.ranked(False).encode_ordinary if self.ranks else self.ids
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def plain_ids(self, text: str) -> list[int]:
-        """Ids of a text without special strings; the first 2,000 characters of every text are held against the tokenizer."""
-        if self.fast is None:
-            return self.ids(text)
-        out = self.fast.encode_ordinary(text)
+    def hold(self, text: str, out: list[int]) -> None:
+        """The first 2,000 characters of a text without special strings are held against the tokenizer."""
         some = self.ids(text[:2000])
         if len(text) > 2000:
             some = some[:-5]  # the cut may split a token
         if some != out[: len(some)]:
             raise ValueError("the ranks and the tokenizer disagree")
-        return out
-
-    @staticmethod
-    def parts(text: str) -> list[str]:
-        words = text.split(" ")
-        out = [words[0], *(" " + w for w in words[1:])]
-        if not BLANKS_MEET.search(text):
-            return out
-        joined = out[:1]
-        for before, part in zip(words, out[1:]):
-            if before and not before[-1].isspace() and len(part) > 1 and not part[1].isspace():
-                joined.append(part)
-            else:
-                joined[-1] += part
-        return joined
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.of) > self.most:
-            self.of.clear()
-        of, cut = self.of, [self.parts(t) if t else [] for t in texts]
-        new = set().union(*cut).difference(of)
-        plain = [x for x in new if x.removeprefix(" ").isprintable() and " " not in x[1:] and "<|" not in x and x.strip()]
-        # One text of many parts is much faster than many texts; a line feed before a part stands alone as a token.
-        for i in range(0, len(plain), 4_000):
-            some = plain[i : i + 4_000]
-            ids = np.asarray(self.plain_ids("\n" + "\n".join(some)), np.uint32)
-            cuts = np.flatnonzero(ids == self.feed)
-            if len(cuts) != len(some):
-                raise ValueError("a line feed was merged into a part")
-            raw = ids.tobytes()
-            of.update(zip(some, (raw[4 * a + 4 : 4 * z] for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ids)]))))
-        other = list(new.difference(plain))
-        for part in other:
-            of[part] = np.asarray(self.ids(part) if "<|" in part else self.plain_ids(part), np.uint32).tobytes()
-        return [b"".join(map(of.__getitem__, parts)) for parts in cut]
+
+    def whole(self, text: str, held: bool) -> bytes:
+        """The ids of any text; special strings are cut out, as the tokenizer does."""
+        out = []
+        for i, part in enumerate(self.special.split(text) if self.special else [text]):
+            ids = self.ids(part) if i % 2 else self.fast(part)
+            if held and not i % 2 and part:
+                self.hold(part, ids)
+                held = False
+            out += ids
+        return np.asarray(out, np.uint32).tobytes()
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words with a blank in front, and where each word's ids begin and the last one's end."""
+        out = []
+        for at in range(0, len(words), self.words):
+            some = words[at : at + self.words]
+            text = " " + pc.binary_join(pa.ListArray.from_arrays([0, len(some)], some), " ")[0].as_py()
+            ids = self.simple(text)
+            self.hold(text, ids)
+            out.append(np.asarray(ids, np.uint32))
+        ids = np.concatenate(out)
+        starts = np.flatnonzero(self.begins[ids])
+        if len(starts) != len(words):
+            raise ValueError("a blank isn't where a word begins")
+        return ids, np.append(starts, len(ids))
+
+    def by_words(self, texts: pa.Array) -> list[bytes]:
+        split = pc.split_pattern(texts, " ")
+        ends = split.offsets.to_numpy()[1:]
+        first = np.append(0, ends[:-1])
+        coded = split.values.dictionary_encode()
+        code = coded.indices.to_numpy()
+        ids, at = self.of_words(coded.dictionary)
+        # A text's first word has no blank in front.
+        bare = [self.simple(w) for w in split.values.take(pa.array(first)).to_pylist()]
+        n, start = np.diff(at)[code], at[code]
+        n[first] = [len(b) for b in bare]
+        start[first] = len(ids) + np.cumsum(n[first]) - n[first]
+        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(bare), np.uint32)])
+        till = np.cumsum(n)
+        raw = ids[np.repeat(start - till + n, n) + np.arange(till[-1])].tobytes()
+        cuts = [0, *(4 * till[ends - 1]).tolist()]
+        return [raw[a:z] for a, z in zip(cuts, cuts[1:])]
+
+    def __call__(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
+        uneven = pc.match_substring_regex(texts, self.uneven)
+        even = texts.filter(pc.invert(uneven))
+        whole = [self.whole(t, not i) for i, t in enumerate(texts.filter(uneven).to_pylist())]
+        words, whole = iter(self.by_words(even) if len(even) else ()), iter(whole)
+        return [next(whole if u else words) for u in uneven.to_pylist()]
+
+
+def together(texts: pa.Array, most: int = 8_000_000) -> Iterator[pa.Array]:
+    """Stretches of texts with at most so many bytes, or one text."""
+    cuts, size = [0], 0
+    for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        if size + n > most and i > cuts[-1]:
+            cuts.append(i)
+            size = 0
+        size += n
+    for a, z in zip(cuts, [*cuts[1:], len(texts)]):
+        if z > a:
+            yield texts[a:z]
 
 
 def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: int = 1024) -> DataFrame:
@@ -130,17 +176,15 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity:
         tokens, chunk, seen = Tokens(tokenizer, ranks), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for b in batches:
             rows = []
-            texts = texts_of(b)
-            for at in range(0, len(texts), 256):
-                for doc_id, ids in zip(b.column(0)[at : at + 256].to_pylist(), tokens(texts[at : at + 256])):
-                    ids += END
-                    n = len(ids) // 4
-                    start, end, k = 0, n % capacity or capacity, 0
-                    while start < n:
-                        size = end - start
-                        rows.append((doc_id, k, start, size, zlib.crc32(ids[4 * start : 4 * end]), chunk, seen[size]))
-                        seen[size] += 1
-                        start, end, k = end, end + capacity, k + 1
+            for doc_id, ids in zip(b.column(0).to_pylist(), chain.from_iterable(map(tokens, together(b.column(1))))):
+                ids += END
+                n = len(ids) // 4
+                start, end, k = 0, n % capacity or capacity, 0
+                while start < n:
+                    size = end - start
+                    rows.append((doc_id, k, start, size, zlib.crc32(ids[4 * start : 4 * end]), chunk, seen[size]))
+                    seen[size] += 1
+                    start, end, k = end, end + capacity, k + 1
             if not rows:
                 continue
             cols = list(zip(*rows))
